@@ -6,12 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, packing, urlfilter
+from . import embdedup, htmltext, langid, mixing, packing, simhash, urlfilter, vptree
 
 #: name: (module, table)
 OPERATORS = {
     "op2_packing": (packing, "documents"),
     "op3_url_filters": (urlfilter, "pages"),
+    "op4_vp_tree_search": (vptree, "embeddings"),
+    "op5_html_extraction": (htmltext, "pages"),
+    "op6_simhash_dedup": (simhash, "documents"),
+    "op7_embedding_dedup": (embdedup, "embeddings"),
+    "op8_language_id": (langid, "documents"),
     "op10_mixing": (mixing, "documents"),
 }
 

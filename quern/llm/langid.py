@@ -83,8 +83,12 @@ class Model:
         self.tables, self.bits = [], []
         for lang in self.languages:
             table = suffix_automaton(self.classes[np.frombuffer(samples[lang], np.uint8)], self.width)
-            root = np.where(table[0] < 0, 0, table[0])
-            self.tables.append(np.where(table >= 0, table * 2, root * 2 + 1).astype(np.int32).ravel())
+            alone = len(table)  # the state after a symbol that the sample lacks
+            root = np.where(table[0] < 0, alone, table[0])
+            table = np.concatenate([table, np.full_like(table[:1], -1)])
+            steps = np.where(table >= 0, table * 2, root * 2 + 1)
+            steps[0] = root * 2  # a text begins in its first phrase
+            self.tables.append(steps.astype(np.int32).ravel())
             self.bits.append(np.log2(max(2, len(samples[lang]))))
 
     def entropies(self, texts: list[bytes]) -> np.ndarray:

@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import embdedup, htmltext, langid, mixing, packing, simhash, urlfilter, vptree
+from . import bloomlm, embdedup, htmltext, langid, mixing, packing, simhash, suffixdedup, urlfilter, vptree
 
 #: name: (module, table)
 OPERATORS = {
+    "op1_lm_scoring": (bloomlm, "documents"),
     "op2_packing": (packing, "documents"),
     "op3_url_filters": (urlfilter, "pages"),
     "op4_vp_tree_search": (vptree, "embeddings"),
@@ -17,6 +18,7 @@ OPERATORS = {
     "op6_simhash_dedup": (simhash, "documents"),
     "op7_embedding_dedup": (embdedup, "embeddings"),
     "op8_language_id": (langid, "documents"),
+    "op9_suffix_array_dedup": (suffixdedup, "documents"),
     "op10_mixing": (mixing, "documents"),
 }
 

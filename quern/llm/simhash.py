@@ -74,6 +74,7 @@ def close_pairs(a: np.ndarray, b: np.ndarray, radius: int) -> np.ndarray:
     n = len(a)
     node = np.concatenate([a, b])
     root = np.arange(len(node))
+    a, b = a.view(np.uint64), b.view(np.uint64)  # numpy counts the bits of absolute values
     step = max(1, (1 << 18) // max(1, len(b)))
     for at in range(0, n, step):
         i, j = np.nonzero(np.bitwise_count(a[at : at + step, None] ^ b[None, :]) <= radius)

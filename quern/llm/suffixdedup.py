@@ -338,7 +338,7 @@ def repeated_spans(docs: DataFrame, span: int = SPAN) -> DataFrame:
 
 
 def _cut_texts(docs: DataFrame, span: int, whole: bool) -> DataFrame:
-    """k1, k2, removed, runs, kept_sha256 and, if `whole`, kept (binary) of the distinct texts with repeats."""
+    """k1, k2, removed, runs, kept_sha256 and, if `whole`, kept of the distinct texts with repeats."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -346,12 +346,12 @@ def _cut_texts(docs: DataFrame, span: int, whole: bool) -> DataFrame:
             for text, spans in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
                 runs = union([(s["start"], s["end"]) for s in spans])
                 kept = cut(text.encode(), runs)
-                out.append((sum(e - s for s, e in runs), len(runs), hashlib.sha256(kept).hexdigest(), kept if whole else None))
-            columns = [pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.string(), pa.binary()), strict=True)] if out else None
+                out.append((sum(e - s for s, e in runs), len(runs), hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "ignore") if whole else None))
+            columns = [pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.string(), pa.string()), strict=True)] if out else None
             if columns:
                 yield pa.record_batch([*batch.columns[:2], *columns], ["k1", "k2", "removed", "runs", "sha", "kept"])
 
-    return repeated_spans(docs, span).select("k1", "k2", "text", "spans").mapInArrow(run, "k1 long, k2 long, removed long, runs long, sha string, kept binary")
+    return repeated_spans(docs, span).select("k1", "k2", "text", "spans").mapInArrow(run, "k1 long, k2 long, removed long, runs long, sha string, kept string")
 
 
 def _told(docs: DataFrame, span: int, keep: tuple[str, ...], whole: bool) -> DataFrame:
@@ -367,7 +367,7 @@ def _told(docs: DataFrame, span: int, keep: tuple[str, ...], whole: bool) -> Dat
         F.when(equal, F.col("n_bytes")).otherwise(F.coalesce("removed", F.lit(0))).cast("long").alias("n_removed"),
         F.when(equal, 1).otherwise(F.coalesce("runs", F.lit(0))).cast("long").alias("n_spans"),
         F.when(equal, F.sha2(F.lit("").cast("binary"), 256)).otherwise(F.coalesce("sha", "all_sha")).alias("kept_sha256"),
-        F.when(equal, F.lit("").cast("binary")).otherwise(F.col("kept")).alias("kept"),
+        F.when(equal, "").otherwise(F.col("kept")).alias("kept"),
     )
 
 
@@ -378,7 +378,7 @@ def remove_repeats(docs: DataFrame, span: int = SPAN) -> DataFrame:
     """
     columns = docs.columns
     cut_docs = _told(docs.select(F.struct(*columns).alias("_row"), "text"), span, ("_row",), True)
-    text = F.when(F.col("n_removed") > 0, F.decode(F.col("kept"), F.lit("UTF-8"))).otherwise(F.col("_row.text"))
+    text = F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col("_row.text"))
     out = cut_docs.where("n_removed < n_bytes or n_bytes = 0").select(*(text.alias(c) if c == "text" else F.col("_row")[c].alias(c) for c in columns))
     return out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in columns else out
 

@@ -283,12 +283,15 @@ def repeated_spans(docs: DataFrame, span: int = SPAN) -> DataFrame:
         for batch in batches:
             k1, k2 = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             for i, pos, h, first, last in anchors([t.encode() for t in batch.column(2).to_pylist()], span):
-                places = [pa.array(x.astype(np.int32)) for x in (pos, first, last)]
-                yield pa.record_batch([pa.array(k1[i]), pa.array(k2[i]), *places, pa.array(h)], ["k1", "k2", "pos", "first", "last", "h"])
-
-    every = docs.mapInArrow(find, "k1 long, k2 long, pos int, first int, last int, h long").distinct()
-    every = materialise(every)
-    repeated = every.groupBy("h").agg(F.count("*").alias("n")).where("n > 1")
+                by = np.lexsort((pos, h, i))
+                i, h = i[by], h[by]
+                new = np.nonzero(np.concatenate([[True], (i[1:] != i[:-1]) | (h[1:] != h[:-1])]))[0]  # an anchor that a text has often is one row
+                ends = pa.array(np.append(new, len(by)).astype(np.int32))
+                places = [pa.ListArray.from_arrays(ends, pa.array(x[by].astype(np.int32))) for x in (pos, first, last)]
+                yield pa.record_batch([pa.array(k1[i[new]]), pa.array(k2[i[new]]), pa.array(h[new]), *places], ["k1", "k2", "h", "pos", "first", "last"])
+
+    every = materialise(docs.mapInArrow(find, "k1 long, k2 long, h long, pos array<int>, first array<int>, last array<int>").distinct())
+    repeated = every.groupBy("h").agg(F.count("*").alias("n"), F.sum(F.size("pos")).alias("all")).where("all > 1").select("h", "n")
     wanted = materialise(every.join(repeated, "h"))
     places = wanted.groupBy("k1", "k2").agg(F.collect_list(F.struct("pos", "first", "last", "h", "n")).alias("places"))
     texts = docs.groupBy("k1", "k2").agg(F.first("text").alias("text"))
@@ -303,11 +306,11 @@ def repeated_spans(docs: DataFrame, span: int = SPAN) -> DataFrame:
                 for k1, k2, text, found in zip(*(c.to_pylist() for c in part.columns), strict=True):
                     data = text.encode()
                     for place in found:
-                        at = place["pos"]
-                        key = place["h"], data[place["first"] : at][::-1], data[at : place["last"] + span]
-                        row = rows.setdefault(key, (place["n"], [], [], []))
-                        for column, value in zip(row[1:], (k1, k2, at), strict=True):
-                            column.append(value)
+                        for at, first, last in zip(place["pos"], place["first"], place["last"], strict=True):
+                            key = place["h"], data[first:at][::-1], data[at : last + span]
+                            row = rows.setdefault(key, (place["n"], [], [], []))
+                            for column, value in zip(row[1:], (k1, k2, at), strict=True):
+                                column.append(value)
                 if rows:
                     h, before, after = zip(*rows, strict=True)
                     n, k1, k2, pos = zip(*rows.values(), strict=True)
@@ -327,7 +330,12 @@ def repeated_spans(docs: DataFrame, span: int = SPAN) -> DataFrame:
         before, after, pos = table["before"].to_pylist(), table["after"].to_pylist(), table["pos"].to_pylist()
         found, most, least = scan_group(table["h"].to_numpy(), before, after, span)
         ends = {i: (m, e) for i, m, e in zip(found.tolist(), most.tolist(), least.tolist(), strict=True)}
-        ends |= {i: (len(before[i]), span - len(after[i])) for i, p in enumerate(pos) if len(p) > 1}  # equal contexts: all their strings repeat
+        once = table["i"][0].as_py() in (-1, table["j"][0].as_py())  # of a chunk's groups, one tells what its batches had told
+        for i, p in enumerate(pos):
+            if len(p) > 1:  # equal contexts: all their strings repeat
+                ends.pop(i, None)
+                if once:
+                    ends[i] = len(before[i]), span - len(after[i])
         k1, k2 = table["k1"].to_pylist(), table["k2"].to_pylist()
         out = [(a, b, p - m, p - e + span) for i, (m, e) in ends.items() for a, b, p in zip(k1[i], k2[i], pos[i], strict=True)]
         return pa.table([pa.array(c, pa.int64()) for c in (zip(*out, strict=True) if out else [[]] * 4)], ["k1", "k2", "start", "end"])

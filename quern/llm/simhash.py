@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import materialise
+from ._common import materialise, text_key
 from ._graph import components, roots
 
 SEED = 42
@@ -123,11 +123,12 @@ def groups(prints: DataFrame, radius: int = 2) -> DataFrame:
 def deduplicate(docs: DataFrame, width: int = 3, radius: int = 2) -> DataFrame:
     """docs, one row of each component: the smallest doc_id, and of repeated ids one row."""
     columns = docs.columns
-    whole = docs.select(F.monotonically_increasing_id().alias("_uid"), F.struct(*columns).alias("_row"), "doc_id", "text")
-    whole = materialise(fingerprints(whole, width, ("_uid", "_row", "doc_id")))
-    prints = whole.select("_uid", "doc_id", "fp")
-    first = prints.join(groups(prints, radius), "fp").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_uid")).alias("first"))
-    return whole.join(first.select(F.col("first._uid").alias("_uid")), "_uid", "left_semi").select(*(F.col("_row")[c].alias(c) for c in columns))
+    same = F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), *text_key(F.col("text"))).alias("_same")  # the same for repeats of a row
+    prints = materialise(fingerprints(docs.select("doc_id", "text", same), width, ("doc_id", "_same")))
+    first = prints.join(groups(prints, radius), "fp").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_same")).alias("first"))
+    whole = docs.select(F.struct(*columns).alias("_row"), same)
+    kept = whole.join(first.select(F.col("first._same").alias("_same")), "_same", "left_semi").dropDuplicates(["_same"])
+    return kept.select(*(F.col("_row")[c].alias(c) for c in columns))
 
 
 def query(docs: DataFrame) -> DataFrame:

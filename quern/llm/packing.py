@@ -18,11 +18,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Between two characters that aren't white space, a space always begins a new pre-token.
 CUT = re.compile(r"(?<=\S) (?=\S)")
+#: A space that isn't so: beside white space (Unicode's and four control characters, as in CUT) or an end.
+_WHITE = r"[\x09-\x0d\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+ODD = rf"\A | \z|{_WHITE} | {_WHITE}"
+CHUNK = 8 << 20  # bytes of text that are encoded at once
+ROWS = 16_384  # pieces in a record batch
 SCHEMA = "doc_id long, start long, length long, doc_tokens long, ids binary"
 
 
@@ -37,11 +43,12 @@ def decompose(n: int, capacity: int = 2048) -> list[tuple[int, int]]:
 
 
 class Encoder:
-    """Ids of whole texts as bytes (unsigned 32 bits, little-endian).
+    """Ids of whole texts.
 
     The text is cut at spaces between visible characters, where the tokenizer's
     pre-tokenizer cuts anyway, and the tokenizer encodes each distinct
-    unit once; `most` bounds the units that are remembered.
+    unit once; `most` bounds the units that are remembered. Units are numbered
+    by Arrow and their ids gathered by numpy, so Python meets distinct units only.
     """
 
     def __init__(self, path: str, end_id: int, most: int = 400_000):
@@ -57,19 +64,50 @@ class Encoder:
             self.known[unit] = np.array(found.ids, "<u4").tobytes()
 
     def __call__(self, texts: list[str]) -> Iterator[bytes]:
-        for at in range(0, len(texts), 256):
-            split = []
-            for text in texts[at : at + 256]:
-                first, *rest = CUT.split(text)
-                split.append([first, *map(" ".__add__, rest)])
-            if len(self.known) > self.most:
-                self.known.clear()
-            new = set().union(*split).difference(self.known)
-            new.discard("")
-            self.known[""] = b""
-            self.learn(list(new))
-            for units in split:
-                yield b"".join(map(self.known.__getitem__, units)) + self.end
+        """Each text's ids as bytes (unsigned 32 bits, little-endian)."""
+        out = [b""] * len(texts)
+        for places, units in split_units(pa.array(texts, pa.string())):
+            ids, counts = self.encode(units)
+            for i, found in zip(places.tolist(), np.split(ids, np.cumsum(counts)[:-1]), strict=True):
+                out[i] = found.tobytes()
+        yield from out
+
+    def encode(self, units: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+        """Texts as lists of their units (spaces at the cuts left out) -> all ids one after the other, and the number of each text's."""
+        ends = np.asarray(units.offsets)[1:] - units.offsets[0].as_py()
+        first = np.concatenate([[0], ends[:-1]])
+        encoded = units.flatten().dictionary_encode()
+        codes, n = np.array(encoded.indices, np.int64), len(encoded.dictionary)
+        later = np.ones(len(codes), bool)
+        later[first] = False
+        codes[later] += n  # the same unit after a space
+        codes = np.insert(codes, ends, 2 * n)
+        seen, codes = np.unique(codes, return_inverse=True)
+        names = encoded.dictionary.take(pa.array(seen[:-1] % n)).to_pylist()
+        names = [" " + name if code >= n else name for code, name in zip(seen.tolist(), names, strict=False)]
+        if len(self.known) > self.most:
+            self.known.clear()
+        self.learn([name for name in names if name not in self.known])
+        held = [*map(self.known.__getitem__, names), self.end]
+        sizes = np.array([len(ids) // 4 for ids in held])
+        flat, starts = np.frombuffer(b"".join(held), "<u4"), np.cumsum(sizes) - sizes
+        size = sizes[codes]
+        total = np.cumsum(size)
+        ids = flat[np.repeat(starts[codes] - (total - size), size) + np.arange(total[-1])]
+        return ids, np.diff(total[ends + np.arange(len(ends))], prepend=0)
+
+
+def split_units(texts: pa.Array) -> Iterator[tuple[np.ndarray, pa.ListArray]]:
+    """Texts without nulls -> places in `texts` and the units of the texts there, by chunks of bounded size (or one text)."""
+    odd = np.array(pc.match_substring_regex(texts, ODD))
+    sizes = np.array(pc.binary_length(texts), np.int64)
+    for kind in (False, True):
+        at = np.nonzero(odd == kind)[0]
+        part = np.cumsum(sizes[at]) // CHUNK
+        for some in np.split(at, np.nonzero(np.diff(part))[0] + 1):
+            if len(some):
+                chunk = texts.take(pa.array(some))
+                yield some, pa.array([CUT.split(t) for t in chunk.to_pylist()], pa.list_(pa.string())) if kind else pc.split_pattern(chunk, " ")
 
 
 def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 1) -> DataFrame:
@@ -82,17 +120,22 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 1)
         raise ValueError("capacity must be a power of two")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = Encoder(tokenizer, end_id)
-        schema = pa.schema([*((n, pa.int64()) for n in ("doc_id", "start", "length", "doc_tokens")), ("ids", pa.binary())])
+        encoder = Encoder(tokenizer, end_id)
         for batch in batches:
-            for part in (batch.slice(i, 1024) for i in range(0, batch.num_rows, 1024)):
-                rows = []
-                for doc, ids in zip(part.column(0).to_pylist(), encode([t or "" for t in part.column(1).to_pylist()]), strict=True):
-                    n = len(ids) // 4
-                    rows += [(doc, start, length, n, ids[4 * start : 4 * (start + length)]) for start, length in decompose(n, capacity)]
-                yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
-
-    pieces = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, SCHEMA)
+            for places, units in split_units(batch.column(1)):
+                ids, counts = encoder.encode(units)
+                cuts = [decompose(n, capacity) for n in counts.tolist()]
+                of = np.repeat(np.arange(len(counts)), [len(c) for c in cuts])
+                start, length = np.array([piece for c in cuts for piece in c], np.int64).T
+                ends = np.concatenate([[0], np.cumsum(length)]) * 4  # pieces follow each other as their ids do
+                held = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(of), [None, pa.py_buffer(ends), pa.py_buffer(ids)])
+                doc = batch.column(0).take(pa.array(places[of]))
+                for at in range(0, len(of), ROWS):
+                    some = slice(at, at + ROWS)
+                    columns = [doc[some], pa.array(start[some]), pa.array(length[some]), pa.array(counts[of][some]), held[some].cast(pa.binary())]
+                    yield pa.record_batch(columns, ["doc_id", "start", "length", "doc_tokens", "ids"])
+
+    pieces = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).mapInArrow(run, SCHEMA)
     return pieces.withColumn("sequence_id", F.monotonically_increasing_id()).withColumn("offset", F.lit(0).cast("long"))
 
 

@@ -86,6 +86,18 @@ def test_encoder_equals_the_tokenizer(text):
     assert np.frombuffer(found, "<u4").tolist() == [*t.encode(text, add_special_tokens=False).ids, 1]
 
 
+def test_encoder_of_many_texts_keeps_their_order(monkeypatch):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(packing, "CHUNK", 64)
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    t.encode_special_tokens = True
+    texts = ["a b", " a b", "", "b", "b  a", words(1, 90), "\x00 b \x00", "\u3000 a", "a\u3000b a", "a\nb a", "a \nb", "a ", words(2, 9)] * 3
+    found = packing.Encoder(public_tokenizers.path("byte_bpe_50k.json"), 1, most=5)(texts)
+    assert [np.frombuffer(f, "<u4").tolist() for f in found] == [[*t.encode(text, add_special_tokens=False).ids, 1] for text in texts]
+
+
 def test_decompose():
     assert packing.decompose(2048 * 2 + 1 + 64) == [(0, 2048), (2048, 2048), (4096, 64), (4160, 1)]
     assert packing.decompose(0) == []

@@ -27,7 +27,8 @@ CUT = re.compile(r"(?<=\S) (?=\S)")
 #: A space that isn't so: beside white space (Unicode's and four control characters, as in CUT) or an end.
 _WHITE = r"[\x09-\x0d\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 ODD = rf"\A | \z|{_WHITE} | {_WHITE}"
-CHUNK = 8 << 20  # bytes of text that are encoded at once
+CHUNK = 4 << 20  # bytes of text that are encoded at once
+LEARN = 16_384  # units that the tokenizer gets at once
 ROWS = 16_384  # pieces in a record batch
 SCHEMA = "doc_id long, start long, length long, doc_tokens long, ids binary"
 
@@ -60,8 +61,10 @@ class Encoder:
         self.end, self.most, self.known = np.uint32(end_id).tobytes(), most, {}
 
     def learn(self, units: list[str]) -> None:
-        for unit, found in zip(units, self.tokenizer.encode_batch_fast(units, add_special_tokens=False), strict=True):
-            self.known[unit] = np.array(found.ids, "<u4").tobytes()
+        for at in range(0, len(units), LEARN):  # the tokenizer's own results are large
+            some = units[at : at + LEARN]
+            for unit, found in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
+                self.known[unit] = np.array(found.ids, "<u4").tobytes()
 
     def __call__(self, texts: list[str]) -> Iterator[bytes]:
         """Each text's ids as bytes (unsigned 32 bits, little-endian)."""
@@ -82,7 +85,10 @@ class Encoder:
         later[first] = False
         codes[later] += n  # the same unit after a space
         codes = np.insert(codes, ends, 2 * n)
-        seen, codes = np.unique(codes, return_inverse=True)
+        seen = np.nonzero(np.bincount(codes))[0]
+        number = np.empty(2 * n + 1, np.int64)
+        number[seen] = np.arange(len(seen))
+        codes = number[codes]
         names = encoded.dictionary.take(pa.array(seen[:-1] % n)).to_pylist()
         names = [" " + name if code >= n else name for code, name in zip(seen.tolist(), names, strict=False)]
         if len(self.known) > self.most:

@@ -14,7 +14,9 @@ from __future__ import annotations
 
 import os
 import re
+import struct
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +29,8 @@ CUT = re.compile(r"(?<=\S) (?=\S)")
 #: A space that isn't so: beside white space (Unicode's and four control characters, as in CUT) or an end.
 _WHITE = r"[\x09-\x0d\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 ODD = rf"\A | \z|{_WHITE} | {_WHITE}"
+#: Inside a unit a pre-token always ends between a Latin letter and an ASCII character that isn't one, and after a single line feed between visible characters.
+PARTS = re.compile(r"(?<=[A-Za-zÀ-ÖØ-öø-ɏ])(?=[\x00-@\[-`{-\x7f])|(?<=[!-~À-ÿ]\n)(?=[!-~À-ÿ])")
 CHUNK = 4 << 20  # bytes of text that are encoded at once
 LEARN = 16_384  # units that the tokenizer gets at once
 ROWS = 16_384  # pieces in a record batch
@@ -50,6 +54,8 @@ class Encoder:
     pre-tokenizer cuts anyway, and the tokenizer encodes each distinct
     unit once; `most` bounds the units that are remembered. Units are numbered
     by Arrow and their ids gathered by numpy, so Python meets distinct units only.
+    A unit of several parts (a word and its punctuation) is put together from
+    theirs, so the tokenizer meets a word once, whatever follows it.
     """
 
     def __init__(self, path: str, end_id: int, most: int = 400_000):
@@ -61,10 +67,16 @@ class Encoder:
         self.end, self.most, self.known = np.uint32(end_id).tobytes(), most, {}
 
     def learn(self, units: list[str]) -> None:
-        for at in range(0, len(units), LEARN):  # the tokenizer's own results are large
-            some = units[at : at + LEARN]
-            for unit, found in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                self.known[unit] = np.array(found.ids, "<u4").tobytes()
+        split = {unit: parts for unit in units if not unit[1:].isalpha() and len(parts := PARTS.split(unit)) > 1}
+        whole = (unit for unit in units if unit not in split)
+        new = list(dict.fromkeys(part for part in chain(whole, *split.values()) if part not in self.known))
+        for at in range(0, len(new), LEARN):  # the tokenizer's own results are large
+            some = new[at : at + LEARN]
+            for part, found in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
+                ids = found.ids
+                self.known[part] = struct.pack(f"<{len(ids)}I", *ids)
+        for unit, parts in split.items():
+            self.known[unit] = b"".join(map(self.known.__getitem__, parts))
 
     def __call__(self, texts: list[str]) -> Iterator[bytes]:
         """Each text's ids as bytes (unsigned 32 bits, little-endian)."""

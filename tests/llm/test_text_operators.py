@@ -75,7 +75,7 @@ def test_packing_round_trip(docs, rows, spark):
     assert packing.query(empty(spark)).count() == 0
 
 
-@pytest.mark.parametrize("text", ["a  b", " a", "a \n b", "a\n\nb c", "x\u00a0 y \u2003z", "it's 's  ", "", "a <|endoftext|> b", "\x1c a \x1d b", "日本 語 1 2"])
+@pytest.mark.parametrize("text", ["a  b", " a", "a \n b", "a\n\nb c", "x\u00a0 y \u2003z", "it's 's  ", "", "a <|endoftext|> b", "don't we'll, É's.", "one.\nTwo,\n\nthree\r\nx2", "ÿ\nß÷b×.c ab<|endoftext|>", "\x1c a \x1d b", "日本 語 1 2"])
 def test_encoder_equals_the_tokenizer(text):
     import public_tokenizers
     from tokenizers import Tokenizer

@@ -1,0 +1,144 @@
+"""Near-duplicates by the Jaccard similarity of five-word shingles, at 4/5 or more.
+
+Texts with the same set of shingles are one node. Nodes that share a band of
+MinHash values are candidates: ROWS values a band, BANDS bands, so a pair at
+similarity 0.8 is missed with probability (1 - 0.8**5)**32 = 3e-6. Candidates
+are joined to groups, and inside a group sets are compared exactly: a search
+from node to node meets only nodes that aren't reached yet, so many copies of
+one text cost about one comparison each. Every link that is used is exact.
+
+A group of more than PART nodes is dealt in parts, and pairs of parts are
+compared. SimHash can't find such pairs: at 0.8 fingerprints differ by about
+10 of 64 bits, where tiles by population counts leave nearly all pairs.
+
+Defined results: as in simhash; texts of fewer words are one shingle.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ._common import materialise, small, text_key
+from ._graph import components
+from .bloomlm import mix, slices, tokens
+
+WIDTH = 5
+BANDS, ROWS = 32, 5
+PART = 4096  # nodes in a part of a group, on average at most
+MULTIPLY, FLIP = (np.random.default_rng(11).integers(0, 1 << 64, BANDS * ROWS, np.uint64, endpoint=False) for _ in range(2))
+STEP = np.uint64(0x9E3779B97F4A7C15)
+
+
+def shingles(texts: pa.Array, width: int = WIDTH) -> Iterator[np.ndarray]:
+    """The sorted distinct shingle hashes of each text."""
+    for at, length in slices(texts):
+        hashes, codes, ends = tokens(texts.slice(at, length))
+        start = 0
+        for end in ends:
+            words = hashes[codes[start : end - 1]]  # without the end token
+            start = end
+            n = min(width, len(words))
+            found = words[: len(words) - n + 1] if n else words
+            for i in range(1, n):
+                found = mix(found * STEP + words[i : len(words) - n + 1 + i])
+            yield np.unique(found)
+
+
+def bands(found: np.ndarray, chunk: int = 512) -> np.ndarray:
+    """A key for each band, signed."""
+    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(found), chunk):
+        np.minimum(least, ((found[at : at + chunk, None] ^ FLIP) * (MULTIPLY | np.uint64(1))).min(0), out=least)
+    keys = np.arange(BANDS, dtype=np.uint64)
+    for values in least.reshape(BANDS, ROWS).T:
+        keys = mix(keys * STEP + values)
+    return keys.view(np.int64)
+
+
+def linked(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """A forest over the links of similarity 4/5 or more, as places in `sets`."""
+    sizes = np.array([len(s) for s in sets])
+    _, codes = np.unique(np.concatenate(sets), return_inverse=True)
+    own = np.split(codes, np.cumsum(sizes)[:-1])
+    mark = np.zeros(codes.max(initial=0) + 1, bool)
+    rest, u, v = np.arange(len(sets)), [], []
+    owner = np.repeat(rest, sizes)
+    while len(rest):
+        todo = [rest[0]]
+        keep = rest != rest[0]
+        while todo:
+            if not keep.all():
+                rest = rest[keep]
+                left = np.zeros(len(sets), bool)
+                left[rest] = True
+                held = left[owner]
+                codes, owner = codes[held], owner[held]
+            if not len(rest):
+                break
+            x = todo.pop()
+            mark[own[x]] = True
+            shared = np.bincount(owner, mark[codes], len(sets))[rest]
+            mark[own[x]] = False
+            near = 9 * shared >= 4 * (sizes[x] + sizes[rest])  # shared / union >= 4/5
+            u += [x] * int(near.sum())
+            v += rest[near].tolist()
+            todo += rest[near].tolist()
+            keep = ~near
+        else:
+            rest = rest[keep]
+    return np.array(u, np.int64), np.array(v, np.int64)
+
+
+def signatures(docs: DataFrame) -> DataFrame:
+    """docs (doc_id, _same, text) -> doc_id, _same, node, bands."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = list(shingles(batch.column(2)))
+            nodes = np.array([xxhash.xxh3_64_intdigest(s.tobytes()) for s in sets], np.uint64).view(np.int64)
+            keys = pa.array([bands(s) for s in sets], pa.list_(pa.int64()))
+            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(nodes), keys], ["doc_id", "_same", "node", "bands"])
+
+    rows = docs.select("doc_id", "_same", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    return rows.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, _same string, node long, bands array<long>")
+
+
+def links(prints: DataFrame, docs: DataFrame) -> DataFrame:
+    """signatures() and their docs (_same, text) -> a forest (u, v) over nodes."""
+    keyed = prints.groupBy("node").agg(F.first("bands").alias("bands")).select("node", F.explode("bands").alias("key"))
+    shared = keyed.groupBy("key").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least <> most").select("key", "least")
+    groups = components(keyed.join(shared, "key").where("node <> least").select(F.col("node").alias("u"), F.col("least").alias("v")))
+    sizes = groups.groupBy("component").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts"))
+    dealt = groups.join(sizes, "component").withColumn("part", F.pmod(F.xxhash64("node"), "parts").cast("int"))
+    one = prints.groupBy("node").agg(F.min("_same").alias("_same")).join(dealt, "node")
+    asked = materialise(one.select("_same", "node", "component", "parts", "part"))
+    texts = docs.join(small(asked), "_same").dropDuplicates(["_same"])
+    others = F.filter(F.sequence(F.lit(0), F.col("parts") - 1), lambda o: (o != F.col("part")) | (F.col("parts") == 1))
+    rows = texts.select("node", "component", "part", F.explode(others).alias("o"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    rows = rows.select("component", F.least("part", "o").alias("low"), F.greatest("part", "o").alias("high"), "node", "text")
+
+    def run(table: pa.Table) -> pa.Table:
+        nodes = table["node"].to_numpy()
+        u, v = linked(list(shingles(table["text"].combine_chunks()))) if len(nodes) > 1 else (nodes[:0], nodes[:0])
+        return pa.table([pa.array(nodes[u]), pa.array(nodes[v])], names=["u", "v"])
+
+    return rows.groupBy("component", "low", "high").applyInArrow(run, "u long, v long")
+
+
+def deduplicate(docs: DataFrame) -> DataFrame:
+    """docs, one row of each component: the smallest doc_id, and of repeated ids one row."""
+    columns = docs.columns
+    same = F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), *text_key(F.col("text"))).alias("_same")  # the same for repeats of a row
+    prints = materialise(signatures(docs.select("doc_id", "text", same)))
+    found = components(links(prints, docs.select(same, "text")))
+    rooted = prints.select("doc_id", "_same", "node").join(found, "node", "left").withColumn("root", F.coalesce("component", "node"))
+    first = rooted.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_same")).alias("first"))
+    whole = docs.select(F.struct(*columns).alias("_row"), same)
+    kept = whole.join(first.select(F.col("first._same").alias("_same")), "_same", "left_semi").dropDuplicates(["_same"])
+    return kept.select(*(F.col("_row")[c].alias(c) for c in columns))

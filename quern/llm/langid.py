@@ -133,9 +133,9 @@ class Model:
 def learn(labelled: DataFrame, docs_per_language: int = 300, chars_per_doc: int = 100, piece: int = 512) -> Model:
     """labelled (text, lang) -> Model.
 
-    The sample is bounded: at most docs_per_language rows a language, those
+    The sample is bounded: at most docs_per_language distinct texts a language, those
     with the smallest hashes, and from each a window of chars_per_doc
-    characters whose place the hash gives. Any row can be drawn.
+    characters whose place the hash gives. Any text can be drawn; copies count once.
     """
     h = F.xxhash64("text", "lang")
     least = Window.partitionBy("lang").orderBy("h", "text")
@@ -143,6 +143,7 @@ def learn(labelled: DataFrame, docs_per_language: int = 300, chars_per_doc: int
     rows = (
         labelled.where("lang is not null and text is not null and text rlike '\\\\p{L}'")
         .select("lang", h.alias("h"), F.substring("text", place, F.lit(chars_per_doc)).alias("text"))
+        .distinct()
         .withColumn("n", F.row_number().over(least))
         .where(F.col("n") <= docs_per_language)
         .groupBy("lang")

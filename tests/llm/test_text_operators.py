@@ -353,3 +353,11 @@ def test_cross_parsing(seed):
     h = m.entropies(texts)
     for t, row in zip(texts, h, strict=True):
         assert [round(x * len(t) / b) for x, b in zip(row, m.bits, strict=True)] == [plain_phrases(t, samples[x]) for x in ("p", "q")]
+
+
+def test_language_sample_counts_copies_once(spark, monkeypatch):
+    monkeypatch.setattr(langid, "Model", lambda samples, piece: samples)
+    names = [chr(97 + i) * 3 for i in range(20)]
+    rows = [(name, "en") for name in names for _ in range(50)]
+    sample = langid.learn(spark.createDataFrame(rows, "text string, lang string"), docs_per_language=20)["en"]
+    assert sorted(sample.decode().split()) == names

@@ -68,7 +68,8 @@ def term_stats(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 def bm25(docs: DataFrame, queries: DataFrame, k: int, k1: float = 1.5, b: float = 0.75) -> DataFrame:
     """queries (query_id, text): top k documents -> query_id, doc_id, score, rank. A query's repeated tokens count repeatedly.
 
-    Only postings of query terms are shuffled to the join.
+    Only postings of query terms are shuffled to the join. Scores equal to nine
+    places tie, as sums over shuffled terms differ in their last bits.
     """
     postings, totals = term_stats(docs)
     asked = queries.select("query_id", F.explode(tokenize(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qf"))
@@ -78,7 +79,7 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int, k1: float = 1.5, b: float
     idf = F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = F.col("qf") * idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.lit(avgdl or 1.0)))
     scored = live.join(df, "term").join(asked, "term").groupBy("query_id", "doc_id").agg(F.sum(part).alias("score")).where("score > 0")
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
+    w = Window.partitionBy("query_id").orderBy(F.round("score", 9).desc(), "doc_id")
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 

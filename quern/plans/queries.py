@@ -87,9 +87,8 @@ BM25 = rf"""d AS (SELECT doc_id, regexp_extract_all(lower(text), '{TOKENS}') AS
 
 @query(f"WITH {BM25} SELECT query_id, doc_id, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM scored WHERE score > 0) WHERE rank <= 10")
 def bm25_topk(spark, sf):
-    found = search.bm25(src.table(spark, sf, "documents").select("doc_id", "text"), src.table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), "text"), 20)
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.round("score", 9).desc(), "doc_id"))
-    return _ranked(found.withColumn("rank", rank).where("rank <= 10"), "query_id", "doc_id")
+    found = search.bm25(src.table(spark, sf, "documents").select("doc_id", "text"), src.table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), "text"), 10)
+    return _ranked(found, "query_id", "doc_id")
 
 
 @query(rf"SELECT term, count(*)::BIGINT AS df, sum(tf)::BIGINT AS tf FROM (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '{TOKENS}')) AS term FROM documents) GROUP BY ALL) GROUP BY term")
@@ -186,8 +185,7 @@ def hybrid_search(spark, sf):
     vec = search.knn(v, _asked(v, "item_id = 0"), 200).select("item_id", F.lit("vector").alias("channel"), "rank")
     one = src.table(spark, sf, "benchmark").where("item_id = 0").select(F.col("item_id").alias("query_id"), "text")
     lex = search.bm25(src.table(spark, sf, "documents").select("doc_id", "text"), one, 200)
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.round("score", 9).desc(), "doc_id"))
-    lex = lex.select(F.col("doc_id").alias("item_id"), F.lit("text").alias("channel"), rank.alias("rank"))
+    lex = lex.select(F.col("doc_id").alias("item_id"), F.lit("text").alias("channel"), "rank")
     fused = search.accumulate(vec.unionByName(lex), ["item_id"], {"vector": 1.0, "text": 0.6})
     parents = fused.join(v.select("item_id", F.col("label").cast("long").alias("parent")), "item_id")
     return _ranked(search.roll_up(parents, "parent").where("rank <= 10"), "parent")

@@ -129,3 +129,10 @@ def test_streaming(spark, tmp_path):
     assert rows(spark.table("kept")) == [(1, 0), (1, 2)]
     at = spark.createDataFrame([(1, "2024-01-01 00:00:00"), (1, "2024-01-01 00:05:00"), (1, "2024-01-01 02:00:00")], "video long, t string").select("video", F.to_timestamp("t").alias("t"))
     assert sorted(r["n"] for r in sessions.stream_sessions(at, "video", "t", "10 minutes", "1 hour").collect()) == [1, 2]
+
+
+def test_bm25_cuts_ties_by_id(spark):
+    docs = spark.createDataFrame([(i, "a " + "z " * (40 - i)) for i in range(40)], "doc_id long, text string")
+    q = spark.createDataFrame([(0, "a")], "query_id long, text string")
+    found = search.bm25(docs, q, 10, b=1e-12)  # scores differ beyond nine places alone, as by the order of sums
+    assert [r["doc_id"] for r in found.orderBy("rank").collect()] == list(range(10))

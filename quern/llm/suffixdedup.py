@@ -6,8 +6,8 @@ least hash, which depends on the string alone. So only suffixes at anchors
 whose gram occurs twice are indexed, each with the text before it, and equal
 strings meet in the group of their anchor:
 
-1. anchors of all texts, grams counted, repeated ones kept;
-2. the strings of each anchor, as one context, go to bounded groups;
+1. anchors of all texts, grams counted, texts with repeated ones kept;
+2. the strings of each such anchor, as one context, go to bounded groups;
 3. in a group, batches of suffixes are sorted, merge-scanned with the levels
    that exist, and levels of equal size are merged;
 4. spans are united by text and cut.
@@ -29,17 +29,20 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import materialise, text_key
+from ._common import BROADCAST_ROWS, materialise, small, text_key
 
 SPAN = 400
+SHORT = 240  # bytes: 51 words, each of 3.7 letters or more and a space
 GRAM = 64
 BLOCK = 1 << 20  # bytes that are hashed at once; positions in a block have 20 bits
 GROUP = 16_384  # contexts of a group, on average at most
 BATCH = 4096  # contexts of a batch of the index family
 _ODD = 0x9E3779B97F4A7C15
+_SPREAD = np.int64(0x1E3779B97F4A7C15)
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -272,59 +275,70 @@ def cut(data: bytes, spans: list[tuple[int, int]]) -> bytes:
     return b"".join([*kept, data[at:]])
 
 
-def repeated_spans(docs: DataFrame, span: int = SPAN) -> DataFrame:
-    """docs (text) -> k1, k2, text, spans: the distinct texts of `span` bytes or more that have repeats, and the runs to remove.
+def _anchored(batches: Iterator[pa.RecordBatch], span: int) -> Iterator[pa.RecordBatch]:
+    """k1, k2, data -> k1, k2, h, often: a row for each anchor gram of a text, and whether the text has it at several places."""
+    for batch in batches:
+        k1, k2 = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        for i, _, h, _, _ in anchors(batch.column(2).to_pylist(), span):
+            by = np.lexsort((h, i))
+            i, h = i[by], h[by]
+            new = np.nonzero(np.concatenate([[True], (i[1:] != i[:-1]) | (h[1:] != h[:-1])]))[0]
+            often = np.diff(np.append(new, len(by))) > 1
+            yield pa.record_batch([pa.array(k1[i[new]]), pa.array(k2[i[new]]), pa.array(h[new]), pa.array(often)], ["k1", "k2", "h", "often"])
+
+
+def _contexts(batches: Iterator[pa.RecordBatch], span: int) -> Iterator[pa.RecordBatch]:
+    """k1, k2, data, hs -> the strings of each anchor in hs as one context; equal contexts of a batch are one row with all their places."""
+    names = ["h", "k1", "k2", "pos", "before", "after"]
+    kinds = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary(), pa.binary()]
+    for batch in batches:
+        for part in (batch.slice(at, 2048) for at in range(0, batch.num_rows, 2048)):
+            k1, k2, texts = part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(2).to_pylist()
+            own = np.repeat(np.arange(len(texts)), np.asarray(pc.list_value_length(part.column(3))))
+            wanted = np.unique(np.asarray(part.column(3).flatten()) ^ own * _SPREAD)  # a chance hit is one more context, which repeats nothing
+            rows: dict[tuple[int, bytes, bytes], tuple[list, list, list]] = {}
+            for i, pos, h, first, last in anchors(texts, span):
+                live = np.isin(h ^ i * _SPREAD, wanted)
+                for of, at, gram, lo, hi in zip(*(x[live].tolist() for x in (i, pos, h, first, last)), strict=True):
+                    text = texts[of]
+                    row = rows.setdefault((gram, text[lo:at][::-1], text[at : hi + span]), ([], [], []))
+                    for column, value in zip(row, (k1[of], k2[of], at), strict=True):
+                        column.append(value)
+            if rows:
+                h, before, after = zip(*rows, strict=True)
+                columns = (h, *zip(*rows.values(), strict=True), before, after)
+                yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names)
+
+
+def repeated_spans(texts: DataFrame, span: int = SPAN) -> DataFrame:
+    """texts (k1, k2, data) -> k1, k2, data, spans: the distinct texts of `span` bytes or more that have repeats, and the runs to remove.
 
     Texts that equal another are not told here unless a part of them repeats elsewhere.
-    """
-    docs = docs.where(F.octet_length("text") >= span).select(*text_key(F.col("text")), F.col("text").cast("string").alias("text"))
 
-    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            k1, k2 = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            for i, pos, h, first, last in anchors([t.encode() for t in batch.column(2).to_pylist()], span):
-                by = np.lexsort((pos, h, i))
-                i, h = i[by], h[by]
-                new = np.nonzero(np.concatenate([[True], (i[1:] != i[:-1]) | (h[1:] != h[:-1])]))[0]  # an anchor that a text has often is one row
-                ends = pa.array(np.append(new, len(by)).astype(np.int32))
-                places = [pa.ListArray.from_arrays(ends, pa.array(x[by].astype(np.int32))) for x in (pos, first, last)]
-                yield pa.record_batch([pa.array(k1[i[new]]), pa.array(k2[i[new]]), pa.array(h[new]), *places], ["k1", "k2", "h", "pos", "first", "last"])
-
-    every = materialise(docs.mapInArrow(find, "k1 long, k2 long, h long, pos array<int>, first array<int>, last array<int>").distinct())
-    repeated = every.groupBy("h").agg(F.count("*").alias("n"), F.sum(F.size("pos")).alias("all")).where("all > 1").select("h", "n")
-    wanted = materialise(every.join(repeated, "h"))
-    places = wanted.groupBy("k1", "k2").agg(F.collect_list(F.struct("pos", "first", "last", "h", "n")).alias("places"))
-    texts = docs.groupBy("k1", "k2").agg(F.first("text").alias("text"))
-    texts = materialise(texts.join(places, ["k1", "k2"]))
+    A gram repeats if two texts have it (their least and greatest key differ)
+    or one has it twice; so copies of a text need no deduplication before the
+    count, which combines on the map side. Places are found again for texts
+    with repeated grams only, which keeps the counted rows thin.
+    """
+    texts = texts.where(F.octet_length("data") >= span).select("k1", "k2", "data")
+    every = materialise(texts.mapInArrow(lambda b: _anchored(b, span), "k1 long, k2 long, h long, often boolean"))
+    counts = every.groupBy("h").agg(F.min("k1").alias("a"), F.max("k1").alias("b"), F.max("often").alias("often"))
+    wanted = materialise(every.join(counts.where("a <> b or often").select("h"), "h").select("h", "k1", "k2").distinct())
+    hot = small(wanted.groupBy("h").agg(F.ceil(F.count("*") / GROUP).cast("int").alias("chunks")).where("chunks > 1"))
+    places = wanted.groupBy("k1", "k2").agg(F.collect_list("h").alias("hs"))
+    keys = wanted.select("k1", "k2").distinct()
+    if keys.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:  # then only these texts are shuffled
+        texts = texts.join(F.broadcast(keys), ["k1", "k2"], "left_semi")
+    texts = materialise(texts.groupBy("k1", "k2").agg(F.first("data").alias("data")).join(places, ["k1", "k2"]))
     groups = max(1, -(-wanted.count() // GROUP))
-
-    def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The strings of each anchor as one context; equal contexts of a batch are one row with all their places."""
-        for batch in batches:
-            for part in (batch.slice(i, 2048) for i in range(0, batch.num_rows, 2048)):
-                rows: dict[tuple[int, bytes, bytes], tuple[int, list, list, list]] = {}
-                for k1, k2, text, found in zip(*(c.to_pylist() for c in part.columns), strict=True):
-                    data = text.encode()
-                    for place in found:
-                        for at, first, last in zip(place["pos"], place["first"], place["last"], strict=True):
-                            key = place["h"], data[first:at][::-1], data[at : last + span]
-                            row = rows.setdefault(key, (place["n"], [], [], []))
-                            for column, value in zip(row[1:], (k1, k2, at), strict=True):
-                                column.append(value)
-                if rows:
-                    h, before, after = zip(*rows, strict=True)
-                    n, k1, k2, pos = zip(*rows.values(), strict=True)
-                    yield pa.record_batch([pa.array(c, t) for c, t in zip((h, n, k1, k2, pos, before, after), kinds, strict=True)], names)
-
-    names = ["h", "n", "k1", "k2", "pos", "before", "after"]
-    kinds = [pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary(), pa.binary()]
-    cut_out = texts.mapInArrow(contexts, "h long, n long, k1 array<long>, k2 array<long>, pos array<int>, before binary, after binary")
-    chunks = F.ceil(F.col("n") / GROUP).cast("int")
+    cut_out = texts.mapInArrow(lambda b: _contexts(b, span), "h long, k1 array<long>, k2 array<long>, pos array<int>, before binary, after binary")
+    dealt = cut_out.join(hot, "h", "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
     chunk = F.pmod(F.xxhash64("before", "after"), F.col("chunks")).cast("int")
     pair = F.explode(F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda j: F.struct(F.least("chunk", j).alias("i"), F.greatest("chunk", j).alias("j"))))
-    dealt = cut_out.withColumn("chunks", chunks).withColumn("chunk", chunk).select("*", pair.alias("pair"))
+    dealt = dealt.withColumn("chunk", chunk).select("*", pair.alias("pair"))
     key = F.when(F.col("chunks") > 1, F.col("h")).otherwise(F.pmod(F.xxhash64("h"), F.lit(groups)))
-    dealt = dealt.select(key.alias("g"), F.when(F.col("chunks") > 1, F.col("pair.i")).otherwise(-1).alias("i"), F.col("pair.j").alias("j"), "h", "k1", "k2", "pos", "before", "after")
+    which = F.when(F.col("chunks") > 1, F.col("pair.i")).otherwise(-1)
+    dealt = dealt.select(key.alias("g"), which.alias("i"), F.col("pair.j").alias("j"), "h", "k1", "k2", "pos", "before", "after")
 
     def scan(table: pa.Table) -> pa.Table:
         before, after, pos = table["before"].to_pylist(), table["after"].to_pylist(), table["pos"].to_pylist()
@@ -342,32 +356,70 @@ def repeated_spans(docs: DataFrame, span: int = SPAN) -> DataFrame:
 
     spans = dealt.groupBy("g", "i", "j").applyInArrow(scan, "k1 long, k2 long, start long, end long")
     spans = spans.groupBy("k1", "k2").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
-    return texts.select("k1", "k2", "text").join(spans, ["k1", "k2"])
+    return texts.select("k1", "k2", "data").join(spans, ["k1", "k2"])
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """docs (text) -> k1, k2, data (UTF-8)."""
+    return docs.select(*text_key(F.col("text")), F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("data"))
 
 
-def _cut_texts(docs: DataFrame, span: int, whole: bool) -> DataFrame:
-    """k1, k2, removed, runs, kept_sha256 and, if `whole`, kept of the distinct texts with repeats."""
+def longer_spans(found: DataFrame, span: int) -> DataFrame:
+    """repeated_spans() for a shorter span -> k1, k2, spans for `span`.
+
+    A repeated string of `span` bytes is made of repeated shorter ones, so it
+    lies inside one of the shorter span's runs: only these are indexed again.
+    """
+
+    def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for k1, k2, data, spans in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                rows += [(k1, k2, a, data[a:b]) for a, b in union([(s["start"], s["end"]) for s in spans]) if b - a >= span]
+            columns = zip(*rows, strict=True) if rows else [[]] * 4
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary())
+            yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["t1", "t2", "at", "data"])
+
+    pieces = found.mapInArrow(runs, "t1 long, t2 long, at long, data binary").withColumns(dict(zip(("k1", "k2"), text_key(F.col("data")), strict=True)))
+    pieces = materialise(pieces)
+    inside = repeated_spans(pieces, span).select("k1", "k2", "spans")
+    copies = pieces.groupBy("k1", "k2").agg(F.count("*").alias("n")).where("n > 1")
+    known = pieces.select("t1", "t2", "at", "k1", "k2", F.octet_length("data").cast("long").alias("size")).join(inside, ["k1", "k2"], "left").join(copies, ["k1", "k2"], "left")
+    whole = F.array(F.struct(F.lit(0).cast("long").alias("start"), F.col("size").alias("end")))
+    spans = F.when(F.col("n").isNotNull(), whole).otherwise(F.col("spans"))
+    moved = F.transform(spans, lambda s: F.struct((s["start"] + F.col("at")).alias("start"), (s["end"] + F.col("at")).alias("end")))
+    rows = known.where("n is not null or spans is not null").select(F.col("t1").alias("k1"), F.col("t2").alias("k2"), moved.alias("spans"))
+    return rows.groupBy("k1", "k2").agg(F.flatten(F.collect_list("spans")).alias("spans"))
+
+
+def _cut(found: DataFrame, whole: bool) -> DataFrame:
+    """found (k1, k2, data, spans) -> k1, k2, removed, runs, sha and, if `whole`, kept."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = (pa.int64(), pa.int64(), pa.string(), pa.string())
         for batch in batches:
             out = []
-            for text, spans in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+            for data, spans in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
                 runs = union([(s["start"], s["end"]) for s in spans])
-                kept = cut(text.encode(), runs)
+                kept = cut(data, runs)
                 out.append((sum(e - s for s, e in runs), len(runs), hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "ignore") if whole else None))
-            columns = [pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.string(), pa.string()), strict=True)] if out else None
-            if columns:
+            if out:
+                columns = [pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)]
                 yield pa.record_batch([*batch.columns[:2], *columns], ["k1", "k2", "removed", "runs", "sha", "kept"])
 
-    return repeated_spans(docs, span).select("k1", "k2", "text", "spans").mapInArrow(run, "k1 long, k2 long, removed long, runs long, sha string, kept string")
+    return found.select("k1", "k2", "data", "spans").mapInArrow(run, "k1 long, k2 long, removed long, runs long, sha string, kept string")
+
+
+def _copies(docs: DataFrame, span: int) -> DataFrame:
+    """k1, k2, n of the texts of `span` bytes or more that several rows have."""
+    return docs.where(F.octet_length("text") >= span).select(*text_key(F.col("text"))).groupBy("k1", "k2").agg(F.count("*").alias("n")).where("n > 1")
 
 
-def _told(docs: DataFrame, span: int, keep: tuple[str, ...], whole: bool) -> DataFrame:
-    """The columns in `keep`, n_bytes, n_removed, n_spans, and sha and kept (null: all is kept) of each row."""
+def _told(docs: DataFrame, known: DataFrame, keep: tuple[str, ...], *more: Column) -> DataFrame:
+    """The columns in `keep`, n_bytes, n_removed, n_spans, kept_sha256, kept (null: all is kept) and `more` of each row; known: _cut() joined with _copies()."""
     size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")
-    rows = docs.select(*(F.col(c).alias(f"_{i}") for i, c in enumerate(keep)), *text_key(F.col("text")), size.alias("n_bytes"), F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("all_sha"))
-    twice = docs.where(F.octet_length("text") >= span).select(*text_key(F.col("text"))).groupBy("k1", "k2").agg(F.count("*").alias("n")).where("n > 1")
-    known = materialise(_cut_texts(docs, span, whole).join(twice, ["k1", "k2"], "full"))
+    all_sha = F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)
+    rows = docs.select(*(F.col(c).alias(f"_{i}") for i, c in enumerate(keep)), *text_key(F.col("text")), size.alias("n_bytes"), all_sha.alias("all_sha"))
     equal = F.col("n").isNotNull()
     return rows.join(known, ["k1", "k2"], "left").select(
         *(F.col(f"_{i}").alias(c) for i, c in enumerate(keep)),
@@ -376,20 +428,32 @@ def _told(docs: DataFrame, span: int, keep: tuple[str, ...], whole: bool) -> Dat
         F.when(equal, 1).otherwise(F.coalesce("runs", F.lit(0))).cast("long").alias("n_spans"),
         F.when(equal, F.sha2(F.lit("").cast("binary"), 256)).otherwise(F.coalesce("sha", "all_sha")).alias("kept_sha256"),
         F.when(equal, "").otherwise(F.col("kept")).alias("kept"),
+        *more,
     )
 
 
 def remove_repeats(docs: DataFrame, span: int = SPAN) -> DataFrame:
     """docs with the repeats cut from text (and n_chars, if there is one, counted anew). Documents of which nothing is left go.
 
-    A cut can split a character; what is left of it goes too.
+    A cut can split a character; what is left of it goes too. Null and empty
+    texts stay as they are; repeated rows are repeats of each other; columns
+    of any name pass.
     """
     columns = docs.columns
-    cut_docs = _told(docs.select(F.struct(*columns).alias("_row"), "text"), span, ("_row",), True)
+    known = materialise(_cut(repeated_spans(keyed(docs), span), True).join(_copies(docs, span), ["k1", "k2"], "full"))
+    cut_docs = _told(docs.select(F.struct(*columns).alias("_row"), "text"), known, ("_row",))
     text = F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col("_row.text"))
     out = cut_docs.where("n_removed < n_bytes or n_bytes = 0").select(*(text.alias(c) if c == "text" else F.col("_row")[c].alias(c) for c in columns))
     return out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in columns else out
 
 
 def query(docs: DataFrame) -> DataFrame:
-    return _told(docs, SPAN, ("doc_id",), False).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    """What a span of SPAN bytes removes, and n_removed_short, what one of SHORT bytes would."""
+    found = materialise(repeated_spans(keyed(docs), SHORT))
+    long = longer_spans(found, SPAN)
+    known = _cut(found.select("k1", "k2", "data").join(long, ["k1", "k2"]), False)
+    short = _cut(found, False).select("k1", "k2", F.col("removed").alias("short"))
+    known = known.join(_copies(docs, SPAN), ["k1", "k2"], "full")
+    known = materialise(known.join(short.join(_copies(docs, SHORT).withColumnRenamed("n", "twins"), ["k1", "k2"], "full"), ["k1", "k2"], "full"))
+    less = F.when(F.col("twins").isNotNull(), F.col("n_bytes")).otherwise(F.coalesce("short", F.lit(0))).cast("long")
+    return _told(docs, known, ("doc_id",), less.alias("n_removed_short")).drop("kept")

@@ -22,7 +22,8 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def remove_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return suffixdedup.remove_repeats(docs)
+    """Passages of over 50 words that repeat go: SHORT bytes, not op9's 400, as 51 words can have 250 bytes."""
+    return suffixdedup.remove_repeats(docs, suffixdedup.SHORT)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -2,20 +2,28 @@
 
 A document's ids are split into pieces whose lengths are powers of two, at
 most `capacity`, longest first. A piece is a sequence of its own, so no
-sequence crosses documents and none needs padding; equal lengths form the
-buckets that training batches draw from.
+sequence crosses documents and none needs padding. Equal lengths form the
+buckets that training batches draw from: `bucket` is a length's logarithm,
+and write_buckets() stores each bucket in a folder of its own.
+
+Ids are those of the tokenizers library for a tokenizer file. Where the file
+is byte-level BPE with the common pattern and no other steps, tiktoken gives
+the same ids from the file's vocabulary, in a third of the time; any other
+file, and any text with a very long run of white space, is left to tokenizers.
 
 Defined results: a null text is the empty text, which has the end id alone;
 repeated rows are packed each; an empty table gives no piece; extra columns
-are ignored; strings of special tokens in a text are ordinary text.
+are ignored, whatever their names; strings of special tokens in a text are
+ordinary text; ties don't occur.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
-import struct
 from collections.abc import Iterator
+from functools import cache
 from itertools import chain
 
 import numpy as np
@@ -24,15 +32,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Between two characters that aren't white space, a space always begins a new pre-token.
-CUT = re.compile(r"(?<=\S) (?=\S)")
-#: A space that isn't so: beside white space (Unicode's and four control characters, as in CUT) or an end.
-_WHITE = r"[\x09-\x0d\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
-ODD = rf"\A | \z|{_WHITE} | {_WHITE}"
-#: Inside a unit a pre-token always ends between a Latin letter and an ASCII character that isn't one, and after a single line feed between visible characters.
-PARTS = re.compile(r"(?<=[A-Za-zÀ-ÖØ-öø-ɏ])(?=[\x00-@\[-`{-\x7f])|(?<=[!-~À-ÿ]\n)(?=[!-~À-ÿ])")
+#: The pre-tokenizer's pattern that such files stand for.
+PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Characters of white space in a run that tiktoken's pattern is known to pass; beyond, it can fail.
+RUN = 50_000
+WHITE = re.compile(r"\s+")
 CHUNK = 4 << 20  # bytes of text that are encoded at once
-LEARN = 16_384  # units that the tokenizer gets at once
 ROWS = 16_384  # pieces in a record batch
 SCHEMA = "doc_id long, start long, length long, doc_tokens long, ids binary"
 
@@ -47,118 +52,114 @@ def decompose(n: int, capacity: int = 2048) -> list[tuple[int, int]]:
     return out
 
 
+def byte_ranks(tokenizer: dict) -> dict[bytes, int] | None:
+    """Bytes and ids of a tokenizer file's vocabulary, if ids follow the merges and nothing but the common byte-level pattern comes before; else None."""
+    model, pre = tokenizer["model"], tokenizer.get("pre_tokenizer") or {}
+    plain = pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space")
+    odd = [k for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "fuse_unk", "byte_fallback", "ignore_merges") if model.get(k)]
+    if model.get("type", "BPE") != "BPE" or not plain or odd or tokenizer.get("normalizer"):
+        return None
+    shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+    byte_of = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in shown)}
+    vocab = {k: i for k, i in model["vocab"].items() if all(c in byte_of for c in k)}
+    order = [vocab.get("".join(m if isinstance(m, list) else m.split(" "))) for m in model["merges"]]
+    if None in order or order != sorted(order) or any(vocab.get(c, len(vocab)) > min(order, default=0) for c in byte_of):
+        return None
+    return {bytes(byte_of[c] for c in k): i for k, i in vocab.items()}
+
+
 class Encoder:
-    """Ids of whole texts.
-
-    The text is cut at spaces between visible characters, where the tokenizer's
-    pre-tokenizer cuts anyway, and the tokenizer encodes each distinct
-    unit once; `most` bounds the units that are remembered. Units are numbered
-    by Arrow and their ids gathered by numpy, so Python meets distinct units only.
-    A unit of several parts (a word and its punctuation) is put together from
-    theirs, so the tokenizer meets a word once, whatever follows it.
-    """
+    """Ids of whole texts, each followed by the end id."""
 
-    def __init__(self, path: str, end_id: int, most: int = 400_000):
+    def __init__(self, path: str, end_id: int):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
+        self.end = end_id
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.end, self.most, self.known = np.uint32(end_id).tobytes(), most, {}
-
-    def learn(self, units: list[str]) -> None:
-        split = {unit: parts for unit in units if not unit[1:].isalpha() and len(parts := PARTS.split(unit)) > 1}
-        whole = (unit for unit in units if unit not in split)
-        new = list(dict.fromkeys(part for part in chain(whole, *split.values()) if part not in self.known))
-        for at in range(0, len(new), LEARN):  # the tokenizer's own results are large
-            some = new[at : at + LEARN]
-            for part, found in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                ids = found.ids
-                self.known[part] = struct.pack(f"<{len(ids)}I", *ids)
-        for unit, parts in split.items():
-            self.known[unit] = b"".join(map(self.known.__getitem__, parts))
+        with open(path, encoding="utf-8") as f:
+            ranks = byte_ranks(json.load(f))
+        self.fast = None
+        if ranks:
+            import tiktoken
+
+            self.fast = tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+    def ids(self, text: str) -> list[int]:
+        if self.fast is not None and (len(text) < RUN or all(m.end() - m.start() < RUN for m in WHITE.finditer(text))):
+            return self.fast.encode_ordinary(text)
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Texts without nulls -> all ids one after the other, and the number of each text's."""
+        found = [self.ids(text) for text in texts.to_pylist()]
+        counts = np.array([len(ids) + 1 for ids in found], np.int64)
+        end = (self.end,)
+        return np.fromiter(chain.from_iterable(chain(ids, end) for ids in found), np.uint32, int(counts.sum())), counts
 
     def __call__(self, texts: list[str]) -> Iterator[bytes]:
         """Each text's ids as bytes (unsigned 32 bits, little-endian)."""
-        out = [b""] * len(texts)
-        for places, units in split_units(pa.array(texts, pa.string())):
-            ids, counts = self.encode(units)
-            for i, found in zip(places.tolist(), np.split(ids, np.cumsum(counts)[:-1]), strict=True):
-                out[i] = found.tobytes()
-        yield from out
-
-    def encode(self, units: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
-        """Texts as lists of their units (spaces at the cuts left out) -> all ids one after the other, and the number of each text's."""
-        ends = np.asarray(units.offsets)[1:] - units.offsets[0].as_py()
-        first = np.concatenate([[0], ends[:-1]])
-        encoded = units.flatten().dictionary_encode()
-        codes, n = np.array(encoded.indices, np.int64), len(encoded.dictionary)
-        later = np.ones(len(codes), bool)
-        later[first] = False
-        codes[later] += n  # the same unit after a space
-        codes = np.insert(codes, ends, 2 * n)
-        seen = np.nonzero(np.bincount(codes))[0]
-        number = np.empty(2 * n + 1, np.int64)
-        number[seen] = np.arange(len(seen))
-        codes = number[codes]
-        names = encoded.dictionary.take(pa.array(seen[:-1] % n)).to_pylist()
-        names = [" " + name if code >= n else name for code, name in zip(seen.tolist(), names, strict=False)]
-        if len(self.known) > self.most:
-            self.known.clear()
-        self.learn([name for name in names if name not in self.known])
-        held = [*map(self.known.__getitem__, names), self.end]
-        sizes = np.array([len(ids) // 4 for ids in held])
-        flat, starts = np.frombuffer(b"".join(held), "<u4"), np.cumsum(sizes) - sizes
-        size = sizes[codes]
-        total = np.cumsum(size)
-        ids = flat[np.repeat(starts[codes] - (total - size), size) + np.arange(total[-1])]
-        return ids, np.diff(total[ends + np.arange(len(ends))], prepend=0)
-
-
-def split_units(texts: pa.Array) -> Iterator[tuple[np.ndarray, pa.ListArray]]:
-    """Texts without nulls -> places in `texts` and the units of the texts there, by chunks of bounded size (or one text)."""
-    odd = np.array(pc.match_substring_regex(texts, ODD))
-    sizes = np.array(pc.binary_length(texts), np.int64)
-    for kind in (False, True):
-        at = np.nonzero(odd == kind)[0]
-        part = np.cumsum(sizes[at]) // CHUNK
-        for some in np.split(at, np.nonzero(np.diff(part))[0] + 1):
-            if len(some):
-                chunk = texts.take(pa.array(some))
-                yield some, pa.array([CUT.split(t) for t in chunk.to_pylist()], pa.list_(pa.string())) if kind else pc.split_pattern(chunk, " ")
+        ids, counts = self.encode(pa.array(texts, pa.string()))
+        for found in np.split(ids, np.cumsum(counts)[:-1]):
+            yield found.astype("<u4").tobytes()
+
+
+@cache
+def encoder(path: str, end_id: int) -> Encoder:
+    """One a worker process, whatever number of tasks it runs."""
+    return Encoder(path, end_id)
+
+
+def chunks(texts: pa.Array) -> Iterator[slice]:
+    """Runs of texts of about CHUNK bytes (or one text)."""
+    part = np.cumsum(np.array(pc.binary_length(texts), np.int64)) // CHUNK
+    ends = np.append(np.nonzero(np.diff(part))[0] + 1, len(texts))
+    for at, to in zip(np.append(0, ends[:-1]), ends, strict=True):
+        if to > at:
+            yield slice(int(at), int(to))
 
 
 def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 1) -> DataFrame:
-    """docs (doc_id, text) -> a row for each piece: doc_id, start, length, doc_tokens, ids, sequence_id, offset.
+    """docs (doc_id, text) -> a row for each piece: doc_id, start, length, doc_tokens, ids, sequence_id, offset
+
+    and bucket (the length's logarithm).
 
     capacity: a power of two. sequence_id is unique, not dense; a recomputed
-    partition gives the same ids, as it reads the same rows in order.
+    partition gives the same ids only as it reads the same rows in order, so
+    docs should be a stored table.
     """
     if capacity < 1 or capacity & (capacity - 1):
         raise ValueError("capacity must be a power of two")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(tokenizer, end_id)
+        known = encoder(tokenizer, end_id)
         for batch in batches:
-            for places, units in split_units(batch.column(1)):
-                ids, counts = encoder.encode(units)
+            for some in chunks(batch.column(1)):
+                ids, counts = known.encode(batch.column(1)[some])
                 cuts = [decompose(n, capacity) for n in counts.tolist()]
                 of = np.repeat(np.arange(len(counts)), [len(c) for c in cuts])
                 start, length = np.array([piece for c in cuts for piece in c], np.int64).T
                 ends = np.concatenate([[0], np.cumsum(length)]) * 4  # pieces follow each other as their ids do
                 held = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(of), [None, pa.py_buffer(ends), pa.py_buffer(ids)])
-                doc = batch.column(0).take(pa.array(places[of]))
+                doc = batch.column(0)[some].take(pa.array(of))
                 for at in range(0, len(of), ROWS):
-                    some = slice(at, at + ROWS)
-                    columns = [doc[some], pa.array(start[some]), pa.array(length[some]), pa.array(counts[of][some]), held[some].cast(pa.binary())]
+                    few = slice(at, at + ROWS)
+                    columns = [doc[few], pa.array(start[few]), pa.array(length[few]), pa.array(counts[of[few]]), held[few].cast(pa.binary())]
                     yield pa.record_batch(columns, ["doc_id", "start", "length", "doc_tokens", "ids"])
 
     pieces = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).mapInArrow(run, SCHEMA)
-    return pieces.withColumn("sequence_id", F.monotonically_increasing_id()).withColumn("offset", F.lit(0).cast("long"))
+    bucket = F.log2("length").cast("int")
+    return pieces.withColumns({"sequence_id": F.monotonically_increasing_id(), "offset": F.lit(0).cast("long"), "bucket": bucket})
+
+
+def write_buckets(pieces: DataFrame, path: str) -> None:
+    """pack()'s rows as Parquet, a folder for each bucket: a batch reader meets sequences of one length. Tasks write their own files, so no bucket is gathered."""
+    pieces.write.partitionBy("bucket").parquet(path)
 
 
 def query(docs: DataFrame) -> DataFrame:
     import public_tokenizers
 
     pieces = pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
-    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "bucket")

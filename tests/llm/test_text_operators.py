@@ -70,8 +70,9 @@ def test_packing_round_trip(docs, rows, spark):
     for doc_id, text, *_ in rows:
         want = np.array([*t.encode(text or "", add_special_tokens=False).ids, 1], "<u4").tobytes()
         found = sorted(by[doc_id])
-        if doc_id != 7:  # which is there twice
-            assert b"".join(x[1] for x in found) == want and {x[2] for x in found} == {len(want) // 4}
+        copies = 2 if doc_id == 7 else 1  # a repeated row is packed twice
+        assert b"".join(x[1] for x in found[::copies]) == want and {x[2] for x in found} == {len(want) // 4}
+        assert found[::copies] == found[copies - 1 :: copies]
     assert packing.query(empty(spark)).count() == 0
 
 
@@ -86,18 +87,52 @@ def test_encoder_equals_the_tokenizer(text):
     assert np.frombuffer(found, "<u4").tolist() == [*t.encode(text, add_special_tokens=False).ids, 1]
 
 
-def test_encoder_of_many_texts_keeps_their_order(monkeypatch):
+def test_encoder_of_many_texts_keeps_their_order():
     import public_tokenizers
     from tokenizers import Tokenizer
 
-    monkeypatch.setattr(packing, "CHUNK", 64)
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     t.encode_special_tokens = True
     texts = ["a b", " a b", "", "b", "b  a", words(1, 90), "\x00 b \x00", "\u3000 a", "a\u3000b a", "a\nb a", "a \nb", "a ", words(2, 9)] * 3
-    found = packing.Encoder(public_tokenizers.path("byte_bpe_50k.json"), 1, most=5)(texts)
+    found = packing.Encoder(public_tokenizers.path("byte_bpe_50k.json"), 1)(texts)
     assert [np.frombuffer(f, "<u4").tolist() for f in found] == [[*t.encode(text, add_special_tokens=False).ids, 1] for text in texts]
 
 
+@pytest.mark.parametrize("text", [" " * 1_000_000 + "x", "ab" * 500_000, "a" * 30_000, "Ab" * 4000 + " c", "!?" * 3000, " " * 5000 + "x", "12" * 3000, "日本" * 2500, "\n" * 2500])
+def test_long_pre_tokens(text):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    t = Tokenizer.from_file(path)
+    found = next(packing.encoder(path, 1)([text]))
+    assert np.frombuffer(found, "<u4").tolist() == [*t.encode(text, add_special_tokens=False).ids, 1]
+
+
+def test_another_tokenizer_gets_whole_texts():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    t = Tokenizer.from_file(path)
+    t.encode_special_tokens = True
+    e = packing.Encoder(path, 7)
+    assert e.fast is None
+    for text in ("Two words, don't", "  a\n b", ""):
+        assert np.frombuffer(next(e([text])), "<u4").tolist() == [*t.encode(text, add_special_tokens=False).ids, 7]
+
+
+def test_buckets(docs, tmp_path, monkeypatch, spark):
+    import public_tokenizers
+
+    monkeypatch.setattr(packing, "CHUNK", 64)
+    pieces = packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    packing.write_buckets(pieces, f"{tmp_path}/p")
+    for r in spark.read.parquet(f"{tmp_path}/p").select("bucket", "length").distinct().collect():
+        assert r["length"] == 1 << r["bucket"]
+    assert spark.read.parquet(f"{tmp_path}/p").count() == pieces.count()
+
+
 def test_decompose():
     assert packing.decompose(2048 * 2 + 1 + 64) == [(0, 2048), (2048, 2048), (4096, 64), (4160, 1)]
     assert packing.decompose(0) == []

@@ -1,8 +1,13 @@
 """A small labelled table for the block classifier: pages as (markup, label) pieces.
 
 Label: 1 main text, 0 not, None if the markup has no block of its own.
+MARKED pages tell their parts by tags and names; PLAIN ones are of containers
+without names, where words, links, headings and bare text must do.
 """
 
+import random
+import re
+
 WORDS = (
     "the old harbour lies quiet in the morning while boats return with the night's catch and the first buyers walk down from the square "
     "to look at what the sea has given them this time of the year when storms are rare and the water is still warm from summer"
@@ -14,7 +19,7 @@ def prose(n: int) -> str:
 
 
 def links(n: int) -> list[tuple[str, int]]:
-    return [(f'<li><a href="/{i}">{WORDS[i]}</a></li>', 0) for i in range(n)]
+    return [(f'<li><a href="/{i}">{prose(1 + i % 5)}</a></li>', 0) for i in range(n)]
 
 
 def paragraphs(*sizes: int) -> list[tuple[str, int]]:
@@ -51,7 +56,7 @@ def page(*parts: list[tuple[str, int | None]]) -> list[tuple[str, int | None]]:
 LIST = boxed("<ul>", [("<li>bread from the corner shop</li>", 1), ("<li>two lemons</li>", 1)], "</ul>")
 LINKED = [(f'<p>{prose(18)} <a href="/x">as we wrote</a> {prose(9)}</p>', 1), ('<p><a href="/y">See the map</a></p>', 1)]
 
-PAGES = [
+MARKED = [
     page(NAV, AD, article(paragraphs(60, 35), SHORT), FOOTER),
     page(NAV, AD, article(paragraphs(3, 120, 14)), LONG_FOOTER),
     page(HEADER, NAV, article(paragraphs(40, 40), LIST, LINKED), SIDEBAR, COMMENTS, FOOTER),
@@ -71,3 +76,65 @@ PAGES = [
     page(article(paragraphs(20), SECTION_COMMENTS, SIDE_TEXT, NOTICE), NOTICE, FORM),
     page(boxed("<article><header>", [("<h1>Tides</h1>", 0), ("<p>By a sailor</p>", 0)], "</header>"), paragraphs(55, 17), boxed("<footer>", [("<p>Filed under sea</p>", 0)], "</footer></article>"), SIDEBAR),
 ]
+
+
+BARE_AD = [(f"<div>{prose(8)}</div>", 0)]
+BARE_FOOTER = [("<div>&copy; example &middot; all rights reserved</div>", 0)]
+
+
+def bare(n: int) -> list[tuple[str, int]]:
+    return [(f"<div>{prose(n)}</div>", 0)]
+
+
+def story(*sizes: int) -> list[tuple[str, int | None]]:
+    return boxed("<div>", [("<h1>A quiet morning at the old harbour</h1>", 1), *paragraphs(*sizes)], "</div>")
+
+
+MENU = boxed("<div><ul>", links(6), "</ul></div>")
+PLAIN = [
+    *(page(MENU, bare(n), story(60, m, 35), bare(n + 3)) for n, m in ((5, 1), (9, 14), (14, 3), (24, 70), (41, 9))),
+    *(page(MENU, story(m, 30), bare(n)) for n, m in ((4, 80), (12, 2), (30, 25))),
+    *(page(MENU, bare(6 + i), story(25, *sizes, 40), bare(9 + i)) for i, sizes in enumerate(((1, 2, 1), (2, 1, 60, 1), (3, 19, 2), (1, 48, 2, 2, 7, 1), (5, 4, 3, 2, 1)))),
+    page(MENU, BARE_AD, story(1), BARE_FOOTER),
+    page(MENU, BARE_AD, story(12), BARE_FOOTER),
+    page(MENU, story(90, 4, 2, 1), BARE_FOOTER),
+    page(MENU, BARE_AD, story(7, 1, 44), boxed("<div>", links(3), "</div>"), BARE_FOOTER),
+    page(BARE_AD, boxed("<div>", [("<h2>Ferries</h2>", 1), *paragraphs(33, 12), *LIST, *paragraphs(18)], "</div>"), MENU, BARE_FOOTER),
+    page(MENU, boxed("<div>", [("<h1>Tides</h1>", 1), *paragraphs(26), *LINKED, *paragraphs(5)], "</div>"), BARE_FOOTER),
+    page(boxed("<div>", [*paragraphs(45, 60), ("<h2>More boats</h2>", 1), *paragraphs(3, 33)], "</div>"), boxed("<div>", links(4), "</div>")),
+    *([("<html><body>", None), *[(f"<div>{prose(n)}</div>", 1) for n in sizes], ("</body></html>", None)] for sizes in ((50, 70, 12), (31, 2, 44), (9,), (3, 4))),
+    page(MENU, boxed("<div>", [(f"<div>{prose(n)}</div>", 1) for n in (48, 55, 30)], "</div>")),
+]
+
+
+def unnamed(pieces: list[tuple[str, int | None]]) -> list[tuple[str, int | None]]:
+    """The same page with its classes and ids gone."""
+    return [(re.sub(r' (?:class|id)="[^"]*"', "", markup), label) for markup, label in pieces]
+
+
+#: Lengths of paragraphs and of other blocks; they must overlap, so that no single length tells anything.
+RANDOM = random.Random(3)
+
+
+def sizes() -> list[int]:
+    return [RANDOM.choice((1, 1, 2, 2, 3, 4, 6, 9, 14, 20, 35, 60, 110, 180)) for _ in range(RANDOM.randrange(1, 14))]
+
+
+def few() -> int:
+    return RANDOM.randrange(3, 45)
+
+
+VARIED = [
+    p
+    for _ in range(24)
+    for p in (
+        page(NAV, boxed('<div class="ad">', [(prose(few()), 0)], "</div>"), article(paragraphs(*sizes())), boxed("<footer>", [(prose(few()), 0)], "</footer>")),
+        page(HEADER, article(paragraphs(*sizes()), LIST, paragraphs(*sizes())), boxed('<div class="comments">', [(f"<p>{prose(n)}</p>", 0) for n in sizes()], "</div>"), boxed("<aside>", [(f"<p>{prose(n)}</p>", 0) for n in sizes()], "</aside>")),
+        page(NAV, article(paragraphs(*sizes()))),
+        page(MENU, story(*sizes())),
+        page(MENU, bare(few()), story(*sizes()), bare(few())),
+        page(MENU, story(*sizes()), boxed("<div>", links(3), "</div>"), bare(few())),
+        [("<html><body>", None), *[(f"<div>{prose(n)}</div>", 1) for n in sizes()], ("</body></html>", None)],
+    )
+]
+PAGES = [*MARKED, *PLAIN, *VARIED, *(unnamed(p) for p in MARKED[:2] + MARKED[4:5])]

@@ -1,13 +1,17 @@
 """Main text of HTML pages from flat text blocks and a decision tree.
 
-A page is cut into flat blocks. A block has its words, link density, those of
-the blocks before and after it, and what surrounds it. A decision tree, grown
-here on a small table of labelled blocks, tells main text from the rest.
+A page is cut into flat blocks. A block has its words and link density, those
+of the blocks before and after it, whether it is a heading, an item or bare
+text of a container, whether most of the page's words aren't bare, and
+whether it lies in an article or in a box that tags or names tell. A decision
+tree, grown here on a small table of labelled blocks, tells main text from
+the rest. Half of the labelled pages are made of plain containers without
+names, so the tree works where pages tell nothing by their markup.
 
 Defined results: a null or empty page, or one without main text, gives the
 empty text; unclosed comments, scripts and tags run to the page's end; a line
 break is white space; repeated pages are judged each; an empty table gives no
-rows; extra columns are ignored.
+rows; extra columns are ignored, whatever their names; ties don't occur.
 """
 
 from __future__ import annotations
@@ -25,15 +29,16 @@ from ._common import map_batches
 from .htmllabels import PAGES
 
 #: A comment, declaration, element without text of the page, or tag; each runs to the end if it isn't closed.
+#: Quotes count after an equals sign only. Nothing is tried twice, so the scan takes time in proportion to the page.
 MARKUP = re.compile(
-    r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(script|style|noscript|template|textarea|select|svg|iframe|object|title|math)\b[^>]*(?:>|\Z).*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9-]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)(?:>|\Z)",
+    r"<!--.*?(?:-->|\Z)|<[!?][^>]*+(?:>|\Z)"
+    r"|<(script|style|noscript|template|textarea|select|svg|iframe|object|title|math)\b[^>]*+(?:>|\Z).*?(?:</\1\s*+>|\Z)"
+    r"|<(/?)([a-zA-Z][a-zA-Z0-9-]*+)((?:=\s*+\"[^\"]*+(?:\"|\Z)|=\s*+'[^']*+(?:'|\Z)|[^>])*+)(?:>|\Z)",
     re.S | re.I,
 )
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img input ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
 CONTAINERS = frozenset("div section nav header footer aside form article main ul ol dl table body figure fieldset dialog menu center".split())
 VOID = frozenset("br img input hr meta link wbr area base col embed source track".split())
-#: What a container opens by its tag, or by a word of its class, id or role. Features are whether an article is open, and whether any other zone is.
-ZONES = ("article", "nav", "header", "footer", "aside", "form", "ad", "comments", "notice")
 BY_TAG = {"article": "article", "main": "article", "nav": "nav", "menu": "nav", "header": "header", "footer": "footer", "aside": "aside", "form": "form", "fieldset": "form", "dialog": "notice"}
 BY_WORD = {
     **dict.fromkeys("article post entry story content body main".split(), "article"),
@@ -47,26 +52,36 @@ BY_WORD = {
     **dict.fromkeys("notice cookie cookies consent gdpr popup modal alert overlay".split(), "notice"),
 }
 ATTRIBUTE = re.compile(r"""\b(?:class|id|role|aria-label)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
-NAMES = ("words", "links", "words_before", "links_before", "words_after", "links_after", "heading", "item", "article", "boxed")
+#: A name that begins so tells what an element has or hides, not what it is.
+QUALIFIERS = frozenset("has no not with without is in show hide hidden enable disable open close".split())
+NAMES = ("words", "links", "words_before", "links_before", "words_after", "links_after", "heading", "item", "bare", "tagged", "article", "has_article", "boxed")
 
 
-def zone_of(tag: str, attributes: str) -> int:
-    """Index of the zone that a container opens, or -1. An excluding word counts before `content` and its like."""
-    found = [BY_TAG[tag]] if tag in BY_TAG else []
-    for value in ATTRIBUTE.findall(attributes) if "=" in attributes else ():
-        words = re.split(r"[^a-z]+", value.lower())
-        found += [BY_WORD[w] for w in words if w in BY_WORD]
-    found.sort(key=lambda z: z == "article")
-    return ZONES.index(found[0]) if found else -1
+def named(value: str) -> str | None:
+    """The zone that one name of a class or id tells: its last word decides, else its first."""
+    words = re.split(r"[^a-z]+", value.lower())
+    words = [w for w in words if w]
+    if not words or words[0] in QUALIFIERS:
+        return None
+    return BY_WORD.get(words[-1]) or BY_WORD.get(words[0])
+
+
+def zone_of(tag: str, attributes: str) -> str | None:
+    """What a container opens: `article`, another zone, or None. A tag that says so decides; among names an excluding one counts first."""
+    if tag in BY_TAG:
+        return BY_TAG[tag]
+    found = [z for value in ATTRIBUTE.findall(attributes) for name in value.strip("\"'").split() if (z := named(name))] if "=" in attributes else []
+    return min(found, key=lambda z: z == "article", default=None)
 
 
 def flat_blocks(page: str) -> tuple[list[str], np.ndarray]:
     """Texts of the blocks in page order, and a row of features for each."""
     texts, rows = [], []
-    stack: list[tuple[str, int]] = []
-    depth = [0] * len(ZONES)
+    stack: list[tuple[str, str | None]] = []
+    opened: dict[str, int] = {}
+    articles = boxes = 0
     parts: list[str] = []
-    linked = heading = item = 0
+    linked = heading = item = plain = 0
     in_link = False
 
     def flush() -> None:
@@ -74,7 +89,7 @@ def flat_blocks(page: str) -> tuple[list[str], np.ndarray]:
         words = html.unescape("".join(parts)).split() if parts else ()
         if words:
             texts.append(" ".join(words))
-            rows.append([len(words), min(1.0, linked / len(words)), 0, 0, 0, 0, heading, item, depth[0] > 0, any(depth[1:])])
+            rows.append([len(words), min(1.0, linked / len(words)), 0, 0, 0, 0, heading, item, not plain, 0, articles > 0, 0, boxes > 0])
         parts.clear()
         linked = 0
 
@@ -99,22 +114,25 @@ def flat_blocks(page: str) -> tuple[list[str], np.ndarray]:
         flush()
         in_link = False
         if tag in CONTAINERS:
+            heading = item = plain = 0
             if not closes:
                 if not m[4].endswith("/"):
                     zone = zone_of(tag, m[4])
                     stack.append((tag, zone))
-                    if zone >= 0:
-                        depth[zone] += 1
-            elif any(t == tag for t, _ in stack):
-                while stack:
+                    opened[tag] = opened.get(tag, 0) + 1
+                    articles += zone == "article"
+                    boxes += zone not in (None, "article")
+            elif opened.get(tag):
+                t = None
+                while t != tag:
                     t, zone = stack.pop()
-                    if zone >= 0:
-                        depth[zone] -= 1
-                    if t == tag:
-                        break
+                    opened[t] -= 1
+                    articles -= zone == "article"
+                    boxes -= zone not in (None, "article")
         elif tag not in VOID:
             heading = int(not closes and len(tag) == 2 and tag[0] == "h" and tag[1].isdigit())
             item = int(not closes and tag in ("li", "dt", "dd", "option", "td", "th"))
+            plain = int(not closes)
     if at < len(page):
         parts.append(page[at:])
         if in_link:
@@ -122,28 +140,32 @@ def flat_blocks(page: str) -> tuple[list[str], np.ndarray]:
     flush()
     x = np.array(rows, np.float64).reshape(len(rows), len(NAMES))
     x[1:, 2:4], x[:-1, 4:6] = x[:-1, :2], x[1:, :2]
+    x[:, 9] = 2 * (x[:, 0] * (1 - x[:, 8])).sum() > x[:, 0].sum()
+    x[:, 11] = x[:, 10].any()
     return texts, x
 
 
 class Tree:
     """A binary decision tree grown by Gini impurity on numeric features."""
 
-    def __init__(self, x: np.ndarray, y: np.ndarray, depth: int = 8):
+    def __init__(self, x: np.ndarray, y: np.ndarray, depth: int = 8, least: int = 4):
         self.split = None
         self.label = bool(2 * y.sum() >= len(y))
-        if depth == 0 or y.all() or not y.any():
+        if depth == 0 or len(y) < 2 * least or y.all() or not y.any():
             return
         best = len(y) * self._gini(y) - 1e-9
         for j in range(x.shape[1]):
             values = np.unique(x[:, j])
             for cut in (values[1:] + values[:-1]) / 2:
                 left = x[:, j] <= cut
+                if min(left.sum(), (~left).sum()) < least:
+                    continue
                 cost = left.sum() * self._gini(y[left]) + (~left).sum() * self._gini(y[~left])
                 if cost < best:
                     best, self.split = cost, (j, cut)
         if self.split:
             left = x[:, self.split[0]] <= self.split[1]
-            self.low, self.high = Tree(x[left], y[left], depth - 1), Tree(x[~left], y[~left], depth - 1)
+            self.low, self.high = Tree(x[left], y[left], depth - 1, least), Tree(x[~left], y[~left], depth - 1, least)
 
     @staticmethod
     def _gini(y: np.ndarray) -> float:

@@ -71,6 +71,39 @@ def test_html_whole_articles(spark):
         assert r["text"] == "\n".join(b for b in blocks if b)
 
 
+def plain_html(page):
+    """The page with names gone and tags that tell zones made plain containers."""
+    import re
+
+    page = re.sub(r"(<[a-z0-9]+)[^>]*?\s(?:class|id)=[^>]*>", r"\1>", page)
+    return re.sub(r"(</?)(?:article|nav|header|footer|aside|main)\b", r"\1div", page)
+
+
+def test_html_without_zones():
+    import pyarrow.parquet as pq
+
+    pages = pq.read_table("/root/testdata/sf0.01/pages.parquet")["html"].to_pylist()
+    told, plain = htmltext.extract(pages), htmltext.extract([plain_html(p) for p in pages])
+    assert sum(a == b for a, b in zip(told, plain, strict=True)) >= 0.98 * len(pages)
+
+
+@pytest.mark.parametrize("opening", ['<article class="post has-comments">', '<main class="site-main sidebar-right">', '<div class="entry social-post">', '<article aria-label="search results">'])
+def test_html_names_do_not_drop_an_article(opening):
+    text = " ".join(["word"] * 40)
+    close = "</" + opening[1:].split()[0] + ">"
+    page = f"<nav><ul><li><a href='/'>Home</a></li></ul></nav>{opening}<h1>Some title here</h1><p>{text}</p><p>Short.</p>{close}<footer>&copy; x</footer>"
+    assert htmltext.extract([page]) == [f"Some title here\n{text}\nShort."]
+
+
+@pytest.mark.parametrize("part", ["<a ", "<a =\"", "<p><div>", "</ul><div>", "<!--", "<script ", "</script", "= ' ", "<![", "&amp"])
+def test_html_long_pages_take_linear_time(part):
+    import time
+
+    begin = time.process_time()
+    htmltext.extract([part * (1_000_000 // len(part)) + '"'])
+    assert time.process_time() - begin < 20
+
+
 def vectors(seed, n, d=16, copies=0):
     r = np.random.default_rng(seed)
     base = r.standard_normal((max(2, n // 5), d))

@@ -5,28 +5,30 @@ A text is parsed greedily into the longest phrases that occur in a language's
 sample; phrases times log2 of the sample's length, over the text's length,
 estimate the cross entropy, and the language with the least wins.
 
-Texts are parsed in pieces of `piece` bytes, all of them, so that numpy can
-walk the automata for many pieces at once; a phrase ends where a piece does.
+Whole texts are parsed. numpy walks the automata for many pieces of `piece`
+bytes at once, each as if a phrase began there; then the state in which the
+piece before ends is carried over, and a piece is walked again until its
+states meet those found before, from where on nothing changes.
 
-Defined results: `und` with score 0 if a text is null or has no letter, or if
-nothing could be learned; ties go to the smaller language by code point;
+Defined results: `und` with score 0 if a text is null or has no letter (\\p{L}),
+or if nothing could be learned; ties go to the smaller language by code point;
 score is 1 - least / second least entropy, and 1 for a single language;
 repeated rows are judged each; an empty table gives no rows; extra columns
-are ignored.
+are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import map_batches, remainder
+from ._common import map_batches, remainder, small
 
-LETTER = re.compile(r"[^\W\d_]")
+LETTER = regex.compile(r"\p{L}")
+BATCH = 1 << 20  # bytes that are parsed at once (or one text)
 _SPACED = bytes(ord(chr(b).lower()) if chr(b).isalpha() and b < 128 else b if b >= 128 else 32 for b in range(256))
 
 
@@ -91,6 +93,42 @@ class Model:
             self.tables.append(steps.astype(np.int32).ravel())
             self.bits.append(np.log2(max(2, len(samples[lang]))))
 
+    def phrases(self, table: np.ndarray, symbols: np.ndarray, starts: np.ndarray, lengths: np.ndarray, follows: np.ndarray) -> np.ndarray:
+        """Phrase ends inside each piece; follows: whether a piece goes on where the one before ended."""
+        order = np.argsort(-lengths, kind="stable")
+        at, size = starts[order], lengths[order]
+        active = np.searchsorted(-size, -np.arange(self.piece), side="left")  # pieces longer than t
+        trace = np.empty(len(symbols), np.int32)
+        count, state = np.zeros(len(at), np.int64), np.zeros(len(at), np.int32)
+        for t in range(self.piece):
+            k = active[t]
+            if not k:
+                break
+            x = table.take(state[:k] * self.width + symbols[at[:k] + t])
+            trace[at[:k] + t] = x
+            count[:k] += x & 1
+            state[:k] = x >> 1
+        out = np.empty_like(count)
+        out[order] = count
+        todo = np.nonzero(follows)[0]
+        while len(todo):
+            state, place, left = trace[starts[todo] - 1] >> 1, starts[todo].copy(), lengths[todo].copy()
+            piece, ended = todo, []
+            while len(piece):
+                x = table.take(state * self.width + symbols[place])
+                old = trace[place]
+                out[piece] += (x & 1) - (old & 1)
+                trace[place] = x
+                state, left = x >> 1, left - 1
+                differ = state != old >> 1
+                ended.append(piece[differ & (left == 0)])
+                go = differ & (left > 0)
+                piece, state, place, left = piece[go], state[go], place[go] + 1, left[go]
+            todo = np.concatenate(ended) + 1  # these ended elsewhere than before
+            todo = todo[todo < len(starts)]
+            todo = todo[follows[todo]]
+        return out
+
     def entropies(self, texts: list[bytes]) -> np.ndarray:
         """Bits a byte, (text, language)."""
         sizes = np.array([len(t) for t in texts], np.int64)
@@ -100,28 +138,14 @@ class Model:
         inside = (np.arange(len(owner)) - np.repeat(np.cumsum(pieces) - pieces, pieces)) * self.piece
         starts = np.repeat(np.cumsum(sizes) - sizes, pieces) + inside
         lengths = np.minimum(self.piece, np.repeat(sizes, pieces) - inside)
-        order = np.argsort(-lengths, kind="stable")
-        starts, lengths, owner = starts[order], lengths[order], owner[order]
-        active = np.searchsorted(-lengths, -np.arange(self.piece), side="left")  # pieces longer than t
-        phrases = np.ones((len(self.tables), len(starts)), np.int32)
-        states = np.zeros_like(phrases)
-        for t in range(self.piece):
-            k = active[t]
-            if not k:
-                break
-            c = symbols[starts[:k] + t]
-            for table, state, count in zip(self.tables, states, phrases, strict=True):
-                x = table.take(state[:k] * self.width + c)
-                count[:k] += x & 1
-                np.right_shift(x, 1, out=state[:k])
-        total = np.stack([np.bincount(owner, p, len(texts)) for p in phrases], 1)
-        return total * np.array(self.bits) / np.maximum(sizes, 1)[:, None]
+        total = [1 + np.bincount(owner, self.phrases(t, symbols, starts, lengths, inside > 0), len(texts)) for t in self.tables]
+        return np.stack(total, 1) * np.array(self.bits) / np.maximum(sizes, 1)[:, None]
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
         codes, scores = ["und"] * len(texts), np.zeros(len(texts))
         judged = [i for i, t in enumerate(texts) if t and self.languages and LETTER.search(t)]
-        for at in range(0, len(judged), 2048):
-            some = judged[at : at + 2048]
+        part = np.cumsum([len(texts[i]) for i in judged]) // BATCH
+        for some in np.split(np.array(judged, np.int64), np.nonzero(np.diff(part))[0] + 1) if judged else ():
             h = self.entropies([normal(texts[i]) for i in some])
             best, two = h.argmin(1), np.sort(h, 1)[:, :2]
             scores[some] = 1 - two[:, 0] / two[:, 1] if h.shape[1] > 1 else 1.0
@@ -130,43 +154,46 @@ class Model:
         return codes, scores
 
 
-def learn(labelled: DataFrame, docs_per_language: int = 300, chars_per_doc: int = 100, piece: int = 512) -> Model:
+def learn(labelled: DataFrame, docs_per_language: int = 300, chars: int = 160_000, piece: int = 512) -> Model:
     """labelled (text, lang) -> Model.
 
-    The sample is bounded: at most docs_per_language distinct texts a language, those
-    with the smallest hashes, and from each a window of chars_per_doc
-    characters whose place the hash gives. Any text can be drawn; copies count once.
+    The sample is bounded: of each language's distinct texts those with the
+    smallest hashes, docs_per_language at most and whole, as long as they have
+    `chars` characters divided by the number of languages together. Texts that
+    are longer than that alone come last, shortest first, and one is taken only
+    where there is nothing else. Copies count once. Hashes above a threshold that leaves
+    about 16 times as many texts as are drawn are dropped before anything is
+    shuffled, which changes nothing in what is drawn but for a language
+    with few texts, where all stay.
     """
-    h = F.xxhash64("text", "lang")
-    least = Window.partitionBy("lang").orderBy("h", "text")
-    place = F.pmod(h, F.greatest(F.lit(1), F.length("text") - chars_per_doc)).cast("int") + 1
-    rows = (
-        labelled.where("lang is not null and text is not null and text rlike '\\\\p{L}'")
-        .select("lang", h.alias("h"), F.substring("text", place, F.lit(chars_per_doc)).alias("text"))
-        .distinct()
-        .withColumn("n", F.row_number().over(least))
-        .where(F.col("n") <= docs_per_language)
-        .groupBy("lang")
-        .agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "text"))), lambda x: x["text"]), " ").alias("text"))
-        .collect()
-    )
-    return Model({r["lang"]: s for r in rows if (s := normal(r["text"]))}, piece)
-
-
-def identify(docs: DataFrame, model: Model, keep: tuple[str, ...] | None = None) -> DataFrame:
-    """docs with a text column -> the columns in `keep` (all by default), then lang_pred and score."""
-    keep = tuple(c for c in docs.columns if c not in ("lang_pred", "score")) if keep is None else keep
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # its size is bounded by languages x docs_per_language x chars_per_doc
+    rows = labelled.where("lang is not null and text is not null and text rlike '\\\\p{L}'").select("lang", F.xxhash64("text", "lang").alias("h"), F.col("text").cast("string").alias("text"))
+    sizes = rows.groupBy("lang").agg(F.approx_count_distinct("h").alias("texts"))
+    sizes = small(sizes.withColumn("most", F.floor(F.lit(float(1 << 63)) * F.least(F.lit(1.0), 32.0 * docs_per_language / F.col("texts")))))
+    share = max(1, chars // max(1, sizes.count()))
+    drawn = rows.join(sizes.select("lang", "most"), "lang").where("most >= 9223372036854775807 or abs(h) <= most").groupBy("lang", "h").agg(F.min("text").alias("text"))
+    length = F.length("text")
+    drawn = drawn.withColumn("long", F.when(length > share, length).otherwise(0))
+    order = Window.partitionBy("lang").orderBy("long", "h", "text")
+    drawn = drawn.withColumn("n", F.row_number().over(order)).where(F.col("n") <= docs_per_language).withColumn("held", F.sum(length).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    texts = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "text"))), lambda x: x["text"]), " ")
+    found = drawn.where(f"n = 1 or held <= {share}").groupBy("lang").agg(texts.alias("text")).collect()
+    return Model({r["lang"]: s for r in found if (s := normal(r["text"]))}, piece)
+
+
+def identify(docs: DataFrame, model: Model, keep: tuple[str, ...] | None = None, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """docs with a text column -> the columns in `keep` (all by default), then the language and its score under `names`."""
+    keep = tuple(docs.columns) if keep is None else keep
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # learn() bounds its sample
     columns = [docs[c].alias(f"_{i}") for i, c in enumerate(keep)]
     rows = docs.select(*columns, F.col("text").cast("string").alias("_text"))
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         codes, scores = shared.value.predict(batch.column(len(keep)).to_pylist())
-        return pa.record_batch([*batch.columns[: len(keep)], pa.array(codes, pa.string()), pa.array(scores)], [*batch.schema.names[: len(keep)], "lang_pred", "score"])
+        return pa.record_batch([*batch.columns[: len(keep)], pa.array(codes, pa.string()), pa.array(scores)], [*batch.schema.names[: len(keep)], "_lang", "_score"])
 
-    schema = ", ".join([*(f"_{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(keep)), "lang_pred string", "score double"])
+    schema = ", ".join([*(f"_{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(keep)), "_lang string", "_score double"])
     out = map_batches(rows, run, schema)
-    return out.select(*(F.col(f"_{i}").alias(c) for i, c in enumerate(keep)), "lang_pred", "score")
+    return out.select(*(F.col(f"_{i}").alias(c) for i, c in enumerate(keep)), F.col("_lang").alias(names[0]), F.col("_score").alias(names[1]))
 
 
 def held_out(doc_id: Column) -> Column:

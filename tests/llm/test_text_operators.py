@@ -383,11 +383,35 @@ def plain_phrases(text, sample):
 def test_cross_parsing(seed):
     r = random.Random(seed)
     samples = {x: bytes(r.choice(b"abc ") for _ in range(200)) for x in ("p", "q")}
-    texts = [bytes(r.choice(b"abcd ") for _ in range(r.randrange(1, 90))) for _ in range(30)]
-    m = langid.Model(samples, piece=1000)
+    texts = [bytes(r.choice(b"abcd ") for _ in range(r.randrange(1, 90))) for _ in range(30)] + [samples["p"] * 3, b"", bytes(r.choice(b"abc ") for _ in range(4000))]
+    m = langid.Model(samples, piece=(5, 16, 64, 1000)[seed])  # phrases go on over the ends of pieces
     h = m.entropies(texts)
     for t, row in zip(texts, h, strict=True):
-        assert [round(x * len(t) / b) for x, b in zip(row, m.bits, strict=True)] == [plain_phrases(t, samples[x]) for x in ("p", "q")]
+        assert [round(x * max(1, len(t)) / b) for x, b in zip(row, m.bits, strict=True)] == [max(1, plain_phrases(t, samples[x])) for x in ("p", "q")]
+
+
+def test_predictions_equal_the_plain_method():
+    r = random.Random(5)
+    samples = {lang: langid.normal(words(lang, 300, 40)) for lang in ("aa", "bb", "cc")}
+    m = langid.Model(samples)
+    texts = [words(r.choice(["aa", "bb", "cc"]), r.randrange(1, 200), 40) for _ in range(40)] + ["½ ² Ⅷ ① 12", "", None, "Q", "words " * 3000]
+    langs, scores = m.predict(texts)
+    for text, lang, score in zip(texts, langs, scores, strict=True):
+        if text is None or not any(c.isalpha() for c in text):
+            assert (lang, score) == ("und", 0)
+            continue
+        b = langid.normal(text)
+        h = sorted((max(1, plain_phrases(b, s)) * math.log2(len(s)) / max(1, len(b)), k) for k, s in samples.items())
+        assert lang == h[0][1] and score == pytest.approx(1 - h[0][0] / h[1][0])
+
+
+def test_sample_takes_whole_texts_within_its_bound(spark, monkeypatch):
+    monkeypatch.setattr(langid, "Model", lambda samples, piece: samples)
+    rows = [(f"{chr(97 + i) * 2} " * 10, "en") for i in range(20)] + [("longer " * 500, "de"), ("longest " * 900, "de")]
+    sample = langid.learn(spark.createDataFrame(rows, "text string, lang string"), chars=200)
+    found = sample["en"].decode().split()
+    assert len(sample["en"]) <= 100 and found and all(found.count(w) == 10 for w in set(found))
+    assert sample["de"].decode().split() == ["longer"] * 500  # where nothing shorter is there
 
 
 def test_language_sample_counts_copies_once(spark, monkeypatch):

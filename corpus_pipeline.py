@@ -12,8 +12,9 @@ from quern.llm._common import materialise
 def keep_identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Language ID, learned from all labelled documents of the stage's input; those it rejects (und: no letters) go."""
     columns = docs.columns
-    told = langid.identify(docs, langid.learn_documents(docs))
-    return told.where("lang_pred <> 'und'").select(*columns)
+    whole = docs.select(F.struct(*columns).alias("_row"), "text")  # columns of any name pass
+    told = langid.identify(whole, langid.learn_documents(docs), ("_row",))
+    return told.where("lang_pred <> 'und'").select(*(F.col("_row")[c].alias(c) for c in columns))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -6,21 +6,22 @@ occurs at least `min_count` times is put in the filter once for each level
 for level 1, 2, ... until one misses give the count back as
 min_count * 2**(q - 1), never more than the count but for false positives.
 
-A word w after h has probability (1 - a) * base(w) + a * count(h w) / count(h)
-with base the add-half unigram probability; it sums to 1 at most. The weight a
-is not fixed: a text's probability is the mean over WEIGHTS, so a text that
-repeats the corpus and one that doesn't each get what suits them, and no text
-loses more than log10(len(WEIGHTS)) against the base.
-
-The filter is broadcast: `bits_per_entry` bits an entry, MAX_BITS in all.
-Beyond that the rate of false positives rises; nothing is left out. Word
-counts are broadcast up to `most_words` words; beyond, each block of texts is
-joined with the counts of its own words.
+A word w after h has probability (1 - a) * base(w) + a * (count(h w) - D) / count(h)
+with base the add-half unigram probability and the absolute discount D, which
+tells a bigram seen once from one seen often; it sums to 1 at most. The
+weight a is not fixed: a text's probability is the mean over WEIGHTS, so a
+text that repeats the corpus and one that doesn't each get what suits them,
+and no text loses more than log10(len(WEIGHTS)) against the base.
+
+The filter has `bits_per_entry` bits an entry or more, whatever the input's
+size. It is broadcast up to MOST_FILTER bytes, as are word counts up to
+`most_words` words; beyond either, each block of texts asks the hash ranges
+of its own words and bigrams, and the same probes answer there.
 
 Defined results: a null text is empty and has the end token alone; without
 training text every token is unknown with base probability 1 / (0 + 1);
 repeated rows are scored each; an empty table gives no rows; extra columns
-are ignored.
+are ignored, whatever their names; ties don't occur.
 """
 
 from __future__ import annotations
@@ -39,8 +40,9 @@ from ._common import materialise, remainder
 WEIGHTS = (0.0, 0.02, 0.1, 0.3, 0.6, 0.9)
 END = b" end"  # no word holds a space
 PART_BYTES = 24 << 20  # text for which there is one hash range
-SLICE = 12 << 20  # bytes of text that are tokenised at once
-MAX_BITS = 1 << 30
+SLICE = 6 << 20  # bytes of text that are tokenised at once
+MOST_FILTER = 96 << 20  # bytes of a filter that is broadcast
+DISCOUNT = 0.75
 PROBES = 4
 
 
@@ -111,11 +113,11 @@ def levels(counts: np.ndarray, min_count: int) -> np.ndarray:
     return 1 + np.floor(np.log2(counts.astype(np.float64) / min_count)).astype(np.int64)
 
 
-def filter_of(keys: np.ndarray, counts: np.ndarray, min_count: int, bits_per_entry: float, most: int) -> bytes:
+def filter_of(keys: np.ndarray, counts: np.ndarray, min_count: int, bits_per_entry: float) -> bytes:
     """The filter of a hash range."""
     q = levels(counts, min_count)
     bits = 64
-    while bits < bits_per_entry * q.sum() and bits * 2 <= most:
+    while bits < bits_per_entry * q.sum():
         bits *= 2
     flags = np.zeros(bits, bool)
     for level in range(1, q.max(initial=0) + 1):
@@ -127,9 +129,9 @@ def filter_of(keys: np.ndarray, counts: np.ndarray, min_count: int, bits_per_ent
 class Filter:
     """Filters of all hash ranges, one after the other."""
 
-    def __init__(self, ranges: list[bytes], min_count: int):
+    def __init__(self, ranges: list[bytes], min_count: int, shift: int | None = None):
         self.min_count = min_count
-        self.shift = np.uint64(48 - (len(ranges).bit_length() - 1))
+        self.shift = np.uint64(48 - (len(ranges).bit_length() - 1) if shift is None else shift)
         sizes = np.array([len(r) for r in ranges], np.uint64)
         self.bits, self.base = sizes * np.uint64(8), np.cumsum(sizes) - sizes
         self.data = np.frombuffer(b"".join(ranges), np.uint8)
@@ -166,7 +168,18 @@ class Words:
         return np.where(self.hashes[at] == hashes, self.counts[at], 0).astype(np.float64)
 
 
-def score(texts: pa.Array, words: Words, bloom: Filter, total: int, types: int) -> list[np.ndarray]:
+class Ranges:
+    """Answers of the hash ranges to a block's keys, in place of the filter."""
+
+    def __init__(self, keys: np.ndarray, counts: np.ndarray):
+        order = np.argsort(keys)
+        self.keys, self.found = keys[order], counts[order]
+
+    def counts(self, keys: np.ndarray) -> np.ndarray:
+        return self.found[np.searchsorted(self.keys, keys)]
+
+
+def score(texts: pa.Array, words: Words, bloom: Filter | Ranges, total: int, types: int) -> list[np.ndarray]:
     """n_tokens, n_known, base_score, score of each text."""
     out = []
     for at, length in slices(texts):
@@ -178,7 +191,7 @@ def score(texts: pa.Array, words: Words, bloom: Filter, total: int, types: int)
         keys = bigram_hashes(hashes, codes)
         before = np.empty(len(codes))
         before[:1], before[1:] = known[-1], known[codes[:-1]]
-        follow = np.minimum(1.0, bloom.counts(keys) / np.maximum(before, 1))
+        follow = np.clip((bloom.counts(keys) - DISCOUNT) / np.maximum(before, 1), 0.0, 1.0)
         sums = [base]
         some = np.nonzero(follow)[0]
         text = np.searchsorted(ends, some, side="right")
@@ -192,7 +205,7 @@ def score(texts: pa.Array, words: Words, bloom: Filter, total: int, types: int)
     return [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.empty(0)] * 4
 
 
-def train(texts: DataFrame, min_count: int = 2, bits_per_entry: float = 10.0) -> DataFrame:
+def train(texts: DataFrame, min_count: int = 1, bits_per_entry: float = 10.0) -> DataFrame:
     """texts (text) -> a row for each hash range and kind: kind ('words' or 'bigrams'), part, hashes, counts, filter, tokens, types."""
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = 8
@@ -231,7 +244,7 @@ def train(texts: DataFrame, min_count: int = 2, bits_per_entry: float = 10.0) ->
             row |= {"hashes": hashes.tobytes(), "counts": counts.tobytes()}
         else:
             often = counts >= min_count
-            row |= {"filter": filter_of(hashes[often], counts[often], min_count, bits_per_entry, MAX_BITS // parts)}
+            row |= {"filter": filter_of(hashes[often], counts[often], min_count, bits_per_entry)}
         kinds = (pa.string(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.int64(), pa.int64())
         return pa.table([pa.array([v.as_py() if isinstance(v, pa.Scalar) else v], t) for v, t in zip(row.values(), kinds, strict=True)], names=list(row))
 
@@ -240,57 +253,79 @@ def train(texts: DataFrame, min_count: int = 2, bits_per_entry: float = 10.0) ->
     return materialise(merged.withColumn("parts", F.lit(parts)))
 
 
-def score_texts(docs: DataFrame, model: DataFrame, min_count: int = 2, most_words: int = 1 << 23, block: int = 32 << 20) -> DataFrame:
+def score_texts(docs: DataFrame, model: DataFrame, min_count: int = 1, most_words: int = 1 << 23, block: int = 32 << 20, most_filter: int = MOST_FILTER) -> DataFrame:
     """docs (doc_id, text) and train()'s result -> doc_id, n_tokens, n_known, train_tokens, base_score, score."""
     spark = docs.sparkSession
-    words = model.where("kind = 'words'")
+    words, bigrams = model.where("kind = 'words'"), model.where("kind = 'bigrams'")
     total, types = (x or 0 for x in words.agg(F.sum("tokens"), F.sum("types")).first())
-    found = {r["part"]: (r["filter"], r["parts"]) for r in model.where("kind = 'bigrams'").select("part", "filter", "parts").collect()}  # MAX_BITS at most
-    parts = next(iter(found.values()))[1] if found else 1
-    bloom = spark.sparkContext.broadcast(Filter([found[p][0] if p in found else bytes(8) for p in range(parts)], min_count))
+    parts, size = bigrams.agg(F.max("parts"), F.sum(F.octet_length("filter"))).first()
+    parts = parts or 1
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     schema = "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     names = ["doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
 
-    def scored(ids: pa.Array, texts: pa.Array, table: Words) -> pa.RecordBatch:
-        n, known, base, full = score(texts, table, bloom.value, total, types)
+    def scored(ids: pa.Array, texts: pa.Array, table: Words, bloom: Filter | Ranges) -> pa.RecordBatch:
+        n, known, base, full = score(texts, table, bloom, total, types)
         return pa.record_batch([ids, pa.array(n, pa.int64()), pa.array(known, pa.int64()), pa.array(np.full(len(n), total), pa.int64()), pa.array(base, pa.float64()), pa.array(full, pa.float64())], names)
 
-    if types <= most_words:
+    if types <= most_words and (size or 0) <= most_filter:
+        found = {r["part"]: r["filter"] for r in bigrams.select("part", "filter").collect()}
+        bloom = spark.sparkContext.broadcast(Filter([found.get(p, bytes(8)) for p in range(parts)], min_count))
         table = [(np.frombuffer(r["hashes"], np.uint64), np.frombuffer(r["counts"], np.uint64)) for r in words.select("hashes", "counts").collect()]
         counts = spark.sparkContext.broadcast(Words(*(np.concatenate([t[i] for t in table] or [np.empty(0, np.uint64)]) for i in (0, 1))))
-        del table
+        del table, found
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                yield scored(batch.column(0), batch.column(1), counts.value)
+                yield scored(batch.column(0), batch.column(1), counts.value, bloom.value)
 
         return rows.mapInArrow(run, schema)
 
-    # The words of a block of texts, by hash range, meet the counts; the answers meet the block's texts.
+    # The keys of a block of texts, by hash range, meet the range's counts or filter; the answers meet the block's texts.
     blocks = max(1, -(-(rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // block))
     rows = materialise(rows.withColumn("b", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks))))
+    log = parts.bit_length() - 1
 
     def ask(table: pa.Table) -> pa.Table:
-        column = table["text"].combine_chunks()
-        asked = np.unique(np.concatenate([tokens(column.slice(at, n))[0] for at, n in slices(column)]))
-        part = (asked >> np.uint64(64 - (parts.bit_length() - 1))).astype(np.int64) if parts > 1 else np.zeros(len(asked), np.int64)
-        which = np.unique(part)
-        return pa.table([pa.array([table["b"][0].as_py()] * len(which)), pa.array(which.astype(np.int32)), pa.array([asked[part == p].tobytes() for p in which], pa.binary())], ["b", "part", "asked"])
+        column, out = table["text"].combine_chunks(), []
+        asked: dict[str, list[np.ndarray]] = {"words": [], "bigrams": []}
+        for at, n in slices(column):
+            hashes, codes, _ = tokens(column.slice(at, n))
+            asked["words"].append(np.unique(hashes))
+            asked["bigrams"].append(np.unique(bigram_hashes(hashes, codes)))
+        for kind, bits in (("words", 64), ("bigrams", 48)):
+            keys = np.unique(np.concatenate(asked[kind]))
+            cuts = np.searchsorted(keys >> np.uint64(bits - log) if log else np.zeros(len(keys), np.uint64), np.arange(parts + 1, dtype=np.uint64))
+            out += [(kind, part, int(keys[lo]), pack_numbers(np.diff(keys[lo:hi]))) for part, (lo, hi) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if hi > lo]
+        kind, part, least, steps = zip(*out, strict=True)
+        return pa.table([pa.array([table["b"][0].as_py()] * len(out)), pa.array(kind), pa.array(part, pa.int32()), pa.array(least, pa.uint64()).view(pa.int64()), pa.array(steps, pa.binary())], ["b", "kind", "part", "least", "steps"])
+
+    def keys_of(least: int, steps: bytes) -> np.ndarray:
+        return np.cumsum(np.concatenate([np.array([least], np.int64).view(np.uint64), unpack_numbers(steps)]), dtype=np.uint64)
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for b, asked, hashes, counts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                asked = np.frombuffer(asked, np.uint64)
-                got = Words(np.frombuffer(hashes, np.uint64), np.frombuffer(counts, np.uint64))(asked).astype(np.uint64)
-                yield pa.record_batch([pa.array([b]), pa.array([asked.tobytes()], pa.binary()), pa.array([got.tobytes()], pa.binary())], ["b", "hashes", "counts"])
-
-    def run_block(texts: pa.Table, table: pa.Table) -> pa.Table:
-        joined = Words(*(np.frombuffer(b"".join(table[c].to_pylist()), np.uint64) for c in ("hashes", "counts")))
-        return pa.Table.from_batches([scored(texts["doc_id"].combine_chunks(), texts["text"].combine_chunks(), joined)])
-
-    asked = rows.groupBy("b").applyInArrow(ask, "b long, part int, asked binary")
-    answers = asked.join(words.select("part", "hashes", "counts"), "part").select("b", "asked", "hashes", "counts").mapInArrow(answer, "b long, hashes binary, counts binary")
+            for b, kind, least, steps, hashes, counts, bits in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                keys = keys_of(least, steps)
+                if kind == "words":
+                    got = Words(np.frombuffer(hashes, np.uint64), np.frombuffer(counts, np.uint64))(keys)
+                else:
+                    got = Filter([bits], min_count, 48).counts(keys)
+                yield pa.record_batch([pa.array([b]), pa.array([kind]), pa.array([least]), pa.array([steps], pa.binary()), pa.array([pack_numbers(got.astype(np.uint64))], pa.binary())], ["b", "kind", "least", "steps", "counts"])
+
+    def run_block(texts: pa.Table, answers: pa.Table) -> pa.Table:
+        found = {}
+        for kind in ("words", "bigrams"):
+            some = answers.filter(pc.equal(answers["kind"], kind))
+            keys = [keys_of(a, s) for a, s in zip(some["least"].to_pylist(), some["steps"].to_pylist(), strict=True)]
+            counts = [unpack_numbers(c) for c in some["counts"].to_pylist()]
+            found[kind] = np.concatenate(keys), np.concatenate(counts)
+        bloom = Ranges(found["bigrams"][0], found["bigrams"][1].astype(np.float64))
+        return pa.Table.from_batches([scored(texts["doc_id"].combine_chunks(), texts["text"].combine_chunks(), Words(*found["words"]), bloom)])
+
+    asked = rows.groupBy("b").applyInArrow(ask, "b long, kind string, part int, least long, steps binary")
+    answers = asked.join(model.select("kind", "part", "hashes", "counts", "filter"), ["kind", "part"], "left").select("b", "kind", "least", "steps", F.coalesce("hashes", F.lit(b"")).alias("hashes"), F.coalesce("counts", F.lit(b"")).alias("counts"), F.coalesce("filter", F.lit(bytes(8))).alias("filter"))
+    answers = answers.mapInArrow(answer, "b long, kind string, least long, steps binary, counts binary")
     return rows.groupBy("b").cogroup(answers.groupBy("b")).applyInArrow(run_block, schema)
 
 
@@ -300,4 +335,5 @@ def held_out(doc_id: Column) -> Column:
 
 def query(docs: DataFrame) -> DataFrame:
     found = score_texts(docs, train(docs.where(~held_out(F.col("doc_id"))).select("text")))
-    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+    gain = (F.col("score") - F.col("base_score")) / F.col("n_tokens")  # what the corpus tells of the text's word order, a token
+    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", gain.alias("gain_per_token"))

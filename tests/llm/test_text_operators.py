@@ -314,6 +314,34 @@ def test_words_beyond_the_broadcast(docs):
     model = bloomlm.train(docs.select("text"))
     a, b = (sorted(map(str, bloomlm.score_texts(docs, model, **more).collect())) for more in ({}, {"most_words": 10, "block": 5000}))
     assert a == b
+    model = bloomlm.train(docs.select("text").limit(12))
+    a, b = (sorted(map(str, bloomlm.score_texts(docs, model, **more).collect())) for more in ({}, {"most_filter": 8, "block": 9000}))
+    assert a == b
+
+
+def plain_score(text, words, pairs, n, v):
+    """log10 of the mean, over the weights, of the text's probability; counts are quantised down to powers of two."""
+    mine = [*split(text), None]
+    sums = []
+    for a in bloomlm.WEIGHTS:
+        total = 0.0
+        for h, w in zip([None, *mine], mine, strict=False):
+            c = 2 ** int(math.log2(pairs[h, w])) if pairs[h, w] else 0
+            follow = min(1.0, max(0.0, (c - bloomlm.DISCOUNT) / max(1, words[h])))
+            total += math.log10((1 - a) * (words[w] + 0.5) / (n + 0.5 * (v + 1)) + a * follow)
+        sums.append(total)
+    top = max(sums)
+    return top + math.log10(sum(10 ** (s - top) for s in sums) / len(sums))
+
+
+def test_scores_equal_the_plain_model(docs, rows):
+    train = [[*split(r[1]), None] for r in rows if crc(r[0]) % 5 != 1]
+    words = collections.Counter(t for text in train for t in text)
+    pairs = collections.Counter(p for text in train for p in zip([None, *text], text, strict=False))
+    model = bloomlm.train(docs.where(~bloomlm.held_out(docs["doc_id"])).select("text"), bits_per_entry=600)  # false positives are as good as excluded
+    text = {r[0]: r[1] for r in rows}
+    for r in bloomlm.score_texts(docs, model).collect():
+        assert r["score"] == pytest.approx(plain_score(text[r["doc_id"]], words, pairs, words.total(), len(words)), rel=1e-9)
 
 
 def test_bigram_counts_from_the_filter():
@@ -321,7 +349,7 @@ def test_bigram_counts_from_the_filter():
     keys = np.unique(r.integers(1 << 48, size=20_000, dtype=np.uint64))
     counts = np.minimum(r.zipf(1.6, len(keys)) + 1, 10_000).astype(np.uint64)
     half = keys >> np.uint64(47) == 0
-    f = bloomlm.Filter([bloomlm.filter_of(keys[m], counts[m], 2, 12, 1 << 24) for m in (half, ~half)], 2)
+    f = bloomlm.Filter([bloomlm.filter_of(keys[m], counts[m], 2, 12) for m in (half, ~half)], 2)
     got = f.counts(keys)
     exact = 2.0 ** np.floor(np.log2(counts.astype(float)))
     assert (got >= exact).all() and (got > exact).mean() < 0.02
@@ -336,7 +364,7 @@ def test_model_is_a_distribution():
     counts = np.bincount(codes, minlength=len(hashes))
     keys, often = np.unique(bloomlm.bigram_hashes(hashes, codes), return_counts=True)
     often, keys = often.astype(np.uint64), keys
-    f = bloomlm.Filter([bloomlm.filter_of(keys[often > 1], often[often > 1], 2, 30, 1 << 24)], 2)
+    f = bloomlm.Filter([bloomlm.filter_of(keys[often > 1], often[often > 1], 2, 30)], 2)
     for h in range(0, len(hashes), 17):
         pair = bloomlm.mix(np.full(len(hashes), hashes[h]) * np.uint64(0x9E3779B97F4A7C15) + hashes) >> np.uint64(16)
         assert (f.counts(pair) / counts[h]).sum() <= 1 + 1e-9

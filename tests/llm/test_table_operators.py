@@ -178,6 +178,7 @@ def plain_nearest(rows, k=20):
 def test_nearest_is_exact_at_factor_one(table, shard, monkeypatch):
     monkeypatch.setattr(vptree, "SHARD", shard)
     monkeypatch.setattr(vptree, "BLOCK", 7)
+    monkeypatch.setattr(vptree, "LEAF", 16)
     rows, df = table
     found = sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in vptree.nearest(df, F.col("vec_id") % 20 == 0).collect())
     want = sorted(plain_nearest(rows))
@@ -195,13 +196,45 @@ def test_recall_of_the_query(spark):
     assert len(want & found) / len(want) >= 0.95
 
 
+def search_all(vectors, shard, monkeypatch, spark):
+    monkeypatch.setattr(vptree, "SHARD", shard)
+    df = spark.createDataFrame([(i, [float(c) for c in v]) for i, v in vectors], "vec_id long, embedding array<float>").repartition(3)
+    return df, sorted((r["query_id"], r["rank"], r["vec_id"]) for r in vptree.query(df).collect())
+
+
+@pytest.mark.parametrize("shard", [8192, 100])
+def test_ties_go_to_the_smaller_id_whatever_their_number(spark, shard, monkeypatch):
+    r = np.random.default_rng(2)
+    rows = [(int(i), [1.0, *np.eye(40)[int(i) % 40], float(i // 40)]) for i in r.permutation(400) + 1]  # all have product 1 with the query
+    rows.append((0, [1.0] + [0.0] * 41))
+    _, found = search_all(rows, shard, monkeypatch, spark)
+    assert [x[2] for x in found if x[0] == 0] == list(range(1, 21))
+
+
+@pytest.mark.parametrize("shard", [8192, 60])
+def test_copies_and_one_huge_norm(spark, shard, monkeypatch):
+    x = vectors(9, 300, copies=120).astype(float)
+    x[250] *= 1e6
+    rows = list(enumerate(x)) + [(20, x[20]), (20, x[200]), *[(5, x[0])] * 3]
+    _, found = search_all(rows, shard, monkeypatch, spark)
+    rows = [(i, np.asarray(v, np.float32).tolist(), None) for i, v in rows]
+    twice = [r for r in plain_nearest(rows) if r[0] != 20]
+    assert [f for f in found if f[0] != 20] == sorted((q, n, i) for q, n, i, _ in twice)
+    assert sum(f[0] == 20 for f in found) == 40  # one id with two vectors: two queries; the repeated row is none
+
+
 def test_tree_prunes():
     x = vectors(3, 3000, 4).astype(float)
-    tree = vptree.Tree(x, leaf=16)
+    tree = vptree.Tree(np.arange(3000), x, (x * x).sum(1).max(), leaf=16)
+    tree = vptree.Tree.load(tree.dump())
     seen = []
     scan = tree._scan
-    tree._scan = lambda members, rows: (seen.append(len(members) * len(rows)), scan(members, rows))
-    found = tree.search(x[:50], 5)
+    tree._scan = lambda members, rows: (seen.append((members.stop - members.start) * len(rows)), scan(members, rows))
+    row, found, _ = tree.search(x[:50], np.full(50, -1), 5)
     assert sum(seen) < 0.6 * 50 * 3000
     exact = np.sort(x[:50] @ x.T, 1)[:, -5:]
-    assert np.allclose(np.sort((x[found] * x[:50, None]).sum(2), 1), exact)
+    assert np.allclose(np.sort((x[found] * x[row]).sum(1).reshape(50, 5), 1), exact)
+    fewer = []
+    tree._scan = lambda members, rows: (fewer.append((members.stop - members.start) * len(rows)), scan(members, rows))
+    tree.search(x[:50], np.full(50, -1), 5, 0.5)
+    assert sum(fewer) < sum(seen)

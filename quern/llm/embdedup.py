@@ -20,6 +20,7 @@ no rows; extra columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +36,7 @@ EPS = 8.0
 SEED = 11
 
 
+@cache
 def rotation(d: int, seed: int = SEED) -> np.ndarray:
     """A random orthogonal matrix, the same in every task."""
     q, r = np.linalg.qr(np.random.default_rng((seed, d)).standard_normal((d, d)))
@@ -87,12 +89,13 @@ def link(vectors: DataFrame, threshold: float = 0.93, eps: float = EPS) -> DataF
 
     def codes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            bits, factors = [], []
-            for v in batch.column(5):
-                x = np.asarray(v.values, np.float64)[None, :]
-                code, factor = encode(x / np.sqrt((x * x).sum()))
-                bits.append(code.tobytes())
-                factors.append(float(factor[0]))
+            dims = np.asarray(batch.column(1))
+            bits, factors = np.empty(len(dims), object), np.empty(len(dims))
+            for d in np.unique(dims):
+                at = np.nonzero(dims == d)[0]
+                x = matrix(batch.column(5).take(pa.array(at)))
+                code, factors[at] = encode(x / np.sqrt((x * x).sum(1))[:, None])
+                bits[at] = [c.tobytes() for c in code]
             yield pa.record_batch([*batch.columns, pa.array(bits, pa.binary()), pa.array(factors)], [*batch.schema.names, "code", "factor"])
 
     sizes = reps.groupBy("label", "d").agg(F.ceil(F.count("*") / TILE).cast("int").alias("tiles"))

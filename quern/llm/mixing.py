@@ -1,11 +1,17 @@
 """Mixing sources to target weights.
 
 Tokens are summed by source, targets follow from the weights, and each
-document is emitted floor(rate) times plus one hash-seeded Bernoulli copy.
+document is emitted floor(rate) times plus one hash-seeded Bernoulli copy
+with probability rate - floor(rate).
+
+A source of few, unequal documents can stray far from its target under one
+seed. So each source has its own: of SEEDS seeds the one under which the words
+it emits come nearest its target.
 
 Defined results: a null text has size 0; null sources are one source; a
 source without words has target 0 and emits nothing; an empty table gives an
-empty mix; rows that repeat an id share that id's draw; extra columns pass.
+empty mix; rows that repeat an id share that id's draw; of two seeds that come
+equally near the smaller is taken; columns of any name pass.
 """
 
 from __future__ import annotations
@@ -13,9 +19,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import small
+from ._common import materialise, small
 
 WORD = r"[^\x20\x09-\x0D]+"
+HASHES = 16  # hashes of an id, of which each gives four draws of 32 bits
+SEEDS = 4 * HASHES
 
 
 def word_count(text: Column) -> Column:
@@ -50,32 +58,47 @@ def source_targets(sizes: DataFrame, cycle: int = 3, cap: float = 3.0) -> DataFr
     )
 
 
-def draw(doc_id: Column, seed: int) -> Column:
+def draw(doc_id: Column, seed: Column) -> Column:
     """A number in [0, 1) that depends on the seed and the id alone."""
-    text = F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.lit("")))
-    return F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
+    text = F.concat(F.floor(seed / 4).cast("string"), F.lit(":"), F.coalesce(doc_id.cast("string"), F.lit("")))
+    return F.conv(F.substring(F.md5(text), (seed % 4 * 8 + 1).cast("int"), F.lit(8)), 16, 10).cast("double") / F.lit(float(1 << 32))
+
+
+def source_seeds(sized: DataFrame, rates: DataFrame) -> DataFrame:
+    """sized (_id, _source, _size) and rates -> rates with seed, the source's own."""
+    met = sized.where("_size > 0").join(rates, F.col("_source").eqNullSafe(F.col("source"))).withColumn("part", F.col("rate") - F.floor("rate")).where("part > 0")
+    each = met.select("source", "_id", "_size", "part", F.explode(F.sequence(F.lit(0), F.lit(HASHES - 1))).alias("h"))
+    sums = [F.sum(F.when(draw(F.col("_id"), F.col("h") * 4 + j) < F.col("part"), F.col("_size")).otherwise(0)).alias(f"extra{j}") for j in range(4)]
+    totals = each.groupBy("source", "h").agg(*sums).select("source", F.posexplode(F.array(*(f"extra{j}" for j in range(4)))).alias("j", "extra"), "h")
+    totals = totals.withColumnRenamed("source", "_s").join(rates, F.col("_s").eqNullSafe(F.col("source")))
+    off = F.abs(F.floor("rate") * F.col("source_size") + F.col("extra") - F.col("target"))
+    best = totals.groupBy("_s").agg(F.min(F.struct(off.alias("off"), (F.col("h") * 4 + F.col("j")).alias("seed")))["seed"].alias("seed"))
+    return rates.join(best, F.col("_s").eqNullSafe(F.col("source")), "left").select("source", "source_size", "target", "rate", F.coalesce("seed", F.lit(0)).alias("seed"))
 
 
-def repetitions(docs: DataFrame, seed: int = 7, cycle: int = 3, cap: float = 3.0, keep: tuple[str, ...] | None = None) -> DataFrame:
-    """A row for each document: the columns in `keep` (all by default) as they are, and a struct `_mix` (size, source_size, target, copies)."""
+def repetitions(docs: DataFrame, cycle: int = 3, cap: float = 3.0, keep: tuple[str, ...] | None = None) -> DataFrame:
+    """A row for each document: `_row`, the columns in `keep` (all by default), and `_mix` (size, source_size, target, copies)."""
     keep = tuple(docs.columns) if keep is None else keep
-    sized = docs.select(F.struct(*keep).alias("_row"), F.col("doc_id").alias("_id"), F.col("source").alias("_source"), word_count(F.col("text")).alias("_size"))
+    sized = docs.select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), word_count(F.col("text")).alias("_size"), F.struct(*keep).alias("_row"))
     sizes = sized.groupBy(F.col("_source").alias("source")).agg(F.sum("_size").alias("source_size"))
-    rates = small(source_targets(sizes, cycle, cap))
-    copies = F.floor("rate") + F.when(draw(F.col("_id"), seed) < F.col("rate") - F.floor("rate"), 1).otherwise(0)
+    rates = materialise(source_targets(sizes, cycle, cap))  # a row a source
+    rates = small(materialise(source_seeds(sized, small(rates))))
+    copies = F.floor("rate") + F.when(draw(F.col("_id"), F.col("seed")) < F.col("rate") - F.floor("rate"), 1).otherwise(0)
     mix = F.struct(F.col("_size").alias("size"), "source_size", "target", copies.cast("int").alias("copies")).alias("_mix")
-    return sized.join(rates, F.col("_source").eqNullSafe(F.col("source"))).select(*(F.col("_row")[c].alias(c) for c in keep), mix)
+    return sized.join(rates, F.col("_source").eqNullSafe(F.col("source"))).select("_row", mix)
 
 
-def mix(docs: DataFrame, seed: int = 7, cycle: int = 3, cap: float = 3.0) -> DataFrame:
+def mix(docs: DataFrame, cycle: int = 3, cap: float = 3.0) -> DataFrame:
     """The mix itself: documents, each as often as the mix takes it, with their own columns."""
-    rows = repetitions(docs, seed, cycle, cap).where("_mix.copies > 0")
-    return rows.select(*docs.columns, F.explode(F.array_repeat(F.lit(0), F.col("_mix.copies"))).alias("_copy")).drop("_copy")
+    rows = repetitions(docs, cycle, cap).where("_mix.copies > 0")
+    each = rows.select("_row", F.explode(F.array_repeat(F.lit(0), F.col("_mix.copies"))).alias("_copy"))
+    return each.select(*(F.col("_row")[c].alias(c) for c in docs.columns))
 
 
 def query(docs: DataFrame) -> DataFrame:
     m = F.col("_mix")
-    return repetitions(docs, keep=("doc_id",)).select("doc_id", m["size"].alias("size"), m["source_size"].alias("source_size"), m["target"].alias("target"), (m["copies"] * m["size"]).cast("long").alias("taken"))
+    found = repetitions(docs, keep=("doc_id",))
+    return found.select(F.col("_row.doc_id").alias("doc_id"), m["size"].alias("size"), m["source_size"].alias("source_size"), m["target"].alias("target"), (m["copies"] * m["size"]).cast("long").alias("taken"))
 
 
 SQL = r"""
@@ -93,8 +116,15 @@ levels AS (SELECT *, max((total - 3.0::DOUBLE * before) / (w_total - w_before))
 rates AS (
   SELECT source, source_size, least(3.0::DOUBLE * source_size::DOUBLE, level * weight) AS target,
     CASE WHEN source_size > 0 THEN least(3.0::DOUBLE * source_size::DOUBLE, level * weight) / source_size::DOUBLE ELSE 0.0::DOUBLE END AS rate
-  FROM levels)
+  FROM levels),
+draws AS (
+  SELECT rates.source, h, size, rate - floor(rate) AS part, md5(h::VARCHAR || ':' || coalesce(doc_id::VARCHAR, '')) AS m
+  FROM (SELECT * FROM sized WHERE size > 0) s JOIN rates ON s.source IS NOT DISTINCT FROM rates.source, range(16) t(h) WHERE rate > floor(rate)),
+totals AS (
+  SELECT source, 4 * h + j AS seed, sum(CASE WHEN ('0x' || substr(m, 1 + 8 * j::INT, 8))::BIGINT::DOUBLE / 4294967296.0::DOUBLE < part THEN size ELSE 0 END) AS extra
+  FROM draws, range(4) u(j) GROUP BY ALL),
+seeds AS (SELECT source, arg_min(seed, (abs(floor(rate) * source_size + extra - target), seed)) AS seed FROM (SELECT t.*, rate, source_size, target FROM totals t JOIN rates ON t.source IS NOT DISTINCT FROM rates.source) GROUP BY source)
 SELECT doc_id, size, source_size, target,
-  ((floor(rate)::BIGINT + CASE WHEN ('0x' || substr(md5('7:' || coalesce(doc_id::VARCHAR, '')), 1, 13))::BIGINT::DOUBLE / 4503599627370496.0::DOUBLE < rate - floor(rate) THEN 1 ELSE 0 END) * size)::BIGINT AS taken
-FROM sized JOIN rates ON sized.source IS NOT DISTINCT FROM rates.source
+  ((floor(rate)::BIGINT + CASE WHEN ('0x' || substr(md5((seed // 4)::VARCHAR || ':' || coalesce(doc_id::VARCHAR, '')), 1 + 8 * (seed % 4)::INT, 8))::BIGINT::DOUBLE / 4294967296.0::DOUBLE < rate - floor(rate) THEN 1 ELSE 0 END) * size)::BIGINT AS taken
+FROM sized JOIN (SELECT rates.*, coalesce(seed, 0) AS seed FROM rates LEFT JOIN seeds ON rates.source IS NOT DISTINCT FROM seeds.source) r ON sized.source IS NOT DISTINCT FROM r.source
 """

@@ -11,6 +11,7 @@ import numpy as np
 import pyarrow.parquet as pq
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from quern.llm import bloomlm, langid, mixing, packing, simhash, suffixdedup
 
@@ -168,7 +169,20 @@ def test_mixing(docs, rows, spark):
     mixed = mixing.mix(docs)
     assert mixed.columns == docs.columns
     assert sum(len(split(r["text"])) for r in mixed.collect()) == sum(r["taken"] for r in found)
-    assert mixing.query(empty(spark)).count() == 0
+    assert mixing.query(empty(spark)).count() == 0 and mixing.mix(empty(spark)).count() == 0
+    named = docs.withColumns({"_copy": F.lit("c"), "size": F.lit(1), "rate": F.lit(2), "target": F.lit(3), "seed": F.lit("s"), "_row": F.lit("r")})
+    assert mixing.mix(named).columns == named.columns and {(r["_copy"], r["rate"], r["_row"]) for r in mixing.mix(named).collect()} == {("c", 2, "r")}
+
+
+def test_mixing_comes_near_its_targets(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    taken, target, sizes = collections.Counter(), {}, {}
+    source = {r["doc_id"]: r["source"] for r in docs.collect()}
+    for r in mixing.query(docs).collect():
+        s = source[r["doc_id"]]
+        taken[s] += r["taken"]
+        target[s], sizes[s] = r["target"], r["source_size"]
+    assert all(abs(taken[s] - target[s]) <= 0.02 * target[s] for s in target)
 
 
 # simhash

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import langid, mixing, packing, shingledup, suffixdedup
+from quern.llm import langid, mixing, packing, simhash, suffixdedup
 from quern.llm._common import materialise
 
 
@@ -18,8 +18,8 @@ def keep_identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Five-word shingles at similarity 0.8, by exact comparison; op6's contract (three words, radius 2) binds its query alone."""
-    return shingledup.deduplicate(docs)
+    """SimHash candidates, then five-word shingles at similarity 0.8 by exact comparison; op6's contract (three words, radius 2) binds its query alone."""
+    return simhash.deduplicate_similar(docs)
 
 
 def remove_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from quern.llm import shingledup
+from quern.llm import simhash
 
 
 def plain_kept(rows):
@@ -33,9 +33,10 @@ def plain_kept(rows):
     return set(least.values())
 
 
-@pytest.mark.parametrize("part", [4096, 3])
-def test_near_copies_are_kept_once(spark, monkeypatch, part):
-    monkeypatch.setattr(shingledup, "PART", part)
+@pytest.mark.parametrize(("part", "tile"), [(4096, 16_384), (3, 9)])
+def test_near_copies_are_kept_once(spark, monkeypatch, part, tile):
+    monkeypatch.setattr(simhash, "PART", part)
+    monkeypatch.setattr(simhash, "WIDE_TILE", tile)
     r = random.Random(4)
     rows = []
     for base in range(6):
@@ -54,5 +55,16 @@ def test_near_copies_are_kept_once(spark, monkeypatch, part):
 
 def test_linked_forest():
     sets = [np.arange(a, a + 100, dtype=np.uint64) for a in (0, 5, 11, 200, 22, 205, 900)]
-    u, v = shingledup.linked(sets)
+    u, v = simhash.linked(sets)
     assert len(u) == 4 and {frozenset(x) for x in zip(u.tolist(), v.tolist())} <= {frozenset(p) for p in ((0, 1), (0, 2), (1, 2), (2, 4), (3, 5))}
+
+
+def test_candidates_reach_similarity_four_fifths():
+    r = np.random.default_rng(8)
+    missed = 0
+    for n in (8, 9, 20, 100, 2000):
+        for _ in range(200):
+            shared, a, b = np.split(r.integers(1 << 63, size=n + 2 * (n // 8), dtype=np.uint64), [n, n + n // 8])  # n / (n + 2n/8) = 4/5
+            x, y = (np.frombuffer(simhash.wide_fingerprint(np.concatenate([shared, more])), np.uint64)[None] for more in (a, b))
+            missed += simhash.close_wide(x, y, False).tolist() != [0, 0]
+    assert missed <= 2

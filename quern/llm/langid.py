@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from ._common import map_batches, remainder, small
 
 LETTER = regex.compile(r"\p{L}")
-BATCH = 1 << 20  # bytes that are parsed at once (or one text)
+BATCH = 4 << 20  # bytes that are parsed at once (or one text)
 _SPACED = bytes(ord(chr(b).lower()) if chr(b).isalpha() and b < 128 else b if b >= 128 else 32 for b in range(256))
 
 
@@ -154,7 +154,7 @@ class Model:
         return codes, scores
 
 
-def learn(labelled: DataFrame, docs_per_language: int = 300, chars: int = 160_000, piece: int = 512) -> Model:
+def learn(labelled: DataFrame, docs_per_language: int = 300, chars: int = 100_000, piece: int = 512) -> Model:
     """labelled (text, lang) -> Model.
 
     The sample is bounded: of each language's distinct texts those with the

@@ -23,7 +23,7 @@ import json
 import os
 import re
 from collections.abc import Iterator
-from functools import cache
+from functools import cache, cached_property
 from itertools import chain
 
 import numpy as np
@@ -72,12 +72,7 @@ class Encoder:
     """Ids of whole texts, each followed by the end id."""
 
     def __init__(self, path: str, end_id: int):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
-        from tokenizers import Tokenizer
-
-        self.end = end_id
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.path, self.end = path, end_id
         with open(path, encoding="utf-8") as f:
             ranks = byte_ranks(json.load(f))
         self.fast = None
@@ -86,6 +81,16 @@ class Encoder:
 
             self.fast = tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
+    @cached_property
+    def tokenizer(self):
+        """Loaded only where a text needs it: beside tiktoken's tables it would take as much memory again."""
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
+        from tokenizers import Tokenizer
+
+        found = Tokenizer.from_file(self.path)
+        found.encode_special_tokens = True
+        return found
+
     def ids(self, text: str) -> list[int]:
         if self.fast is not None and (len(text) < RUN or all(m.end() - m.start() < RUN for m in WHITE.finditer(text))):
             return self.fast.encode_ordinary(text)

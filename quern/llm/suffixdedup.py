@@ -38,7 +38,7 @@ from ._common import BROADCAST_ROWS, materialise, small, text_key
 SPAN = 400
 SHORT = 240  # bytes: 51 words, each of 3.7 letters or more and a space
 GRAM = 64
-BLOCK = 1 << 20  # bytes that are hashed at once; positions in a block have 20 bits
+BLOCK = 1 << 19  # bytes that are hashed at once; positions in a block have 19 bits
 GROUP = 16_384  # contexts of a group, on average at most
 BATCH = 4096  # contexts of a batch of the index family
 _ODD = 0x9E3779B97F4A7C15

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 
 import pandas as pd
@@ -10,19 +11,21 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 TOKEN = r"[\p{L}\p{N}_\p{M}]+"
+#: White space of any script: Unicode's, and the four separators among the control characters.
+SPACE = r"[\s\x1c-\x1f\x85\p{Z}]+"
 #: Vietnamese letters with marks, lower case; upper case follows from them.
 MARKED = "àáảãạăằắẳẵặâầấẩẫậèéẻẽẹêềếểễệìíỉĩịòóỏõọôồốổỗộơờớởỡợùúủũụưừứửữựỳýỷỹỵđ"
 
 
 def normalize(text: Column, lower: bool = True) -> Column:
     """White space to single spaces, trimmed; lower case if asked."""
-    out = F.trim(F.regexp_replace(text, r"\s+", " "))
+    out = F.trim(F.regexp_replace(text, SPACE, " "))
     return F.lower(out) if lower else out
 
 
 def match_form(text: Column) -> Column:
     """Lower case, punctuation to spaces, single spaces."""
-    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}_\p{M}\s]", " "), r"\s+", " "))
+    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}_\p{M}\s]", " "), SPACE, " "))
 
 
 def fold(text: Column) -> Column:
@@ -42,6 +45,13 @@ def ngrams(tokens: Column, n: int) -> Column:
     return F.when(F.size(tokens) >= n, grams).otherwise(F.array().cast("array<string>"))
 
 
+def ngrams_of(text: Column, n: int) -> Column:
+    """The distinct grams of n characters of a text without spaces, lower case; the whole if it is shorter, none if empty."""
+    t = F.lower(F.regexp_replace(text, SPACE, ""))
+    starts = F.sequence(F.lit(1), F.greatest(F.length(t) - n + 1, F.lit(1)))
+    return F.when(F.length(t) > 0, F.array_distinct(F.transform(starts, lambda i: F.substring(t, i, F.lit(n))))).otherwise(F.array().cast("array<string>"))
+
+
 def quality(text: Column) -> Column:
     """+1.5 a marked letter, +2 a token, +0.05 a character, -2 an odd character, -0.5 a character over 8 in a token."""
     raw, form = F.trim(text), match_form(text)
@@ -52,6 +62,15 @@ def quality(text: Column) -> Column:
     return marked * 1.5 + F.size(words) * 2.0 + F.length(form) * 0.05 - odd * 2.0 - over * 0.5
 
 
+def quality_score(text: str) -> float:
+    """quality() of one text, for folds: the same words, marks and odd characters."""
+    raw, form = text.strip(), " ".join(re.sub(r"[^\w\s]", " ", text.lower()).split())
+    words = form.split()
+    marked = sum(c in MARKED or c in MARKED.upper() for c in raw)
+    odd = sum(not (c.isalnum() or c.isspace() or c == "_" or unicodedata.category(c)[0] == "M" or c in ".,!?;:'\"()-") for c in raw)
+    return 1.5 * marked + 2.0 * len(words) + 0.05 * len(form) - 2.0 * odd - 0.5 * sum(max(0, len(w) - 8) for w in words)
+
+
 def timecode(seconds: Column, mark: str = ".") -> Column:
     """HH:MM:SS.mmm (rounded) or HH:MM:SS,mmm (cut)."""
     ms = (F.round(seconds * 1000) if mark == "." else F.floor(seconds * 1000)).cast("long")
@@ -69,6 +88,18 @@ def preview(text: Column, most: int) -> Column:
     return F.when(F.length(text) <= most, text).otherwise(F.concat(F.left(text, F.lit(most)), F.lit("…")))
 
 
+def strip_marks(text: Column) -> Column:
+    """Without combining marks of any script; đ becomes d. The marks of MARKED letters go by fold(), all others once they stand alone."""
+    return F.regexp_replace(fold(text), r"\p{Mn}", "")
+
+
+def clean_translation(text: Column) -> Column:
+    """A model's translation without thoughts, fences, labels at its start and quotes around it, in single spaces."""
+    plain = F.regexp_replace(F.regexp_replace(text, r"(?s)<think>.*?</think>", ""), r"```[a-z]*", "")
+    plain = F.regexp_replace(F.trim(F.regexp_replace(plain, SPACE, " ")), r"(?i)^(?:translation|english|output)\s*:\s*", "")
+    return F.trim(F.regexp_replace(plain, "^[\"'“”]+|[\"'“”]+$", ""))
+
+
 def json_payload(text: Column) -> Column:
     """The outermost braces of a model's answer, without fences and thoughts."""
     plain = F.regexp_replace(F.regexp_replace(text, r"(?s)^.*</think>", ""), r"```(json)?", "")

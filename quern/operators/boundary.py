@@ -5,18 +5,58 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quern.functions import vectors as vx
+from quern.operators.intervals import overlap_join
+
 
 def embedding_change(shots: DataFrame, key: str, vector: str, width: int = 3) -> DataFrame:
-    """1 - cosine of the pooled contexts on either side of each cut -> key, idx, change, valid. Null vectors don't count."""
-    w = Window.partitionBy(key, "pos").orderBy("idx")
-    rows = shots.select(key, "idx", F.posexplode_outer(vector).alias("pos", "x")).withColumn("x", F.col("x").cast("double"))
-    size = shots.where(F.col(vector).isNotNull()).select(F.max(F.size(vector)).alias("d"))
-    gaps = rows.where("pos is null").join(F.broadcast(size)).select(key, "idx", F.explode(F.sequence(F.lit(0), F.col("d") - 1)).alias("pos"), "x")
-    rows = rows.where("pos is not null").unionByName(gaps)
-    both = rows.select(key, "idx", "pos", F.avg("x").over(w.rowsBetween(1 - width, 0)).alias("l"), F.avg("x").over(w.rowsBetween(1, width)).alias("r"), F.lead("idx").over(w).alias("next"))
-    sums = both.where("next is not null").groupBy(key, "idx").agg(F.sum(F.col("l") * F.col("r")).alias("lr"), F.sum(F.col("l") * F.col("l")).alias("ll"), F.sum(F.col("r") * F.col("r")).alias("rr"))
-    cosine = F.col("lr") / ((F.sqrt("ll") + 1e-8) * (F.sqrt("rr") + 1e-8))
-    return sums.select(key, "idx", F.coalesce(1 - cosine, F.lit(0.0)).alias("change"), F.col("lr").isNotNull().alias("valid"))
+    """1 - cosine of the mean contexts on either side of each cut -> key, idx, change, valid. Null vectors don't count.
+
+    The window gathers whole vectors, at most 2 * width of them, so rows aren't multiplied by components.
+    """
+    w = Window.partitionBy(key).orderBy("idx")
+    v = F.transform(vector, lambda x: x.cast("double"))
+    near = lambda a, b: F.collect_list(v).over(w.rowsBetween(a, b))
+    both = shots.select(key, "idx", near(1 - width, 0).alias("l"), near(1, width).alias("r"), F.lead("idx").over(w).alias("next")).where("next is not null")
+    mean = lambda c: F.aggregate(F.slice(c, 2, 2 * width), F.element_at(c, 1), lambda s, x: F.zip_with(s, x, lambda a, b: a + b), lambda s: F.transform(s, lambda x: x / F.size(c)))
+    ok = (F.size("l") > 0) & (F.size("r") > 0)
+    both = both.select(key, "idx", ok.alias("valid"), F.when(ok, mean(F.col("l"))).alias("l"), F.when(ok, mean(F.col("r"))).alias("r"))
+    cosine = vx.dot(F.col("l"), F.col("r")) / ((vx.norm(F.col("l")) + 1e-8) * (vx.norm(F.col("r")) + 1e-8))
+    return both.select(key, "idx", F.when(F.col("valid"), 1 - cosine).otherwise(0.0).alias("change"), "valid")
+
+
+def subtitle_change(shots: DataFrame, subtitles: DataFrame, key: str, width: int = 3, tau: float = 2.0) -> DataFrame:
+    """1 - cosine of the subtitles on either side of each cut -> key, idx, change, valid.
+
+    shots (key, idx, s, e), subtitles (key, bs, be, emb). A subtitle counts by its overlap with the side's range of `width`
+    shots, and exp(-distance / tau) of its end (left) or start (right) from the cut.
+    """
+    w = Window.partitionBy(key).orderBy("idx")
+    left, right = w.rowsBetween(1 - width, 0), w.rowsBetween(1, width)
+    cuts = shots.select(key, "idx", F.col("e").alias("cut"), F.first("s").over(left).alias("ls"), F.first("s").over(right).alias("rs"), F.last("e").over(right).alias("re")).where("rs is not null")
+    sides = cuts.select(key, "idx", "cut", F.explode(F.array(F.struct(F.lit("l").alias("side"), F.col("ls").alias("s"), F.col("cut").alias("e")), F.struct(F.lit("r").alias("side"), F.col("rs").alias("s"), F.col("re").alias("e")))).alias("x"))
+    met = overlap_join(sides.select(key, "idx", "cut", "x.side", "x.s", "x.e"), subtitles.where("emb is not null").select(key, "bs", "be", "emb"), key)
+    away = F.when(F.col("side") == "l", F.col("cut") - F.least("be", "cut")).otherwise(F.greatest("bs", "cut") - F.col("cut"))
+    weighed = met.withColumn("w", F.col("overlap") * F.exp(-F.greatest(away, F.lit(0.0)) / tau)).where("w > 0")
+    items = lambda side: F.collect_list(F.when(F.col("side") == side, F.struct("w", F.transform("emb", lambda x: x.cast("double")).alias("v"))))
+    means = weighed.groupBy(key, "idx").agg(items("l").alias("l"), items("r").alias("r")).select(key, "idx", vx.weighted_mean(F.col("l")).alias("l"), vx.weighted_mean(F.col("r")).alias("r"))
+    cosine = vx.dot(F.col("l"), F.col("r")) / ((vx.norm(F.col("l")) + 1e-8) * (vx.norm(F.col("r")) + 1e-8))
+    ok = F.col("l").isNotNull() & F.col("r").isNotNull()
+    return cuts.select(key, "idx").join(means, [key, "idx"], "left").select(key, "idx", F.when(ok, 1 - cosine).otherwise(0.0).alias("change"), ok.alias("valid"))
+
+
+def boundary_rows(shots: DataFrame, changes: dict[str, DataFrame], bridge: DataFrame, key: str, weights: dict[str, float]) -> DataFrame:
+    """All modalities of each cut: <m>_change, <m>_valid, <m>_norm (min-max among the key's valid ones), score (weighted mean of the valid), penalty, is_candidate.
+
+    shots (key, idx, s, e); changes by modality (key, idx, change, valid); bridge (key, idx, penalty).
+    """
+    w = Window.partitionBy(key).orderBy("idx")
+    out = shots.select(key, "idx", F.col("e").alias("time"), F.lead("idx").over(w).alias("_next")).where("_next is not null").drop("_next")
+    for m, c in changes.items():
+        out = out.join(c.select(key, "idx", F.col("change").alias(f"{m}_change"), F.col("valid").alias(f"{m}_valid")), [key, "idx"], "left").fillna({f"{m}_change": 0.0, f"{m}_valid": False})
+    out = out.withColumns({f"{m}_norm": min_max(F.col(f"{m}_change"), F.col(f"{m}_valid"), key) for m in changes})
+    scored = out.join(bridge.select(key, "idx", "penalty"), [key, "idx"], "left").fillna({"penalty": 0.0}).withColumn("score", fuse(weights))
+    return peaks(scored, key)
 
 
 def _around(counts: DataFrame, key: str, width: int) -> DataFrame:

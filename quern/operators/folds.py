@@ -1,12 +1,53 @@
-"""Order-dependent folds: one group (a video, or a query's session) at a time, in Arrow-based grouped functions."""
+"""Order-dependent folds: one group (a video, or a query's session) at a time.
+
+Rows are dealt by group and sorted inside partitions; a task then walks
+batches of many groups and holds back the last one, which may go on. So small
+groups cost no call each, and a task's memory is bounded by its largest group.
+"""
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from quern.functions.text import quality_score, similarity
+
+
+def fold(rows: DataFrame, group: list[str], order: list[str], columns: list[str], each: Callable[[dict[str, np.ndarray]], list[tuple]], out: str) -> DataFrame:
+    """Each group's rows in order, as arrays by column -> tuples, which follow the group's columns; out: their schema."""
+    kinds = dict(rows.dtypes)
+    schema = ", ".join([*(f"{g} {kinds[g]}" for g in group), out])
+    names = [*group, *(f.split()[0] for f in out.split(", "))]
 
-from quern.functions.text import similarity
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: pd.DataFrame | None = None
+
+        def done(whole: pd.DataFrame, last: bool) -> tuple[pd.DataFrame, pd.DataFrame | None]:
+            keys = whole[group]
+            new = (keys != keys.shift()).any(axis=1).to_numpy() & ~(keys.isna() & keys.shift().isna()).all(axis=1).to_numpy()
+            new[:1] = True
+            starts = np.append(np.nonzero(new)[0], len(whole))
+            arrays = {c: whole[c].to_numpy() for c in {*group, *columns}}
+            made = []
+            for a, b in zip(starts[:-1] if last else starts[:-2], starts[1:] if last else starts[1:-1], strict=True):
+                key = tuple(arrays[g][a] for g in group)
+                made += [(*key, *row) for row in each({c: arrays[c][a:b] for c in columns})]
+            return pd.DataFrame(made, columns=names), None if last else whole.iloc[starts[-2] :]
+
+        for batch in batches:
+            if len(batch):
+                result, held = done(batch if held is None else pd.concat([held, batch], ignore_index=True), False)
+                yield result
+        if held is not None:
+            yield done(held.reset_index(drop=True), True)[0]
+
+    dealt = rows.select(*dict.fromkeys([*group, *order, *columns])).repartition(*group).sortWithinPartitions(*group, *order)
+    return dealt.mapInPandas(run, schema)
 
 
 def cut_events(duration: np.ndarray, starts: np.ndarray, ends: np.ndarray, reward: np.ndarray, low: float, high: float) -> list[tuple[int, int]] | None:
@@ -63,97 +104,87 @@ def segments(starts: np.ndarray, ends: np.ndarray, reward: np.ndarray, low: floa
 def segment_events(boundaries: DataFrame, key: str, cut_penalty: float = 0.55, other_penalty: float = 0.25, low: float = 3.0, high: float = 30.0) -> DataFrame:
     """boundaries (key, idx, s, e, score, is_candidate, penalty), a row a shot -> key, event, first, last (inclusive)."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        p = pdf.sort_values("idx")
-        reward = p["score"].fillna(0).to_numpy() - cut_penalty - np.where(p["is_candidate"].fillna(False).astype(bool), 0, other_penalty) - p["penalty"].fillna(0).to_numpy()
-        idx = p["idx"].to_numpy()
-        found = segments(p["s"].to_numpy(), p["e"].to_numpy(), reward, low, high)
-        return pd.DataFrame([(p[key].iloc[0], i, int(idx[a]), int(idx[b - 1])) for i, (a, b) in enumerate(found)], columns=[key, "event", "first", "last"])
+    def each(p: dict[str, np.ndarray]) -> list[tuple]:
+        free = np.where(pd.isna(p["is_candidate"]), False, p["is_candidate"]).astype(bool)
+        reward = np.nan_to_num(p["score"].astype(float)) - cut_penalty - np.where(free, 0, other_penalty) - np.nan_to_num(p["penalty"].astype(float))
+        return [(i, int(p["idx"][a]), int(p["idx"][b - 1])) for i, (a, b) in enumerate(segments(p["s"], p["e"], reward, low, high))]
 
-    return boundaries.groupBy(key).applyInPandas(run, f"{key} long, event long, first long, last long")
+    return fold(boundaries, [key], ["idx"], ["idx", "s", "e", "score", "is_candidate", "penalty"], each, "event long, first long, last long")
 
 
 def chain(score: np.ndarray, order: np.ndarray, gap: int, skip: float) -> tuple[float, list[tuple[int, int]], int]:
     """Best chain of stages over a timeline: (score, [(stage, order)], skipped).
 
     score, order: (time, stage), each stage's support near a time. A state starts anew, is carried, continues the stage
-    before if `gap` apart, or skips the stage at a discount; the first of them wins ties.
+    before if `gap` apart, or skips the stage at a discount; the first of them wins ties. Only the states of the time
+    before and each stage's best so far are needed, so a state holds its own way back.
     """
-    n, stages = score.shape
-    best = np.zeros((n, stages))
-    last = np.full((n, stages), -1)
-    how = np.zeros((n, stages), np.int8)  # 0 empty, 1 start, 2 carry, 3 step, 4 skip
-    back = np.full((n, stages), -1)
-    top = np.full(stages, -1)  # time of a stage's best so far
-    for t in range(n):
-        for s in range(stages):
-            x, o = score[t, s], order[t, s]
-            if x > 0:
-                best[t, s], last[t, s], how[t, s] = x, o, 1
-            if t and best[t - 1, s] > best[t, s]:
-                best[t, s], last[t, s], how[t, s], back[t, s] = best[t - 1, s], last[t - 1, s], 2, t - 1
-            if t and s and x > 0 and best[t - 1, s - 1] > 0 and o - last[t - 1, s - 1] >= gap and best[t - 1, s - 1] + x > best[t, s]:
-                best[t, s], last[t, s], how[t, s], back[t, s] = best[t - 1, s - 1] + x, o, 3, t - 1
-            if s and top[s - 1] >= 0 and skip * best[top[s - 1], s - 1] > best[t, s]:
-                best[t, s], last[t, s], how[t, s], back[t, s] = skip * best[top[s - 1], s - 1], last[top[s - 1], s - 1], 4, top[s - 1]
-            if best[t, s] > (best[top[s], s] if top[s] >= 0 else 0):
-                top[s] = t
-    if not n or top[stages - 1] < 0:
-        return 0.0, [], 0
-    t, s, hops, skipped = int(top[stages - 1]), stages - 1, [], 0
-    total = float(best[t, s])
-    while True:
-        kind = how[t, s]
-        if kind in (1, 3):
-            hops.append((s, int(order[t, s])))
-        if kind in (0, 1):
-            break
-        skipped += kind == 4
-        t, s = int(back[t, s]), s - (kind != 2)
-    return total, hops[::-1], skipped
+    stages = score.shape[1]
+    empty = (0.0, -1, None, 0)  # score, last order, (hop, the hops before), skipped
+    before, top = [empty] * stages, [empty] * stages
+    for t, (support, places) in enumerate(zip(score.tolist(), order.tolist(), strict=True)):
+        now = []
+        for s, (x, o) in enumerate(zip(support, places, strict=True)):
+            state = (x, o, ((s, o), None), 0) if x > 0 else empty
+            if t:
+                if before[s][0] > state[0]:
+                    state = before[s]
+                if s and x > 0:
+                    was = before[s - 1]
+                    if was[0] > 0 and o - was[1] >= gap and was[0] + x > state[0]:
+                        state = (was[0] + x, o, ((s, o), was[2]), was[3])
+            if s and skip * top[s - 1][0] > state[0]:
+                was = top[s - 1]
+                state = (skip * was[0], was[1], was[2], was[3] + 1)
+            if state[0] > top[s][0]:
+                top[s] = state
+            now.append(state)
+        before = now
+    total, _, link, skipped = top[-1]
+    hops = []
+    while link:
+        hops.append(link[0])
+        link = link[1]
+    return total, hops[::-1], skipped if hops else 0
 
 
 def temporal_chains(supports: DataFrame, group: list[str], stages: int, gap: int = 1, skip: float = 0.7) -> DataFrame:
     """supports (group, ord, s0.., o0..) -> group, score, matched, skipped, chain ("stage:order" joined by '>'). Invalid chains go."""
-    kinds = dict(supports.dtypes)
+    scores, orders = [f"s{i}" for i in range(stages)], [f"o{i}" for i in range(stages)]
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        p = pdf.sort_values("ord")
-        score = p[[f"s{i}" for i in range(stages)]].fillna(0).to_numpy(float)
-        order = p[[f"o{i}" for i in range(stages)]].fillna(-1).to_numpy(np.int64)
+    def each(p: dict[str, np.ndarray]) -> list[tuple]:
+        score = np.nan_to_num(np.stack([p[c].astype(float) for c in scores], 1))
+        order = np.nan_to_num(np.stack([p[c].astype(float) for c in orders], 1), nan=-1).astype(np.int64)
         total, hops, skipped = chain(score, order, gap, skip)
         at = [o for _, o in hops]
         ok = hops and all(b - a >= gap for a, b in zip(at, at[1:], strict=False))
-        row = [*(p[g].iloc[0] for g in group), total, len(hops), skipped, ">".join(f"{s}:{o}" for s, o in hops)]
-        return pd.DataFrame([row] if ok else [], columns=[*group, "score", "matched", "skipped", "chain"])
+        return [(total, len(hops), skipped, ">".join(f"{s}:{o}" for s, o in hops))] if ok else []
 
-    return supports.groupBy(*group).applyInPandas(run, ", ".join(f"{g} {kinds[g]}" for g in group) + ", score double, matched int, skipped int, chain string")
+    return fold(supports, group, ["ord"], [*scores, *orders], each, "score double, matched int, skipped int, chain string")
 
 
 def greedy_keyframes(frames: DataFrame, key: str, threshold: float = 0.9) -> DataFrame:
     """frames (key, idx, emb) -> key, idx of those whose cosine to the last kept one is below the threshold."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        p = pdf.sort_values("idx")
-        x = np.stack(p["emb"].to_list()).astype(float)
+    def each(p: dict[str, np.ndarray]) -> list[tuple]:
+        x = np.stack(p["emb"]).astype(float)
         x /= np.maximum(np.linalg.norm(x, axis=1), 1e-12)[:, None]
         kept = [0]
         for i in range(1, len(x)):
             if x[kept[-1]] @ x[i] < threshold:
                 kept.append(i)
-        return p.iloc[kept][[key, "idx"]]
+        return [(int(i),) for i in p["idx"][kept]]
 
-    return frames.groupBy(key).applyInPandas(run, f"{key} long, idx long")
+    return fold(frames, [key], ["idx"], ["idx", "emb"], each, "idx long")
 
 
 def leader_clusters(items: DataFrame, key: str, threshold: float = 0.45) -> DataFrame:
     """items (key, idx, emb) in order -> key, idx, cluster: the nearest centroid if near enough, else a new one."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        p = pdf.sort_values("idx")
-        x = np.stack(p["emb"].to_list()).astype(float)
+    def each(p: dict[str, np.ndarray]) -> list[tuple]:
+        x = np.stack(p["emb"]).astype(float)
         sums, centres, counts, out = np.empty_like(x), np.empty_like(x), 0, []
-        for v in x:
+        for i, v in zip(p["idx"].tolist(), x, strict=True):
             near = centres[:counts] @ v
             c = int(np.argmax(near)) if counts else -1
             if counts and near[c] >= threshold:
@@ -162,53 +193,51 @@ def leader_clusters(items: DataFrame, key: str, threshold: float = 0.45) -> Data
             else:
                 c, counts = counts, counts + 1
                 sums[c] = centres[c] = v
-            out.append(c)
-        return pd.DataFrame({key: p[key].to_numpy(), "idx": p["idx"].to_numpy(), "cluster": out})
+            out.append((i, c))
+        return out
 
-    return items.groupBy(key).applyInPandas(run, f"{key} long, idx long, cluster long")
+    return fold(items, [key], ["idx"], ["idx", "emb"], each, "idx long, cluster long")
 
 
 def position_clusters(boxes: DataFrame, key: str, radius: float = 30.0, ratio: float = 0.3) -> DataFrame:
-    """boxes (key, frame, idx, x, y): positions within `radius` of a cluster's mean join it; those in `ratio` of the frames stay -> key, x, y, frames."""
+    """boxes (key, frame, idx, x, y): a position within `radius` of a cluster's centre moves it by its distance over the cluster's frames, itself counted; clusters in `ratio` of the frames stay -> key, x, y, frames."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        p = pdf.sort_values(["frame", "idx"])
+    def each(p: dict[str, np.ndarray]) -> list[tuple]:
         found: list[list] = []
-        for frame, x, y in zip(p["frame"], p["x"], p["y"], strict=True):
-            near = next((c for c in found if np.hypot(c[0] - x, c[1] - y) <= radius), None)
+        for frame, x, y in zip(p["frame"].tolist(), p["x"].tolist(), p["y"].tolist(), strict=True):
+            near = next((c for c in found if math.hypot(c[0] - x, c[1] - y) <= radius), None)
             if near is None:
                 found.append([x, y, {frame}])
             else:
-                n = len(near[2])
-                near[0], near[1] = (near[0] * n + x) / (n + 1), (near[1] * n + y) / (n + 1)
                 near[2].add(frame)
-        total = p["frame"].nunique()
-        return pd.DataFrame([(p[key].iloc[0], x, y, len(f)) for x, y, f in found if len(f) >= ratio * total], columns=[key, "x", "y", "frames"])
-
-    return boxes.groupBy(key).applyInPandas(run, f"{key} long, x double, y double, frames long")
+                near[0] += (x - near[0]) / len(near[2])
+                near[1] += (y - near[1]) / len(near[2])
+        total = len(set(p["frame"].tolist()))
+        return [(x, y, len(f)) for x, y, f in found if len(f) >= ratio * total]
 
+    return fold(boxes, [key], ["frame", "idx"], ["frame", "x", "y"], each, "x double, y double, frames long")
 
-def _quality(text: str) -> float:
-    from quern.functions.text import MARKED
 
-    raw = text.strip()
-    words = "".join(c if c.isalnum() or c in "_ " else " " for c in raw.lower()).split()
-    odd = sum(not (c.isalnum() or c.isspace() or c in "_.,!?;:'\"()-") for c in raw)
-    return 1.5 * sum(c in MARKED + MARKED.upper() for c in raw) + 2 * len(words) + 0.05 * len(" ".join(words)) - 2 * odd - 0.5 * sum(max(0, len(w) - 8) for w in words)
+def without_logos(boxes: DataFrame, logos: DataFrame, key: str, radius: float = 30.0) -> DataFrame:
+    """boxes (key, x, y, ...) that lie further than `radius` from all of the key's logo positions (key, x, y)."""
+    columns = boxes.columns
+    centres = logos.groupBy(key).agg(F.collect_list(F.struct("x", "y")).alias("_logos"))
+    near = F.exists(F.col("_logos"), lambda c: F.hypot(c["x"] - F.col("x"), c["y"] - F.col("y")) <= radius)
+    return boxes.join(centres, key, "left").where(~F.coalesce(near, F.lit(False))).select(*columns)
 
 
 def merge_runs(texts: DataFrame, key: str, near: float = 0.8, gap: int = 12) -> DataFrame:
     """texts (key, frame, text): a run goes on while a text is like its best one so far and the frames are near -> key, first, last, text."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+    def each(p: dict[str, np.ndarray]) -> list[tuple]:
         out: list[list] = []
-        for frame, text in pdf.sort_values("frame")[["frame", "text"]].itertuples(index=False):
+        for frame, text in zip(p["frame"].tolist(), p["text"], strict=True):
             if out and frame - out[-1][1] <= gap and similarity(out[-1][2], text) >= near:
                 out[-1][1] = frame
-                if (_quality(text), len(text)) > (_quality(out[-1][2]), len(out[-1][2])):
+                if (quality_score(text), len(text)) > (quality_score(out[-1][2]), len(out[-1][2])):
                     out[-1][2] = text
             else:
                 out.append([frame, frame, text])
-        return pd.DataFrame([(pdf[key].iloc[0], *r) for r in out], columns=[key, "first", "last", "text"])
+        return [tuple(r) for r in out]
 
-    return texts.groupBy(key).applyInPandas(run, f"{key} long, first long, last long, text string")
+    return fold(texts, [key], ["frame"], ["frame", "text"], each, "first long, last long, text string")

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quern.functions.text import fuzzy, tokenize
+from quern.functions.text import TOKEN, fuzzy, ngrams_of, tokenize
 
 QUERIES = 4096  # queries whose vectors are broadcast at once
 
@@ -62,7 +62,8 @@ def term_stats(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """docs (doc_id, text) -> postings (doc_id, term, tf, dl), and one row of n, avgdl."""
     tokens = docs.select("doc_id", tokenize(F.col("text")).alias("t")).withColumn("dl", F.size("t"))
     postings = tokens.select("doc_id", "dl", F.explode("t").alias("term")).groupBy("doc_id", "dl", "term").agg(F.count("*").alias("tf"))
-    return postings, tokens.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
+    lengths = docs.select(F.regexp_count(F.lower("text"), F.lit(TOKEN)).alias("dl"))
+    return postings, lengths.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
 
 
 def bm25(docs: DataFrame, queries: DataFrame, k: int, k1: float = 1.5, b: float = 0.75) -> DataFrame:
@@ -71,22 +72,47 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int, k1: float = 1.5, b: float
     Only postings of query terms are shuffled to the join. Scores equal to nine
     places tie, as sums over shuffled terms differ in their last bits.
     """
-    postings, totals = term_stats(docs)
     asked = queries.select("query_id", F.explode(tokenize(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qf"))
+    postings, totals = term_stats(docs)
     live = postings.join(asked.select("term").distinct(), "term", "left_semi")
+    return scored_postings(live, totals, asked, k, k1, b)
+
+
+def bm25_index(docs: DataFrame, path: str) -> None:
+    """docs (doc_id, text) -> a store of postings (doc_id, term, tf, dl) by term, and of totals: documents are tokenised once for all queries."""
+    postings, totals = term_stats(docs)
+    postings.repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/postings")
+    totals.write.mode("overwrite").parquet(f"{path}/totals")
+
+
+def bm25_stored(path: str, queries: DataFrame, k: int, k1: float = 1.5, b: float = 0.75) -> DataFrame:
+    """bm25() over a store of bm25_index()."""
+    spark = queries.sparkSession
+    asked = queries.select("query_id", F.explode(tokenize(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qf"))
+    live = spark.read.parquet(f"{path}/postings").join(asked.select("term").distinct(), "term", "left_semi")
+    return scored_postings(live, spark.read.parquet(f"{path}/totals"), asked, k, k1, b)
+
+
+def scored_postings(live: DataFrame, totals: DataFrame, asked: DataFrame, k: int, k1: float, b: float) -> DataFrame:
+    """Postings of query terms -> query_id, doc_id, score, rank."""
     df = live.groupBy("term").agg(F.count("*").alias("df"))
-    n, avgdl = totals.first()
-    idf = F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = F.col("qf") * idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.lit(avgdl or 1.0)))
-    scored = live.join(df, "term").join(asked, "term").groupBy("query_id", "doc_id").agg(F.sum(part).alias("score")).where("score > 0")
+    one = F.broadcast(totals.select("n", F.coalesce("avgdl", F.lit(1.0)).alias("avgdl")))  # one row
+    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    part = F.col("qf") * idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
+    scored = live.join(df, "term").join(asked, "term").crossJoin(one).groupBy("query_id", "doc_id").agg(F.sum(part).alias("score")).where("score > 0")
     w = Window.partitionBy("query_id").orderBy(F.round("score", 9).desc(), "doc_id")
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def fuzzy_search(docs: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """Recall by a shared token, then exact fuzzy scores; top k positive scores."""
-    terms = lambda df, key: df.select(key, F.explode(F.array_distinct(tokenize(F.col("text")))).alias("term"))
-    pairs = terms(queries, "query_id").join(terms(docs, "doc_id"), "term").select("query_id", "doc_id").distinct()
+def fuzzy_search(docs: DataFrame, queries: DataFrame, k: int, grams: int = 3) -> DataFrame:
+    """Recall by a shared gram of characters, then exact fuzzy scores; top k positive scores.
+
+    Grams are of the text without spaces, so misread words and a query inside a longer token are candidates; a text of
+    fewer characters is one gram. What shares no gram with a query isn't scored: that is the recall's bound.
+    """
+    keys = lambda df, key: df.select(key, F.explode(ngrams_of(F.col("text"), grams)).alias("gram"))
+    asked = keys(queries, "query_id")
+    pairs = keys(docs, "doc_id").join(asked, "gram").select("query_id", "doc_id").distinct()
     scored = pairs.join(queries.select("query_id", F.col("text").alias("q")), "query_id").join(docs.select("doc_id", F.col("text").alias("d")), "doc_id")
     scored = scored.select("query_id", "doc_id", fuzzy("q", "d").alias("score")).where("score > 0")
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
@@ -128,7 +154,8 @@ def max_norm_fusion(hits: DataFrame, weights: dict[str, float], key: str = "item
     top = best.groupBy("channel").agg(F.max("score").alias("top"))
     weight = F.coalesce(F.create_map(*[F.lit(x) for kv in weights.items() for x in kv])[F.col("channel")], F.lit(0.0))
     fused = best.join(F.broadcast(top), "channel").groupBy(key).agg(F.sum(weight * F.col("score") / F.col("top")).alias("fused")).where("fused > 0")
-    return fused.withColumn("fused", F.col("fused") / F.max("fused").over(Window.partitionBy()))
+    most = fused.agg(F.max("fused").alias("_most"))  # one row, combined on the map side
+    return fused.crossJoin(F.broadcast(most)).withColumn("fused", F.col("fused") / F.col("_most")).drop("_most")
 
 
 def rank_decay_fusion(hits: DataFrame, k: int, beta: float = 0.5, key: str = "item_id") -> DataFrame:
@@ -144,9 +171,11 @@ def rank_decay_fusion(hits: DataFrame, k: int, beta: float = 0.5, key: str = "it
     return both.select(key, (models * F.exp(F.col("l") + gap * F.log(missing)) / (F.col("t") + gap * missing)).alias("fused"))
 
 
-def roll_up(items: DataFrame, parent: str) -> DataFrame:
-    """A parent's score is its best item's; parents are ranked."""
+def roll_up(items: DataFrame, parent: str, most: int | None = None) -> DataFrame:
+    """A parent's score is its best item's; parents are ranked. With `most`, tasks keep that many each before the one that ranks them."""
     best = items.groupBy(parent).agg(F.max("score").alias("score"))
+    if most:
+        best = best.orderBy(F.desc("score"), parent).limit(most)
     return best.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), parent)))
 
 

@@ -6,6 +6,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: What is not allowed in a text that could be Vietnamese or English.
+ODD = r"[^\p{IsLatin}0-9.,!?;:'\"()\[\]\-_/&%$@#+=*…]"
+
+
 def _first(df: DataFrame, kind: str, *names: str) -> Column:
     return F.coalesce(*(F.col(n).cast(kind) for n in names if n in df.columns), F.lit(None).cast(kind))
 
@@ -24,17 +28,25 @@ def frame_times(first: Column, last: Column, fps: Column, frames: Column) -> Col
 
 
 def sample_times(s: Column, e: Column, most: int = 5) -> Column:
-    """n = min(most, ceil(duration / 2)) times, evenly between margins of min(0.15 * duration, 0.25); the middle for n = 1."""
+    """n = min(most, ceil(duration / 2)) times, evenly between margins of min(0.15 * duration, 0.25); the middle for n = 1, none without a duration."""
     d = e - s
     n = F.least(F.lit(most), F.greatest(F.lit(1), F.ceil(d / 2).cast("int")))
     margin = F.least(0.15 * d, F.lit(0.25))
     lo, hi = s + margin, e - margin
-    return F.when(n == 1, F.array((s + e) / 2)).otherwise(F.transform(F.sequence(F.lit(0), n - 1), lambda i: lo + (hi - lo) * i / (n - 1)))
+    return F.when(d <= 0, F.array().cast("array<double>")).when(n == 1, F.array((s + e) / 2)).otherwise(F.transform(F.sequence(F.lit(0), n - 1), lambda i: lo + (hi - lo) * i / (n - 1)))
+
+
+def sample_frames(first: Column, last: Column, step: int, frames: Column) -> Column:
+    """Every step-th frame of first..last, clamped to the video's frames; the middle one if there is none."""
+    lo, hi = (F.least(F.greatest(x, F.lit(0)), frames - 1) for x in (first, last))
+    return F.when(last >= first, F.array_distinct(F.transform(F.sequence(first, last, F.lit(step).cast("long")), lambda f: F.least(F.greatest(f, F.lit(0)), frames - 1)))).otherwise(F.array(F.floor((lo + hi) / 2)))
 
 
-def sample_frames(first: Column, last: Column, step: int) -> Column:
-    """Every step-th frame of first..last; the middle one if there is none."""
-    return F.when(last >= first, F.sequence(first, last, F.lit(step).cast("long"))).otherwise(F.array(F.floor((first + last) / 2)))
+def index_window(start: Column, end: Column, fps: Column, count: Column) -> Column:
+    """Places [a, b) of a feature sequence that cover seconds start..end: floor and ceiling, clamped, never empty where there is a feature."""
+    a = F.least(F.greatest(F.floor(start * fps), F.lit(0)), F.greatest(count - 1, F.lit(0)))
+    b = F.least(F.greatest(F.ceil(end * fps), a + 1), count)
+    return F.struct(a.cast("long").alias("a"), b.cast("long").alias("b"))
 
 
 def sub_shots(s: Column, e: Column, clip: float) -> Column:
@@ -48,30 +60,44 @@ def resample(values: Column, n: int) -> Column:
     return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.element_at(values, F.round(i * (F.size(values) - 1) / max(1, n - 1)).cast("int") + 1))
 
 
-def shot_features(shots: DataFrame, parent: str) -> DataFrame:
-    """Position in the parent, share of its duration, relative start and end; shots (parent, idx, s, e)."""
+def shot_features(shots: DataFrame, parent: str, norm: float = 10.0) -> DataFrame:
+    """Place among the parent's shots, duration over `norm` seconds (1 at most), start and end relative to the parent; shots (parent, idx, s, e)."""
     w = Window.partitionBy(parent)
     lo, hi = F.min("s").over(w), F.max("e").over(w)
     span = F.greatest(hi - lo, F.lit(1e-6))
     position = (F.row_number().over(w.orderBy("idx")) - 1) / F.greatest(F.count("*").over(w) - 1, F.lit(1))
-    return shots.select(parent, "idx", position.alias("position"), ((F.col("e") - F.col("s")) / span).alias("share"), ((F.col("s") - lo) / span).alias("rel_start"), ((F.col("e") - lo) / span).alias("rel_end"))
+    share = F.least((F.col("e") - F.col("s")) / norm, F.lit(1.0))
+    return shots.select(parent, "idx", position.alias("position"), share.alias("duration"), ((F.col("s") - lo) / span).alias("rel_start"), ((F.col("e") - lo) / span).alias("rel_end"))
 
 
-def keyframe_features(frames: DataFrame, shot: str, fps: float) -> DataFrame:
-    """frames (shot, frame): relative place and time in the shot, seconds to the frames before and after, 1 at most."""
-    w, o = Window.partitionBy(shot), Window.partitionBy(shot).orderBy("frame")
-    lo, hi = F.min("frame").over(w), F.max("frame").over(w)
-    near = lambda d: F.least(F.coalesce(d / fps, F.lit(0.0)), F.lit(1.0))
+def keyframe_features(frames: DataFrame, shot: list[str], fps: float, norm: float = 1.0) -> DataFrame:
+    """frames (shot, s, e, frame): place among the shot's frames, time relative to the shot's seconds, and seconds to the frames before and after over `norm`, 1 at most."""
+    w = Window.partitionBy(*shot)
+    o = w.orderBy("frame")
+    near = lambda d: F.least(F.coalesce(F.greatest(d, F.lit(0)) / fps, F.lit(0.0)) / max(norm, 1e-6), F.lit(1.0))
     return frames.select(
-        shot,
+        *shot,
         "frame",
         ((F.row_number().over(o) - 1) / F.greatest(F.count("*").over(w) - 1, F.lit(1))).alias("rel_pos"),
-        ((F.col("frame") - lo) / F.greatest(hi - lo, F.lit(1))).alias("rel_time"),
+        ((F.col("frame") / fps - F.col("s")) / F.greatest(F.col("e") - F.col("s"), F.lit(1e-6))).alias("rel_time"),
         near(F.col("frame") - F.lag("frame").over(o)).alias("before"),
         near(F.lead("frame").over(o) - F.col("frame")).alias("after"),
     )
 
 
+def dataset_events(events: DataFrame, captions: DataFrame, shots: DataFrame, durations: DataFrame, intro: float = 120.0, outro: float = 120.0, least: int = 1, most: int = 64) -> DataFrame:
+    """Training samples: events (video, event, s, e, shot_ids) with a caption (video, event, caption), outside intro and outro, of which all of the first `most` shots exist.
+
+    An event of fewer than `least` shots goes, and so does one with a missing shot.
+    """
+    live = events.join(durations, "video").where((F.col("s") > intro) & (F.col("e") < F.col("duration") - outro) & (F.size("shot_ids") >= least))
+    told = captions.where(F.trim("caption") != "").select("video", "event", "caption")
+    live = live.join(told, ["video", "event"]).withColumn("shot_ids", F.slice("shot_ids", 1, most))
+    each = live.select("video", "event", F.posexplode("shot_ids").alias("pos", "idx")).join(shots.select("video", "idx", F.lit(1).alias("_there")), ["video", "idx"], "left")
+    whole = each.groupBy("video", "event").agg(F.count("*").alias("n"), F.count("_there").alias("_found")).where("n = _found").drop("_found")
+    return live.join(whole, ["video", "event"]).select("video", "event", "s", "e", "caption", "shot_ids", "n")
+
+
 def clean_stages(stages: DataFrame) -> DataFrame:
     """stages (query_id, stage, visual, ocr, subtitle[, dialogue]): trimmed, empty channels null, empty stages and repeats of the stage before dropped, numbered anew."""
     clean = lambda c: F.nullif(F.trim(F.col(c)), F.lit(""))
@@ -83,16 +109,18 @@ def clean_stages(stages: DataFrame) -> DataFrame:
     return kept.withColumn("stage", (F.row_number().over(w) - 1).cast("long")).drop("_same")
 
 
-def route_boxes(boxes: DataFrame, roi: tuple[float, float, float, float], most: int = 2) -> DataFrame:
+def route_boxes(boxes: DataFrame, roi: tuple[float, float, float, float], most: int = 2, sure: float = 0.75) -> DataFrame:
     """boxes (video, frame, x1, y1, x2, y2, angle, text, score) with `route`: subtitle, scene or null.
 
-    Subtitle: the centre lies in the region, at 8 degrees at most, and the text could be Vietnamese or English; what exceeds
-    `most` in a frame, by y then x, is scene text, as are other boxes with a score of 0.5 or more.
+    Subtitle: the centre lies in the region, at 8 degrees at most, and the text could be Vietnamese or English: a score of
+    `sure` or more, Latin letters, none of other scripts, and 0.7 of its visible characters allowed. What exceeds `most` in
+    a frame, by y then x, is scene text, as are other boxes with a score of 0.5 or more.
     """
     x, y = (F.col("x1") + F.col("x2")) / 2, (F.col("y1") + F.col("y2")) / 2
     inside = x.between(roi[0], roi[2]) & y.between(roi[1], roi[3]) & (F.abs("angle") <= 8)
-    allowed = F.length(F.regexp_replace("text", r"[^\p{IsLatin}0-9\s.,!?;:'\"()\[\]\-_/&%$@#+=*…]", "")) / F.greatest(F.length("text"), F.lit(1))
-    latin = F.col("text").rlike(r"\p{IsLatin}") & ~F.col("text").rlike(r"[\p{IsHan}\p{IsHangul}\p{IsHiragana}\p{IsKatakana}]") & (allowed >= 0.7)
+    visible = F.regexp_replace("text", r"[\s\p{Z}]", "")
+    allowed = F.length(F.regexp_replace(visible, ODD, "")) / F.greatest(F.length(visible), F.lit(1))
+    latin = F.col("text").rlike(r"\p{IsLatin}") & ~F.col("text").rlike(r"[\p{IsHan}\p{IsHangul}\p{IsHiragana}\p{IsKatakana}]") & (allowed >= 0.7) & (F.col("score") >= sure)
     sub = inside & latin
     w = Window.partitionBy("video", "frame", sub).orderBy("y1", "x1")
     first = sub & (F.row_number().over(w) <= most)
@@ -130,3 +158,36 @@ def build_events(segments: DataFrame, shots: DataFrame, key: str) -> DataFrame:
     rows = both.groupBy(key, "event").agg(F.min("s").alias("s"), F.max("e").alias("e"), F.count("*").alias("n_shots"), F.array_sort(F.collect_list("idx")).alias("shot_ids"), F.array_join(texts, " ").alias("text"))
     faces = both.where("face is not null").groupBy(key, "event", "face").agg(F.count("*").alias("n")).groupBy(key, "event").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("face", "n")))).alias("face_counts"))
     return rows.join(faces, [key, "event"], "left")
+
+
+def box_angle(x1: Column, y1: Column, x2: Column, y2: Column) -> Column:
+    """Degrees of a box's upper edge against the horizontal, within -90..90."""
+    angle = F.degrees(F.atan2(y2 - y1, x2 - x1))
+    return F.when(angle > 90, angle - 180).when(angle < -90, angle + 180).otherwise(angle)
+
+
+def crop_box(x1: Column, y1: Column, x2: Column, y2: Column, width: Column, height: Column, padding: int = 5) -> Column:
+    """The box with padding, clipped to the frame; null if nothing is left."""
+    box = F.struct(F.greatest(x1 - padding, F.lit(0)).alias("x1"), F.greatest(y1 - padding, F.lit(0)).alias("y1"), F.least(x2 + padding, width).alias("x2"), F.least(y2 + padding, height).alias("y2"))
+    return F.when((box["x2"] > box["x1"]) & (box["y2"] > box["y1"]), box)
+
+
+def stable_faces(detections: DataFrame, key: list[str], least: int = 2) -> DataFrame:
+    """detections (key, face) -> key, face_ids (sorted) and face_counts of the faces that a shot shows `least` times or more."""
+    seen = detections.where("face is not null").groupBy(*key, "face").agg(F.count("*").alias("n")).where(F.col("n") >= least)
+    pairs = F.array_sort(F.collect_list(F.struct("face", "n")))
+    return seen.groupBy(*key).agg(F.transform(pairs, lambda p: p["face"]).alias("face_ids"), F.map_from_entries(pairs).alias("face_counts"))
+
+
+def face_summary(shots: DataFrame, changes: DataFrame) -> DataFrame:
+    """shots (key.., face_ids or null) and changes (change, valid) -> one row: shots, with_faces, ratio, faces, boundaries, valid, mean_change over the valid ones."""
+    a = shots.agg(F.count("*").alias("shots"), F.count_if(F.size("face_ids") > 0).alias("with_faces"))
+    faces = shots.select(F.explode("face_ids").alias("f")).agg(F.count_distinct("f").alias("faces"))
+    b = changes.agg(F.count("*").alias("boundaries"), F.count_if("valid").alias("valid"), F.avg(F.when(F.col("valid"), F.col("change"))).alias("mean_change"))
+    both = a.crossJoin(faces).crossJoin(b)  # three tables of one row
+    return both.withColumn("ratio", F.col("with_faces") / F.greatest(F.col("shots"), F.lit(1))).withColumn("valid_ratio", F.col("valid") / F.greatest(F.col("boundaries"), F.lit(1)))
+
+
+def missing_videos(asked: DataFrame, have: DataFrame, key: str = "video") -> DataFrame:
+    """asked (key) -> key, found: whether the videos asked for are there."""
+    return asked.select(key).distinct().join(have.select(key).distinct().withColumn("_f", F.lit(True)), key, "left").select(key, F.coalesce("_f", F.lit(False)).alias("found"))

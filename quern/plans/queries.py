@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quern.functions import text as tx
 from quern.functions import vectors as vx
-from quern.operators import boundary, evaluate, folds, intervals, search, shots
+from quern.operators import boundary, evaluate, folds, intervals, pooling, search, shots
 from quern.plans import fixtures as fx
 from quern.plans.fixtures import SQL as CTE
 from quern.sources import tables as src
@@ -75,6 +75,7 @@ def vec_batch_knn(spark, sf):
     return _ranked(search.knn(v, _asked(v), 20), "query_id", "item_id")
 
 
+SPACE = r"[\s\x1c-\x1f\x{85}\p{Z}]+"
 TOKENS = r"[\p{L}\p{N}_\p{M}]+"
 BM25 = rf"""d AS (SELECT doc_id, regexp_extract_all(lower(text), '{TOKENS}') AS t FROM documents),
   p AS (SELECT doc_id, dl, term, count(*) AS tf FROM (SELECT doc_id, len(t) AS dl, unnest(t) AS term FROM d) GROUP BY ALL),
@@ -164,7 +165,7 @@ def parent_rollup(spark, sf):
 )
 def candidate_shots(spark, sf):
     h = fx.hits(spark, sf)
-    top = search.roll_up(h, "parent").where("rank <= 3").select(F.col("parent").alias("event_id"))
+    top = search.roll_up(h, "parent", 3).select(F.col("parent").alias("event_id"))
     videos = h.where("channel = 'click' AND rank <= 5").select(F.col("item_id").alias("video_id"))
     all_ = src.table(spark, sf, "events").select(F.col("event_id").alias("shot_id"), F.floor(F.col("user_id") / 10).alias("event_id"), F.col("user_id").alias("video_id"))
     return search.candidates(top, videos, all_)
@@ -188,7 +189,7 @@ def hybrid_search(spark, sf):
     lex = lex.select(F.col("doc_id").alias("item_id"), F.lit("text").alias("channel"), "rank")
     fused = search.accumulate(vec.unionByName(lex), ["item_id"], {"vector": 1.0, "text": 0.6})
     parents = fused.join(v.select("item_id", F.col("label").cast("long").alias("parent")), "item_id")
-    return _ranked(search.roll_up(parents, "parent").where("rank <= 10"), "parent")
+    return _ranked(search.roll_up(parents, "parent", 10), "parent")
 
 
 # pools
@@ -418,8 +419,9 @@ def temporal_chains(spark, sf):
 @query()
 def temporal_search(spark, sf):
     """Chains ranked by stages matched, fewer skips, score; the top 30."""
-    rank = F.row_number().over(Window.orderBy(F.desc("matched"), "skipped", F.desc("score"), "video", "session"))
-    return _chains(spark, sf).withColumn("rank", rank).where("rank <= 30")
+    order = [F.desc("matched"), F.asc("skipped"), F.desc("score"), F.asc("video"), F.asc("session")]
+    top = _chains(spark, sf).orderBy(*order).limit(30)  # each task keeps 30
+    return top.withColumn("rank", F.row_number().over(Window.orderBy(*order)))
 
 
 @query()
@@ -428,8 +430,8 @@ def segment_extraction(spark, sf):
     at = F.transform(F.split("chain", ">"), lambda c: F.split(c, ":")[1].cast("long"))
     chains = _chains(spark, sf).select("video", at[0].alias("first"), F.element_at(at, -1).alias("last"), "score", F.lit(0).alias("kind"))
     events = folds.segment_events(_rows(spark, sf), "video").select("video", "first", "last", F.lit(0.0).alias("score"), F.lit(1).alias("kind"))
-    both = chains.unionByName(events).withColumn("_least", F.min("kind").over(Window.partitionBy()))
-    return both.where("kind = _least").orderBy(F.desc("score"), "video", "first").limit(30).select("video", "first", "last", "score")
+    least = chains.agg(F.when(F.count("*") > 0, 0).otherwise(1).alias("_least"))  # one row
+    return chains.unionByName(events).crossJoin(F.broadcast(least)).where("kind = _least").orderBy(F.desc("score"), "video", "first").limit(30).select("video", "first", "last", "score")
 
 
 @query()
@@ -476,30 +478,31 @@ def set_ops_preflight(spark, sf):
 
 
 @query(
-    """ SELECT video, idx, round((idx - min(idx) OVER v)::DOUBLE / greatest(count(*) OVER v - 1, 1), 6) AS position, round((e - s) / greatest(max(e) OVER v - min(s) OVER v, 1e-6::DOUBLE), 6) AS share,
+    """ SELECT video, idx, round((idx - min(idx) OVER v)::DOUBLE / greatest(count(*) OVER v - 1, 1), 6) AS position, round(least((e - s) / 10.0::DOUBLE, 1.0::DOUBLE), 6) AS duration,
     round((s - min(s) OVER v) / greatest(max(e) OVER v - min(s) OVER v, 1e-6::DOUBLE), 6) AS rel_start, round((e - min(s) OVER v) / greatest(max(e) OVER v - min(s) OVER v, 1e-6::DOUBLE), 6) AS rel_end
   FROM shots WINDOW v AS (PARTITION BY video)""",
     "shots",
 )
 def shot_features(spark, sf):
     f = shots.shot_features(fx.shots(spark, sf), "video")
-    return f.select("video", "idx", *(r6(c).alias(c) for c in ("position", "share", "rel_start", "rel_end")))
+    return f.select("video", "idx", *(r6(c).alias(c) for c in ("position", "duration", "rel_start", "rel_end")))
 
 
 @query(
-    """, k AS (SELECT DISTINCT video, floor(s)::BIGINT AS frame FROM shots)
-  SELECT video, frame, round((row_number() OVER o - 1)::DOUBLE / greatest(count(*) OVER v - 1, 1), 6) AS rel_pos, round((frame - min(frame) OVER v)::DOUBLE / greatest(max(frame) OVER v - min(frame) OVER v, 1), 6) AS rel_time,
-    round(least(coalesce((frame - lag(frame) OVER o) / 25.0::DOUBLE, 0.0::DOUBLE), 1.0::DOUBLE), 6) AS before, round(least(coalesce((lead(frame) OVER o - frame) / 25.0::DOUBLE, 0.0::DOUBLE), 1.0::DOUBLE), 6) AS after
-  FROM k WINDOW v AS (PARTITION BY video), o AS (PARTITION BY video ORDER BY frame)""",
+    """, k AS (SELECT DISTINCT video, idx, s, e, floor(s + (e - s) * j / 3.0::DOUBLE)::BIGINT AS frame FROM shots, range(3) r(j))
+  SELECT video, idx, frame, round((row_number() OVER o - 1)::DOUBLE / greatest(count(*) OVER v - 1, 1), 6) AS rel_pos, round((frame / 2.0::DOUBLE - s) / greatest(e - s, 1e-6::DOUBLE), 6) AS rel_time,
+    round(least(coalesce((frame - lag(frame) OVER o) / 2.0::DOUBLE, 0.0::DOUBLE) / 4.0::DOUBLE, 1.0::DOUBLE), 6) AS before, round(least(coalesce((lead(frame) OVER o - frame) / 2.0::DOUBLE, 0.0::DOUBLE) / 4.0::DOUBLE, 1.0::DOUBLE), 6) AS after
+  FROM k WINDOW v AS (PARTITION BY video, idx), o AS (PARTITION BY video, idx ORDER BY frame)""",
     "shots",
 )
 def keyframe_features(spark, sf):
-    k = fx.shots(spark, sf).select("video", F.floor("s").cast("long").alias("frame")).distinct()
-    f = shots.keyframe_features(k, "video", 25.0)
-    return f.select("video", "frame", *(r6(c).alias(c) for c in ("rel_pos", "rel_time", "before", "after")))
+    third = F.explode(F.transform(F.sequence(F.lit(0), F.lit(2)), lambda j: F.floor(F.col("s") + (F.col("e") - F.col("s")) * j / 3.0).cast("long"))).alias("frame")
+    k = fx.shots(spark, sf).select("video", "idx", "s", "e", third).distinct()
+    f = shots.keyframe_features(k, ["video", "idx"], 2.0, 4.0)
+    return f.select("video", "idx", "frame", *(r6(c).alias(c) for c in ("rel_pos", "rel_time", "before", "after")))
 
 
-@query(" SELECT video, idx, count(*) AS n, round(sum(t), 6) AS total FROM (SELECT video, idx, CASE WHEN n = 1 THEN (s + e) / 2 ELSE s + m + ((e - m) - (s + m)) * i / (n - 1) END AS t FROM (SELECT *, unnest(generate_series(0, n - 1)) AS i FROM (SELECT video, idx, s, e, least(5, greatest(1, ceil((e - s) / 2)::INT)) AS n, least(0.15::DOUBLE * (e - s), 0.25::DOUBLE) AS m FROM shots))) GROUP BY ALL", "shots")
+@query(" SELECT video, idx, count(*) AS n, round(sum(t), 6) AS total FROM (SELECT video, idx, CASE WHEN n = 1 THEN (s + e) / 2 ELSE s + m + ((e - m) - (s + m)) * i / (n - 1) END AS t FROM (SELECT *, unnest(generate_series(0, n - 1)) AS i FROM (SELECT video, idx, s, e, least(5, greatest(1, ceil((e - s) / 2)::INT)) AS n, least(0.15::DOUBLE * (e - s), 0.25::DOUBLE) AS m FROM shots WHERE e > s))) GROUP BY ALL", "shots")
 def sample_times(spark, sf):
     t = fx.shots(spark, sf).select("video", "idx", F.explode(shots.sample_times(F.col("s"), F.col("e"))).alias("t"))
     return t.groupBy("video", "idx").agg(F.count("*").alias("n"), r6(F.sum("t")).alias("total"))
@@ -511,12 +514,12 @@ def sub_shot_split(spark, sf):
     return t.select("video", "idx", F.col("part").cast("long").alias("part"), r6("r.s").alias("s"), r6("r.e").alias("e"))
 
 
-@query(r"SELECT conv_id, turn, lower(trim(regexp_replace(text, '\s+', ' ', 'g'))) AS text FROM conversations")
+@query(rf"SELECT conv_id, turn, lower(trim(regexp_replace(text, '{SPACE}', ' ', 'g'))) AS text FROM conversations")
 def text_normalize(spark, sf):
     return src.table(spark, sf, "conversations").select("conv_id", "turn", tx.normalize(F.col("text")).alias("text"))
 
 
-@query(r"SELECT conv_id, turn, trim(regexp_replace(regexp_replace(lower(text), '[^\p{L}\p{N}_\p{M}\s]', ' ', 'g'), '\s+', ' ', 'g')) AS text FROM conversations")
+@query(r"SELECT conv_id, turn, trim(regexp_replace(regexp_replace(lower(text), '[^\p{L}\p{N}_\p{M}\s]', ' ', 'g'), '" + SPACE + r"', ' ', 'g')) AS text FROM conversations")
 def text_match_form(spark, sf):
     return src.table(spark, sf, "conversations").select("conv_id", "turn", tx.match_form(F.col("text")).alias("text"))
 

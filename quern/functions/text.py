@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections import Counter
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -94,10 +96,19 @@ def strip_marks(text: Column) -> Column:
 
 
 def clean_translation(text: Column) -> Column:
-    """A model's translation without thoughts, fences, labels at its start and quotes around it, in single spaces."""
-    plain = F.regexp_replace(F.regexp_replace(text, r"(?s)<think>.*?</think>", ""), r"```[a-z]*", "")
-    plain = F.regexp_replace(F.trim(F.regexp_replace(plain, SPACE, " ")), r"(?i)^(?:translation|english|output)\s*:\s*", "")
-    return F.trim(F.regexp_replace(plain, "^[\"'“”]+|[\"'“”]+$", ""))
+    """A model's translation without a fence around it and labels at its start, in single spaces."""
+    plain = F.trim(F.regexp_replace(text, SPACE, " "))
+    plain = F.regexp_replace(F.regexp_replace(plain, r"^```(?:text)?", ""), r"```$", "")
+    for label in ("Output", "Translation"):
+        plain = F.regexp_replace(F.trim(plain), rf"(?i)^{label}\s*:\s*", "")
+    return F.trim(plain)
+
+
+def subtitle_block(items: Column) -> Column:
+    """items: array of (start, end, text), seconds -> JSON for a prompt: [{"relative_time": "0.000s - 1.500s", "text": ...}, ...]."""
+    second = lambda c: F.format_string("%.3fs", c.cast("double"))
+    rows = F.transform(items, lambda i: F.struct(F.concat(second(i["start"]), F.lit(" - "), second(i["end"])).alias("relative_time"), i["text"].alias("text")))
+    return F.coalesce(F.to_json(rows), F.lit("[]"))
 
 
 def json_payload(text: Column) -> Column:
@@ -123,15 +134,42 @@ def ratio(a: str, b: str) -> float:
     return 2 * lcs(a, b) / (len(a) + len(b)) if a or b else 1.0
 
 
+def best_ratio(a: str, others: list[str], at_least: float = 0.0) -> float:
+    """The best ratio of a with any of the others: those that could be best by their letters alone come first, and the rest are left out once none can."""
+    own = Counter(a)
+    bounds = sorted(((2 * sum(min(n, own[c]) for c, n in Counter(o).items()) / (len(a) + len(o)), o) for o in others), reverse=True) if a else []
+    best = at_least
+    for bound, o in bounds:
+        if bound <= best:
+            break
+        best = max(best, ratio(a, o))
+    return best
+
+
 def partial_ratio(a: str, b: str) -> float:
-    """Best ratio of the shorter text with a window of the longer, windows at the ends included."""
+    """Best ratio of the shorter text with a window of the longer, windows at the ends included.
+
+    No window shares more than the letters that both have, which sliding counts tell for all windows at once; windows are
+    compared from the highest such bound down, until none can be better.
+    """
     if len(a) > len(b):
         a, b = b, a
     if not a:
         return float(not b)
-    n = len(a)
-    windows = {b[max(0, i) : i + n] for i in range(1 - n, len(b))}
-    return max(ratio(a, w) for w in windows)
+    n, m = len(a), len(b)
+    begin, end = np.maximum(0, np.arange(1 - n, m)), np.minimum(m, np.arange(1, m + n))
+    points = np.frombuffer(b.encode("utf-32-le"), np.uint32)
+    shared = np.zeros(len(begin), np.int64)
+    for c, count in Counter(a).items():
+        seen = np.concatenate([[0], np.cumsum(points == ord(c))])
+        shared += np.minimum(seen[end] - seen[begin], count)
+    bound = 2 * shared / (n + end - begin)
+    best = 0.0
+    for i in np.argsort(-bound, kind="stable"):
+        if bound[i] <= best:
+            break
+        best = max(best, ratio(a, b[begin[i] : end[i]]))
+    return best
 
 
 def token_set_ratio(a: str, b: str) -> float:
@@ -159,7 +197,7 @@ def fuzzy_score(query: str, document: str) -> float:
     whole = ratio(qs, ds) if len(qs) >= len(ds) else partial_ratio(qs, ds)
     words, n = d.split(), len(q.split())
     grams = {" ".join(words[i : i + k]) for k in (n - 1, n) if k > 0 for i in range(len(words) - k + 1)}
-    return (whole + max((ratio(q, g) for g in grams), default=0.0) + token_set_ratio(q, d)) / 3
+    return (whole + best_ratio(q, list(grams)) + token_set_ratio(q, d)) / 3
 
 
 @F.pandas_udf(DoubleType())

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -19,14 +19,22 @@ def norm(a: Column) -> Column:
     return F.sqrt(dot(a, a))
 
 
+def bind(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with the value computed once, not at each place where `use` names it inside a lambda."""
+    return F.transform(F.array(value), use)[0]
+
+
 def l2_normalize(a: Column, mode: str = "add") -> Column:
     """mode: add (norm + 1e-8), clip (norm, 1e-12 at least), keep (unchanged at norm 1e-12 or less)."""
-    n = norm(a)
-    if mode == "add":
-        return F.transform(a, lambda x: x / (n + 1e-8))
-    if mode == "clip":
-        return F.transform(a, lambda x: x / F.greatest(n, F.lit(1e-12)))
-    return F.when(n <= 1e-12, F.transform(a, lambda x: x.cast("double"))).otherwise(F.transform(a, lambda x: x / n))
+
+    def divided(v: Column, n: Column) -> Column:
+        if mode == "add":
+            return F.transform(v, lambda x: x / (n + 1e-8))
+        if mode == "clip":
+            return F.transform(v, lambda x: x / F.greatest(n, F.lit(1e-12)))
+        return F.when(n <= 1e-12, F.transform(v, lambda x: x.cast("double"))).otherwise(F.transform(v, lambda x: x / n))
+
+    return F.when(a.isNotNull(), bind(a, lambda v: bind(norm(v), lambda n: divided(v, n))))
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -98,7 +106,7 @@ def multi_pool(df: DataFrame, keys: DataFrame, key: str, vector: str, d: int, ho
 
 def weighted_mean(items: Column) -> Column:
     """items: array of (w, v) -> the unit mean of their vectors by weight; null if there is none."""
-    w = F.aggregate(items, F.lit(0.0), lambda s, i: s + i["w"]) + 1e-8
+    weight = F.aggregate(items, F.lit(0.0), lambda s, i: s + i["w"]) + 1e-8
     zero = F.transform(items[0]["v"], lambda x: x.cast("double") * 0)
-    total = F.aggregate(items, zero, lambda s, i: F.zip_with(s, i["v"], lambda a, b: a + i["w"] / w * b))
-    return F.when(F.size(items) > 0, l2_normalize(total))
+    total = F.aggregate(items, zero, lambda s, i: F.zip_with(s, i["v"], lambda a, b: a + i["w"] * b))
+    return F.when(F.size(items) > 0, l2_normalize(bind(weight, lambda w: F.transform(total, lambda x: x / w))))

@@ -36,3 +36,27 @@ def results_from_json(rows: DataFrame, column: str = "result") -> DataFrame:
     at = F.transform(points, lambda p: F.try_element_at(p, F.lit(2)).try_cast("long"))
     out = rows.select("query_id", "rank", points[0][0].alias("video"), F.array_min(at).alias("lo"), F.array_max(at).alias("hi"))
     return out.where("video is not null and lo is not null")
+
+
+def ranks(results: DataFrame, truth: DataFrame) -> DataFrame:
+    """results (query_id, video, s, e, rank), truth (query_id, video, s, e) -> query_id, video_rank, first: the ranks of the first result
+    of the right video, and of the first that overlaps the truth; null if none.
+
+    Results that can't be read (no video, start or end) go before ranks are counted anew.
+    """
+    from pyspark.sql import Window
+
+    read = results.where("video is not null and s is not null and e is not null")
+    read = read.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("rank")))
+    met = read.join(truth.select("query_id", "video", F.col("s").alias("ts"), F.col("e").alias("te")), ["query_id", "video"])
+    found = met.groupBy("query_id").agg(F.min("rank").alias("video_rank"), F.min(F.when(F.least("e", "te") > F.greatest("s", "ts"), F.col("rank"))).alias("first"))
+    return truth.select("query_id").distinct().join(found, "query_id", "left")
+
+
+def fps_map(rows: DataFrame, column: str = "body") -> DataFrame:
+    """rows of JSON, a map video -> fps or {"results": [{"video_id", "fps"}]} -> video, fps. What is neither raises."""
+    listed = F.from_json(column, "struct<results:array<struct<video_id:string,fps:double>>>")["results"]
+    mapped = F.map_entries(F.from_json(column, "map<string,double>"))
+    pairs = F.when(listed.isNotNull(), F.transform(listed, lambda x: F.struct(x["video_id"].alias("key"), x["fps"].alias("value")))).otherwise(mapped)
+    known = F.when(pairs.isNotNull(), pairs).otherwise(F.raise_error(F.lit("not a map of frame rates")).cast("array<struct<key:string,value:double>>"))
+    return rows.select(F.explode(known).alias("p")).select(F.col("p.key").alias("video"), F.col("p.value").alias("fps"))

@@ -87,3 +87,47 @@ def window_best(df: DataFrame, group: list[str], order: str, score: str, width:
     w = Window.partitionBy(*group).orderBy(order).rangeBetween(-width, width)
     best = F.max(F.when(F.col(score) > 0, F.struct(F.col(score).alias("score"), (-F.col(order)).alias("o")))).over(w)
     return df.withColumn("_b", best).withColumn("best_score", F.coalesce("_b.score", F.lit(0.0))).withColumn("best_order", -F.col("_b.o")).drop("_b")
+
+
+def keyframes_in_range(ranges: DataFrame, marks: DataFrame, key: str, width: int = 1024) -> DataFrame:
+    """ranges (key, id, first, last), marks (key, m) -> key, id, m: the marks in first..last, ends included. Ranges are dealt to bins, so the join is an equi-join."""
+    binned = ranges.select(key, "id", "first", "last", F.explode(F.sequence(F.floor(F.col("first") / width), F.floor(F.col("last") / width))).alias("_bin"))
+    return binned.join(marks.select(key, "m", F.floor(F.col("m") / width).alias("_bin")), [key, "_bin"]).where("m between first and last").select(key, "id", "m")
+
+
+def expand_hits(hits: DataFrame, marks: DataFrame, key: str) -> DataFrame:
+    """hits (key, id, first, last) -> key, id, m: the keyframes in the range, else the one nearest to its middle, the earlier of two.
+
+    Bounds the wrong way round are swapped; hits without a bound, or with -1, go.
+    """
+    live = hits.where("first is not null and last is not null and first <> -1 and last <> -1")
+    live = live.select(key, "id", F.least("first", "last").alias("first"), F.greatest("first", "last").alias("last"))
+    inside = keyframes_in_range(live, marks, key)
+    rest = live.join(inside.select("id").distinct(), "id", "left_anti").select(key, "id", ((F.col("first") + F.col("last")) / 2).alias("t"))
+    low = _as_of(rest, marks, key, "t", "m", "m").withColumnRenamed("_found", "low")
+    both = _as_of(low, marks, key, "t", "m", "m", later=True).withColumnRenamed("_found", "high")
+    later = F.col("low").isNull() | (F.col("high") - F.col("t") <= F.col("t") - F.col("low"))
+    near = both.select(key, "id", F.when(later, F.col("high")).otherwise(F.col("low")).alias("m"), "low")
+    return inside.unionByName(near.select(key, "id", F.coalesce("m", "low").alias("m")).where("m is not null"))
+
+
+def merge_equal(df: DataFrame, key: str, order: str, scores: list[str]) -> DataFrame:
+    """Rows at one place of a key become one, with their scores added."""
+    return df.groupBy(key, order).agg(*(F.sum(c).alias(c) for c in scores))
+
+
+def subtitle_features(shots: DataFrame, subtitles: DataFrame, key: str) -> DataFrame:
+    """Each shot's subtitles: key, idx, emb (the unit mean of their vectors by overlap; null if there is none), text (in order, repeats once)."""
+    from quern.functions.vectors import weighted_mean
+
+    met = overlap_join(shots.select(key, "idx", "s", "e"), subtitles.select(key, "bs", "be", "emb", "text"), key)
+    items = F.array_sort(F.collect_list(F.struct("bs", "be", F.col("overlap").alias("w"), F.transform("emb", lambda x: x.cast("double")).alias("v"), "text")))
+    found = met.groupBy(key, "idx").agg(items.alias("_i"))
+    texts = F.array_distinct(F.filter(F.transform("_i", lambda i: F.trim(i["text"])), lambda t: t != ""))
+    felt = found.select(key, "idx", weighted_mean(F.filter("_i", lambda i: i["v"].isNotNull())).alias("emb"), F.array_join(texts, " ").alias("text"))
+    return shots.select(key, "idx").join(felt, [key, "idx"], "left").select(key, "idx", "emb", F.coalesce("text", F.lit("")).alias("text"))
+
+
+def clamp_end(start: Column, end: Column) -> Column:
+    """An end that lies before its start becomes the start."""
+    return F.greatest(start, end)

@@ -104,17 +104,21 @@ def scored_postings(live: DataFrame, totals: DataFrame, asked: DataFrame, k: int
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def fuzzy_search(docs: DataFrame, queries: DataFrame, k: int, grams: int = 3) -> DataFrame:
-    """Recall by a shared gram of characters, then exact fuzzy scores; top k positive scores.
+def fuzzy_search(docs: DataFrame, queries: DataFrame, k: int, grams: int = 3, recall: int = 500) -> DataFrame:
+    """Recall by shared grams of characters, then exact fuzzy scores; top k positive scores.
 
     Grams are of the text without spaces, so misread words and a query inside a longer token are candidates; a text of
-    fewer characters is one gram. What shares no gram with a query isn't scored: that is the recall's bound.
+    fewer characters is one gram. The `recall` documents that share most of a query's grams are scored, ties by id: the
+    two steps, and the limit between them, are the operator's definition.
     """
     keys = lambda df, key: df.select(key, F.explode(ngrams_of(F.col("text"), grams)).alias("gram"))
     asked = keys(queries, "query_id")
-    pairs = keys(docs, "doc_id").join(asked, "gram").select("query_id", "doc_id").distinct()
+    shared = keys(docs, "doc_id").join(asked, "gram").groupBy("query_id", "doc_id").agg(F.count("*").alias("n"))
+    first = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("n"), "doc_id"))
+    pairs = shared.withColumn("_r", first).where(F.col("_r") <= recall).select("query_id", "doc_id")
+    tasks = docs.sparkSession.sparkContext.defaultParallelism  # few rows, much work each: they are dealt to all cores
     scored = pairs.join(queries.select("query_id", F.col("text").alias("q")), "query_id").join(docs.select("doc_id", F.col("text").alias("d")), "doc_id")
-    scored = scored.select("query_id", "doc_id", fuzzy("q", "d").alias("score")).where("score > 0")
+    scored = scored.repartition(tasks, "query_id", "doc_id").select("query_id", "doc_id", fuzzy("q", "d").alias("score")).where("score > 0")
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 

@@ -92,3 +92,55 @@ def durations(*tables: DataFrame, key: str = "video") -> DataFrame:
     for t in tables[1:]:
         rows = rows.unionByName(t.select(key, "e"))
     return rows.groupBy(key).agg(F.max("e").alias("duration"))
+
+
+def load_metadata(events: DataFrame, shots: DataFrame, subtitles: DataFrame) -> dict[str, DataFrame]:
+    """events (video, event, s, e, shots), shots (video, shot, s, e), subtitles (video, s, e, text) -> tables videos, events, shots and subtitles with
+    surrogate ids (video:number), the order of a shot in its event, and each video's duration."""
+    e = events.select(F.concat_ws(":", "video", "event").alias("event_id"), "video", "s", "e", "shots")
+    own = e.select("event_id", "video", F.posexplode("shots").alias("shot_order", "shot"))
+    sh = shots.join(own, ["video", "shot"]).select(F.concat_ws(":", "video", "shot").alias("shot_id"), "event_id", "video", "shot_order", "s", "e")
+    from pyspark.sql import Window
+
+    number = F.row_number().over(Window.partitionBy("video").orderBy("s", "e", "text")) - 1
+    su = subtitles.withColumn("n", number).select(F.concat_ws(":", "video", "n").alias("subtitle_id"), "video", "s", "e", "text")
+    return {"videos": durations(e, sh, su), "events": e.drop("shots"), "shots": sh, "subtitles": su}
+
+
+def vector_store(vectors: DataFrame, path: str, metric: str = "ip") -> None:
+    """vectors (item_id, emb) as Parquet in order of item_id, and their number, length and metric as JSON."""
+    vectors.repartitionByRange("item_id").sortWithinPartitions("item_id").write.mode("overwrite").parquet(f"{path}/vectors")
+    vectors.agg(F.count("*").alias("rows"), F.max(F.size("emb")).alias("dim"), F.lit(metric).alias("metric")).write.mode("overwrite").json(f"{path}/config")
+
+
+def load_vectors(spark: SparkSession, path: str) -> DataFrame:
+    """vector_store()'s vectors; a store whose rows don't agree with its config raises when read."""
+    config = spark.read.schema("rows long, dim int, metric string").json(f"{path}/config").first()
+    bad = F.raise_error(F.lit(f"a vector isn't of length {config['dim']}")).cast("boolean")
+    return spark.read.parquet(f"{path}/vectors").where(F.when(F.size("emb") == config["dim"], True).otherwise(bad))
+
+
+def register(stores: dict[str, DataFrame]) -> None:
+    """Names for loaded tables: views of the session, which SQL and spark.table() find."""
+    for name, df in stores.items():
+        df.createOrReplaceTempView(name)
+
+
+def load_queries(spark: SparkSession, path: str, first: int | None = None, last: int | None = None) -> DataFrame:
+    """A JSON list of queries -> query_id (its place where it has none), query, video_id, start_time_sec, end_time_sec; an inclusive range of places, if asked for."""
+    body = spark.read.option("wholetext", True).text(path)
+    kind = "array<struct<query_id:long,query:string,video_id:string,start_time_sec:double,end_time_sec:double>>"
+    rows = body.select(F.posexplode(F.from_json("value", kind)).alias("i", "q"))
+    rows = rows.where(F.col("i").between(first or 0, last if last is not None else (1 << 31) - 1))
+    return rows.select(F.coalesce("q.query_id", F.col("i").cast("long")).alias("query_id"), "q.query", "q.video_id", "q.start_time_sec", "q.end_time_sec")
+
+
+def debug_boundaries(rows: DataFrame, subtitles: DataFrame, key: str, width: int = 3, most: int = 500) -> DataFrame:
+    """rows (key, idx, s, e, ...) of boundaries with the texts of the `width` shots before and after, cut to `most` characters, and their numbers; subtitles (key, idx, text)."""
+    from pyspark.sql import Window
+
+    w = Window.partitionBy(key).orderBy("idx")
+    texts = rows.select(key, "idx").join(subtitles.select(key, "idx", "text"), [key, "idx"], "left")
+    side = lambda a, b: F.filter(F.collect_list(F.nullif(F.trim("text"), F.lit(""))).over(w.rowsBetween(a, b)), lambda t: t.isNotNull())
+    told = texts.select(key, "idx", side(1 - width, 0).alias("l"), side(1, width).alias("r"))
+    return rows.join(told, [key, "idx"]).withColumns({"left_text": F.left(F.array_join("l", " "), F.lit(most)), "right_text": F.left(F.array_join("r", " "), F.lit(most)), "left_items": F.size("l"), "right_items": F.size("r")}).drop("l", "r")

@@ -104,9 +104,9 @@ def counted(values: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.nda
 
 
 def probe(keys: np.ndarray, level: int, i: int, bits: np.ndarray) -> np.ndarray:
-    """Bit places of keys for a level's i-th probe, in filters of `bits` bits (powers of two)."""
+    """Bit places of keys for a level's i-th probe, in filters of `bits` bits."""
     h = mix(keys + np.uint64(level * 0xD1342543DE82EF95 % (1 << 64)))
-    return (h + np.uint64(i) * ((h >> np.uint64(32)) | np.uint64(1))) & (bits - np.uint64(1))
+    return (h + np.uint64(i) * ((h >> np.uint64(32)) | np.uint64(1))) % bits
 
 
 def levels(counts: np.ndarray, min_count: int) -> np.ndarray:
@@ -116,9 +116,7 @@ def levels(counts: np.ndarray, min_count: int) -> np.ndarray:
 def filter_of(keys: np.ndarray, counts: np.ndarray, min_count: int, bits_per_entry: float) -> bytes:
     """The filter of a hash range."""
     q = levels(counts, min_count)
-    bits = 64
-    while bits < bits_per_entry * q.sum():
-        bits *= 2
+    bits = max(1, int(np.ceil(bits_per_entry * q.sum() / 64))) * 64
     flags = np.zeros(bits, bool)
     for level in range(1, q.max(initial=0) + 1):
         for i in range(PROBES):

@@ -134,6 +134,14 @@ class Filter:
         self.bits, self.base = sizes * np.uint64(8), np.cumsum(sizes) - sizes
         self.data = np.frombuffer(b"".join(ranges), np.uint8)
 
+    @classmethod
+    def of(cls, sizes: np.ndarray, data: np.ndarray, min_count: int) -> Filter:
+        """The same from the ranges' sizes in bytes and their bytes."""
+        made = cls([bytes(0)] * len(sizes), min_count)
+        made.bits, made.base = sizes.astype(np.uint64) * np.uint64(8), (np.cumsum(sizes) - sizes).astype(np.uint64)
+        made.data = data
+        return made
+
     def counts(self, keys: np.ndarray) -> np.ndarray:
         """Quantised counts of bigrams, 0 for those that aren't there."""
         out = np.zeros(len(keys), np.float64)
@@ -267,11 +275,22 @@ def score_texts(docs: DataFrame, model: DataFrame, min_count: int = 1, most_word
         return pa.record_batch([ids, pa.array(n, pa.int64()), pa.array(known, pa.int64()), pa.array(np.full(len(n), total), pa.int64()), pa.array(base, pa.float64()), pa.array(full, pa.float64())], names)
 
     if types <= most_words and (size or 0) <= most_filter:
-        found = {r["part"]: r["filter"] for r in bigrams.select("part", "filter").collect()}
-        bloom = spark.sparkContext.broadcast(Filter([found.get(p, bytes(8)) for p in range(parts)], min_count))
-        table = [(np.frombuffer(r["hashes"], np.uint64), np.frombuffer(r["counts"], np.uint64)) for r in words.select("hashes", "counts").collect()]
-        counts = spark.sparkContext.broadcast(Words(*(np.concatenate([t[i] for t in table] or [np.empty(0, np.uint64)]) for i in (0, 1))))
-        del table, found
+        # Row by row into arrays of known size: the driver never holds the model twice.
+        sizes = np.full(parts, 8, np.int64)
+        for r in bigrams.select("part", F.octet_length("filter").alias("n")).collect():  # a row a hash range
+            sizes[r["part"]] = r["n"]
+        data, base = np.zeros(sizes.sum(), np.uint8), np.cumsum(sizes) - sizes
+        for r in bigrams.select("part", "filter").toLocalIterator():
+            data[base[r["part"]] : base[r["part"]] + sizes[r["part"]]] = np.frombuffer(r["filter"], np.uint8)
+        bloom = spark.sparkContext.broadcast(Filter.of(sizes, data, min_count))
+        del data
+        table, at = (np.empty(types, np.uint64), np.empty(types, np.uint64)), 0
+        for r in words.select("hashes", "counts").toLocalIterator():
+            n = len(r["hashes"]) // 8
+            table[0][at : at + n], table[1][at : at + n] = np.frombuffer(r["hashes"], np.uint64), np.frombuffer(r["counts"], np.uint64)
+            at += n
+        counts = spark.sparkContext.broadcast(Words(*table))
+        del table
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:

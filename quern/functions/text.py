@@ -17,6 +17,8 @@ TOKEN = r"[\p{L}\p{N}_\p{M}]+"
 SPACE = r"[\s\x1c-\x1f\x85\p{Z}]+"
 #: Vietnamese letters with marks, lower case; upper case follows from them.
 MARKED = "àáảãạăằắẳẵặâầấẩẫậèéẻẽẹêềếểễệìíỉĩịòóỏõọôồốổỗộơờớởỡợùúủũụưừứửữựỳýỷỹỵđ"
+BOTH = MARKED + MARKED.upper()
+PLAIN = "".join("dD"[c == "Đ"] if c in "đĐ" else unicodedata.normalize("NFD", c)[0] for c in BOTH)
 
 
 def normalize(text: Column, lower: bool = True) -> Column:
@@ -32,9 +34,7 @@ def match_form(text: Column) -> Column:
 
 def fold(text: Column) -> Column:
     """Without the marks of MARKED letters; đ becomes d."""
-    both = MARKED + MARKED.upper()
-    plain = "".join("dD"[c == "Đ"] if c in "đĐ" else unicodedata.normalize("NFD", c)[0] for c in both)
-    return F.translate(text, both, plain)
+    return F.translate(text, BOTH, PLAIN)
 
 
 def tokenize(text: Column) -> Column:

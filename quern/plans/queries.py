@@ -11,6 +11,7 @@ from quern.functions import text as tx
 from quern.functions import vectors as vx
 from quern.operators import boundary, evaluate, folds, intervals, pooling, search, shots
 from quern.plans import fixtures as fx
+from quern.plans import fold_sql
 from quern.plans.fixtures import SQL as CTE
 from quern.sources import tables as src
 
@@ -18,11 +19,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
 
-def query(sql: str | None = None, *ctes: str):
+def query(sql: str | None = None, *ctes: str, recursive: bool = False):
     def add(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
         QUERIES[f.__name__] = f
         if sql:
-            SQL[f.__name__] = (f"WITH {', '.join(CTE[c] for c in ctes)} " if ctes else "") + sql
+            SQL[f.__name__] = (f"WITH {'RECURSIVE ' if recursive else ''}{', '.join(CTE[c] for c in ctes)} " if ctes else "") + sql
         return f
 
     return add
@@ -394,7 +395,11 @@ def _rows(spark, sf) -> DataFrame:
     return peaks.join(b, ["video", "idx"], "left")
 
 
-@query()
+SEGMENTS = PEAKS + fold_sql.segments(f"SELECT k.*, penalty FROM k LEFT JOIN (WITH {BRIDGE.lstrip(', ')} SELECT * FROM bridges) USING (video, idx)")
+CHAINS = fold_sql.chains()
+
+
+@query(SEGMENTS + " SELECT video, event, first, last FROM segs", "shots", "subs", recursive=True)
 def dp_segments(spark, sf):
     return folds.segment_events(_rows(spark, sf), "video")
 
@@ -411,12 +416,12 @@ def _chains(spark, sf) -> DataFrame:
     return folds.temporal_chains(_supports(spark, sf), ["video", "session"], 3).select("video", "session", r6("score").alias("score"), "matched", "skipped", "chain")
 
 
-@query()
+@query(CHAINS + " SELECT * FROM chains", "shots", recursive=True)
 def temporal_chains(spark, sf):
     return _chains(spark, sf)
 
 
-@query()
+@query(CHAINS + " SELECT *, row_number() OVER (ORDER BY matched DESC, skipped, score DESC, video, session)::INT AS rank FROM chains QUALIFY rank <= 30", "shots", recursive=True)
 def temporal_search(spark, sf):
     """Chains ranked by stages matched, fewer skips, score; the top 30."""
     order = [F.desc("matched"), F.asc("skipped"), F.desc("score"), F.asc("video"), F.asc("session")]
@@ -424,7 +429,14 @@ def temporal_search(spark, sf):
     return top.withColumn("rank", F.row_number().over(Window.orderBy(*order)))
 
 
-@query()
+@query(
+    f""", ch AS (WITH RECURSIVE {CHAINS.lstrip(", ")} SELECT * FROM chains), se AS (WITH RECURSIVE {SEGMENTS.lstrip(", ")} SELECT * FROM segs),
+  sp AS (SELECT video, split_part(split_part(chain, '>', 1), ':', 2)::BIGINT AS first, split_part(split_part(chain, '>', -1), ':', 2)::BIGINT AS last, score FROM ch UNION ALL SELECT video, first, last, 0.0::DOUBLE FROM se WHERE (SELECT count(*) FROM ch) = 0)
+  SELECT video, first, last, score FROM sp ORDER BY score DESC, video, first LIMIT 30""",
+    "shots",
+    "subs",
+    recursive=True,
+)
 def segment_extraction(spark, sf):
     """Spans of the best chains, first to last shot; the best events where there is no chain; 30 at most."""
     at = F.transform(F.split("chain", ">"), lambda c: F.split(c, ":")[1].cast("long"))
@@ -434,20 +446,20 @@ def segment_extraction(spark, sf):
     return chains.unionByName(events).crossJoin(F.broadcast(least)).where("kind = _least").orderBy(F.desc("score"), "video", "first").limit(30).select("video", "first", "last", "score")
 
 
-@query()
+@query(fold_sql.KEYFRAMES, "frames", recursive=True)
 def greedy_keyframes(spark, sf):
     return folds.greedy_keyframes(fx.frames(spark, sf), "video")
 
 
-@query()
+@query(fold_sql.CLUSTERS, "frames", recursive=True)
 def leader_clusters(spark, sf):
     return folds.leader_clusters(fx.frames(spark, sf), "video")
 
 
-@query()
+@query(fold_sql.LOGOS)
 def logo_positions(spark, sf):
     boxes = src.table(spark, sf, "events").select(F.col("user_id").alias("video"), F.floor(F.col("event_id") / 4).cast("long").alias("frame"), F.col("event_id").alias("idx"), F.col("value").alias("x"), (F.col("value") / 2).alias("y"))
-    return folds.position_clusters(boxes, "video", ratio=0.05).select("video", r6("x").alias("x"), r6("y").alias("y"), "frames")
+    return folds.position_clusters(boxes, "video", ratio=0.05).select("video", F.round("x", 9).alias("x"), F.round("y", 9).alias("y"), "frames")
 
 
 @query()
@@ -456,7 +468,16 @@ def run_merge(spark, sf):
     return folds.merge_runs(c.select(F.col("conv_id").alias("video"), F.col("turn").alias("frame"), "text"), "video", near=0.5)
 
 
-@query()
+@query(
+    SEGMENTS
+    + """, j AS (SELECT g.video, g.event, h.idx, h.s, h.e, h.kind FROM segs g JOIN shots h ON h.video = g.video AND h.idx BETWEEN g.first AND g.last),
+  kn AS (SELECT video, event, kind, count(*) AS n, min(idx) AS i FROM j WHERE kind IS NOT NULL GROUP BY ALL),
+  kt AS (SELECT video, event, string_agg(kind, ' ' ORDER BY i) FILTER (kind <> '') AS text, '{' || string_agg('"' || kind || '":' || n, ',' ORDER BY kind) || '}' AS face_counts FROM kn GROUP BY ALL)
+  SELECT video, event, round(s, 6) AS s, round(e, 6) AS e, n_shots, coalesce(text, '') AS text, face_counts FROM (SELECT video, event, min(s) AS s, max(e) AS e, count(*) AS n_shots FROM j GROUP BY ALL) LEFT JOIN kt USING (video, event)""",
+    "shots",
+    "subs",
+    recursive=True,
+)
 def event_build(spark, sf):
     s = fx.shots(spark, sf).select("video", "idx", "s", "e", F.col("kind").alias("text"), F.col("kind").alias("face"))
     built = shots.build_events(folds.segment_events(_rows(spark, sf), "video"), s, "video")
@@ -530,7 +551,12 @@ def ngram_counts(spark, sf):
     return t.groupBy("gram").agg(F.count("*").alias("n"))
 
 
-@query()
+QUALITY = r"""SELECT conv_id, turn, round(1.5::DOUBLE * length(regexp_replace(raw, '[^""" + tx.BOTH + r"""]', '', 'g')) + 2.0::DOUBLE * len(words) + 0.05::DOUBLE * length(form) - 2.0::DOUBLE * length(regexp_replace(raw, '[\p{L}\p{N}_\p{M}\s.,!?;:''"()\-]', '', 'g'))
+    - 0.5::DOUBLE * coalesce(list_sum(list_transform(words, lambda w: greatest(length(w) - 8, 0))), 0), 6) AS quality%s
+  FROM (SELECT *, list_filter(string_split(form, ' '), lambda w: w <> '') AS words FROM (SELECT conv_id, turn, text, trim(text) AS raw, trim(regexp_replace(regexp_replace(lower(text), '[^\p{L}\p{N}_\p{M}\s]', ' ', 'g'), '[\s\p{Z}]+', ' ', 'g')) AS form FROM conversations))"""
+
+
+@query(QUALITY % f", translate(text, '{tx.BOTH}', '{tx.PLAIN}') AS folded")
 def text_quality(spark, sf):
     return src.table(spark, sf, "conversations").select("conv_id", "turn", r6(tx.quality(F.col("text"))).alias("quality"), tx.fold(F.col("text")).alias("folded"))
 

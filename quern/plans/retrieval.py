@@ -9,7 +9,7 @@ from quern.functions import text as tx
 from quern.functions import vectors as vx
 from quern.operators import boundary, evaluate, intervals, pooling, search, shots
 from quern.plans import fixtures as fx
-from quern.plans.queries import BRIDGE, DOT, FACES, r6, query
+from quern.plans.queries import BRIDGE, DOT, FACES, QUALITY, query, r6
 from quern.sources import tables as src
 
 # pooling search: a vector is a shot, five an event, fifty a video
@@ -284,8 +284,8 @@ def missing_videos(spark, sf):
 
 
 ROUTE = """, b AS (SELECT video, idx // 5 AS frame, idx % 7 * 10.0::DOUBLE AS x1, idx % 5 * 8.0::DOUBLE AS y1, idx AS i, (idx % 3 - 1) * 9.0::DOUBLE AS angle, CASE idx % 4 WHEN 0 THEN kind WHEN 1 THEN '日本語' WHEN 2 THEN kind || ' ~~~~ ^^^^ \u00a0 ~~~~~~~~' ELSE ' ' || kind END AS text, value / 100.0::DOUBLE AS score FROM shots),
-  c AS (SELECT *, (idx_in AND regexp_matches(text, '\p{Latin}') AND NOT regexp_matches(text, '[\p{Han}\p{Hangul}\p{Hiragana}\p{Katakana}]') AND score >= 0.75
-    AND length(regexp_replace(vis, '[~^]', '', 'g')) / greatest(length(vis), 1) >= 0.7) AS sub FROM (SELECT *, x1 + 5 BETWEEN 0 AND 60 AND y1 + 2 BETWEEN 0 AND 40 AND abs(angle) <= 8 AS idx_in, regexp_replace(text, '[\s\p{Z}]', '', 'g') AS vis FROM b))"""
+  c AS (SELECT *, (idx_in AND regexp_matches(text, '\\p{Latin}') AND NOT regexp_matches(text, '[\\p{Han}\\p{Hangul}\\p{Hiragana}\\p{Katakana}]') AND score >= 0.75
+    AND length(regexp_replace(vis, '[~^]', '', 'g')) / greatest(length(vis), 1) >= 0.7) AS sub FROM (SELECT *, x1 + 5 BETWEEN 0 AND 60 AND y1 + 2 BETWEEN 0 AND 40 AND abs(angle) <= 8 AS idx_in, regexp_replace(text, '[\\s\\p{Z}]', '', 'g') AS vis FROM b))"""
 
 
 @query(ROUTE + """ SELECT video, i AS idx, CASE WHEN sub AND row_number() OVER (PARTITION BY video, frame, sub ORDER BY y1, x1, i) <= 2 THEN 'subtitle' WHEN sub OR score >= 0.5 THEN 'scene' END AS route FROM c""", "shots")
@@ -331,8 +331,6 @@ def evaluation_ranks(spark, sf):
     return evaluate.ranks(results, truth).select("query_id", F.col("video_rank").cast("long").alias("video_rank"), F.col("first").cast("long").alias("first"))
 
 
-@query(r"""SELECT conv_id, turn, round(1.5::DOUBLE * length(regexp_replace(raw, '[^%s]', '', 'g')) + 2.0::DOUBLE * len(words) + 0.05::DOUBLE * length(form) - 2.0::DOUBLE * length(regexp_replace(raw, '[\p{L}\p{N}_\p{M}\s.,!?;:''"()\-]', '', 'g'))
-    - 0.5::DOUBLE * coalesce(list_sum(list_transform(words, lambda w: greatest(length(w) - 8, 0))), 0), 6) AS quality
-  FROM (SELECT *, list_filter(string_split(form, ' '), lambda w: w <> '') AS words FROM (SELECT conv_id, turn, trim(text) AS raw, trim(regexp_replace(regexp_replace(lower(text), '[^\p{L}\p{N}_\p{M}\s]', ' ', 'g'), '[\s\p{Z}]+', ' ', 'g')) AS form FROM conversations))""" % (tx.MARKED + tx.MARKED.upper()))
+@query(QUALITY % "")
 def text_quality_score(spark, sf):
     return src.table(spark, sf, "conversations").select("conv_id", "turn", r6(tx.quality(F.col("text"))).alias("quality"))

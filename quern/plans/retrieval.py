@@ -334,3 +334,85 @@ def evaluation_ranks(spark, sf):
 @query(QUALITY % "")
 def text_quality_score(spark, sf):
     return src.table(spark, sf, "conversations").select("conv_id", "turn", r6(tx.quality(F.col("text"))).alias("quality"))
+
+
+# shots, frames and boxes one by one
+
+
+@query(
+    """, r AS (SELECT video, CASE WHEN idx % 3 > 0 THEN idx END AS id, s, s + value - 20 AS e FROM shots)
+  SELECT video, coalesce(id, row_number() OVER (PARTITION BY video ORDER BY s, id NULLS FIRST) - 1) AS shot_id, round(s, 6) AS s, round(greatest(0.0::DOUBLE, e - s), 6) AS duration FROM r""",
+    "shots",
+)
+def shot_normalise(spark, sf):
+    """Shots whose columns have other names, some without an id, some that end before they start."""
+    r = fx.shots(spark, sf).select("video", F.when(F.col("idx") % 3 > 0, F.col("idx")).alias("id"), F.col("s").alias("start"), (F.col("s") + F.col("value") - 20).alias("end"))
+    return shots.normalise(r, "video").select("video", "shot_id", r6("s").alias("s"), r6("duration").alias("duration"))
+
+
+@query("SELECT video, idx, round(least(greatest(idx * 7 - 5, 0), 499) / 25.0::DOUBLE, 3) AS s, round((least(greatest(idx * 7 + floor(value)::BIGINT, 0), 499) + 1) / 25.0::DOUBLE, 3) AS e FROM shots", "shots")
+def frame_times(spark, sf):
+    t = shots.frame_times(F.col("idx") * 7 - 5, F.col("idx") * 7 + F.floor("value").cast("long"), F.lit(25.0), F.lit(500))
+    return fx.shots(spark, sf).select("video", "idx", t["s"].alias("s"), t["e"].alias("e"))
+
+
+@query(
+    """, r AS (SELECT video, idx, idx - 2 AS a, idx + floor(value / 10)::BIGINT - 5 AS b FROM shots),
+  l AS (SELECT video, idx, CASE WHEN b >= a THEN list_distinct(list_transform(generate_series(a, b, 3), lambda f: least(greatest(f, 0), 39))) ELSE [(least(greatest(a, 0), 39) + least(greatest(b, 0), 39)) // 2] END AS f FROM r)
+  SELECT video, idx, len(f) AS n, list_sum(f)::BIGINT AS total FROM l""",
+    "shots",
+)
+def step_sampling(spark, sf):
+    a, b = F.col("idx") - 2, F.col("idx") + F.floor(F.col("value") / 10).cast("long") - 5
+    f = fx.shots(spark, sf).select("video", "idx", shots.sample_frames(a, b, 3, F.lit(40).cast("long")).alias("f"))
+    return f.select("video", "idx", F.size("f").cast("long").alias("n"), F.aggregate("f", F.lit(0).cast("long"), lambda s, x: s + x).alias("total"))
+
+
+@query("SELECT vec_id, i::INT AS place, round(embedding[round(i * 63 / 15.0::DOUBLE)::INT + 1]::DOUBLE, 6) AS x FROM embeddings, range(16) r(i)")
+def linspace_resample(spark, sf):
+    v = src.table(spark, sf, "embeddings").select("vec_id", F.posexplode(shots.resample(F.col("embedding"), 16)).alias("place", "x"))
+    return v.select("vec_id", "place", r6(F.col("x").cast("double")).alias("x"))
+
+
+BOXES = """, b AS (SELECT video, idx, value - 15 AS x1, (idx % 9 * 7.0)::DOUBLE AS y1, value - 15 + 38 + idx % 12 AS x2, idx % 9 * 7.0::DOUBLE + 36 + idx % 17 AS y2, kind, value / 100.0::DOUBLE AS det_score FROM shots)"""
+
+
+def _boxes(spark, sf) -> DataFrame:
+    i, v = F.col("idx"), F.col("value")
+    return fx.shots(spark, sf).select("video", "idx", (v - 15).alias("x1"), (i % 9 * 7.0).alias("y1"), (v - 15 + 38 + i % 12).alias("x2"), (i % 9 * 7.0 + 36 + i % 17).alias("y2"), "kind", (v / 100.0).alias("det_score"))
+
+
+@query(
+    BOXES
+    + """, c AS (SELECT video, idx, det_score, least(greatest(x1, 0.0::DOUBLE), 100.0::DOUBLE) AS x1, least(greatest(x2, 0.0::DOUBLE), 100.0::DOUBLE) AS x2, least(greatest(y1, 0.0::DOUBLE), 80.0::DOUBLE) AS y1, least(greatest(y2, 0.0::DOUBLE), 80.0::DOUBLE) AS y2 FROM b)
+  SELECT video, idx, round(x1, 6) AS x1, round(y1, 6) AS y1, round(x2, 6) AS x2, round(y2, 6) AS y2 FROM c WHERE det_score >= 0.5 AND least(x2 - x1, y2 - y1) >= 40""",
+    "shots",
+)
+def face_filter(spark, sf):
+    f = shots.usable_faces(_boxes(spark, sf), F.lit(100.0), F.lit(80.0))
+    return f.select("video", "idx", *(r6(c).alias(c) for c in ("x1", "y1", "x2", "y2")))
+
+
+@query(
+    BOXES
+    + """ SELECT video, idx, round(greatest((x1 + x2) / 2 - (x2 - x1) * 1.25::DOUBLE / 2, 0.0::DOUBLE), 6) AS wide_x1, round(least((y1 + y2) / 2 + (y2 - y1) * 1.25::DOUBLE / 2, 80.0::DOUBLE), 6) AS wide_y2,
+    CASE WHEN least(x2 + 5, 100.0::DOUBLE) > greatest(x1 - 5, 0.0::DOUBLE) AND least(y2 + 5, 80.0::DOUBLE) > greatest(y1 - 5, 0.0::DOUBLE) THEN round(greatest(x1 - 5, 0.0::DOUBLE), 6) END AS crop_x1 FROM b""",
+    "shots",
+)
+def box_padding(spark, sf):
+    at, most = [F.col(c) for c in ("x1", "y1", "x2", "y2")], (F.lit(100.0), F.lit(80.0))
+    b = _boxes(spark, sf).select("video", "idx", shots.expand_box(*at, 1.25, *most).alias("w"), shots.crop_box(*at, *most).alias("c"))
+    return b.select("video", "idx", r6("w.x1").alias("wide_x1"), r6("w.y2").alias("wide_y2"), r6("c.x1").alias("crop_x1"))
+
+
+@query(BOXES + " SELECT video, idx // 6 AS frame, string_agg(kind, chr(10) ORDER BY y1, x1, kind) AS text FROM b GROUP BY ALL", "shots")
+def frame_text(spark, sf):
+    b = _boxes(spark, sf).select("video", F.floor(F.col("idx") / 6).cast("long").alias("frame"), "x1", "y1", F.col("kind").alias("text"))
+    return shots.frame_text(b)
+
+
+@query("SELECT item_id, b.item_id * 3 AS place, d.lang, d.source FROM benchmark b LEFT JOIN documents d ON d.doc_id = b.item_id * 7 - 20")
+def metadata_lookup(spark, sf):
+    store = src.table(spark, sf, "documents").select(((F.col("doc_id") + 20) / 7).alias("item_id"), "lang", "source").where("item_id = floor(item_id)").withColumn("item_id", F.col("item_id").cast("long"))
+    asked = src.table(spark, sf, "benchmark").select(F.col("item_id").cast("long").alias("item_id"), (F.col("item_id") * 3).cast("long").alias("place"))
+    return src.get_many(store, asked)

@@ -144,3 +144,8 @@ def debug_boundaries(rows: DataFrame, subtitles: DataFrame, key: str, width: int
     side = lambda a, b: F.filter(F.collect_list(F.nullif(F.trim("text"), F.lit(""))).over(w.rowsBetween(a, b)), lambda t: t.isNotNull())
     told = texts.select(key, "idx", side(1 - width, 0).alias("l"), side(1, width).alias("r"))
     return rows.join(told, [key, "idx"]).withColumns({"left_text": F.left(F.array_join("l", " "), F.lit(most)), "right_text": F.left(F.array_join("r", " "), F.lit(most)), "left_items": F.size("l"), "right_items": F.size("r")}).drop("l", "r")
+
+
+def get_many(store: DataFrame, asked: DataFrame, key: str = "item_id") -> DataFrame:
+    """Metadata of the ids asked for (key, place): a row each, with nulls where the store has none."""
+    return asked.select(key, "place").join(store, key, "left")

@@ -40,7 +40,7 @@ from ._vectors import matrix, valid
 
 SHARD = 8192  # vectors of a shard, on average at most
 BLOCK = 2048  # queries of a block
-LEAF = 128
+LEAF = 512
 REGIONS = 1024  # vantage points of regions at most: they are broadcast
 
 
@@ -145,7 +145,12 @@ class Tree:
         step = max(1, (1 << 20) // max(1, len(x)))
         for part in (rows[at : at + step] for at in range(0, len(rows), step)):
             least = np.maximum(self.score[part, -1], self.floor[part]) - self.slack[part]
-            i, j = np.nonzero((self.q[part] @ x.T >= least[:, None]) & (ids[None] != self.own[part][:, None]))
+            near = np.where(ids[None] == self.own[part][:, None], -np.inf, self.q[part] @ x.T)
+            many = np.nonzero((near >= least[:, None]).sum(1) > self.k)[0]
+            if len(many):  # what lies below a leaf's own k best by more than rounding is none of the k best
+                kth = np.partition(near[many], -self.k, axis=1)[:, -self.k]
+                least[many] = np.maximum(least[many], kth - 2 * self.slack[part[many]])
+            i, j = np.nonzero((near >= least[:, None]) & (near > -np.inf))
             for some in (slice(at, at + (1 << 16)) for at in range(0, len(i), 1 << 16)):
                 self._merge(part, i[some], ids[j[some]], products(x[j[some]], self.q[part[i[some]]]))
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bloomlm, embdedup, htmltext, langid, mixing, packing, simhash, suffixdedup, urlfilter, vptree
+from . import bloomlm, embdedup, htmltext, laesa, langid, mixing, packing, simhash, spelling, suffixdedup, treebpe, urlfilter, vptree
 
 #: name: (module, table)
 OPERATORS = {
@@ -20,6 +20,9 @@ OPERATORS = {
     "op8_language_id": (langid, "documents"),
     "op9_suffix_array_dedup": (suffixdedup, "documents"),
     "op10_mixing": (mixing, "documents"),
+    "op11_spelling_variants": (spelling, "documents"),
+    "op12_centroid_clustering": (laesa, "embeddings"),
+    "op13_tree_bpe": (treebpe, "documents"),
 }
 
 

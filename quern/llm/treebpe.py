@@ -140,9 +140,13 @@ class Encoder:
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.merges = Merges(ranks)
-        self.words = re.compile(plain_pattern(pattern)).findall
+        self.every, self.basic = (re.compile(plain_pattern(pattern, most)).findall for most in (0x10FFFF, 0xFFFF))
         self.known = Memo(lambda word: self.merges.whole(word.encode()))
 
+    def words(self, text: str) -> list[str]:
+        """Matches; where no character needs two units of UTF-16, by classes without such characters, which are looked up faster."""
+        return (self.basic if len(text.encode("utf-16-le")) == 2 * len(text) else self.every)(text)
+
     def ids(self, word: str) -> list[int]:
         return self.known[word] if len(word) <= LEAF // 16 else self.merges.whole(word.encode())
 
@@ -151,7 +155,7 @@ class Encoder:
             half = len(text) // 2
             return self.join(self.part(text[:half]), self.part(text[half:]))
         words = self.words(text)
-        long = any(len(w) > LEAF // 16 for w in words)
+        long = max(map(len, words), default=0) > LEAF // 16
         return words, [self.ids(w) for w in words] if long else list(map(self.known.__getitem__, words))
 
     def join(self, a: Part, b: Part) -> Part:
@@ -198,8 +202,8 @@ class Encoder:
 
 
 @cache
-def classes() -> dict[str, str]:
-    """Character classes of the pattern as ranges of code points, as tiktoken's own tables have them: those of Python know other versions of Unicode."""
+def classes() -> dict[str, list[tuple[int, int]]]:
+    """Character classes of the pattern as ranges of code points (inclusive), as tiktoken's own tables have them: those of Python know other versions of Unicode."""
     import tiktoken
 
     every, out = "".join(chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000), {}
@@ -208,15 +212,16 @@ def classes() -> dict[str, str]:
         codes = np.array([ord(c) for c in found.decode_bytes(found.encode_ordinary(every)).decode()])
         cuts = np.nonzero(np.diff(codes) != 1)[0]
         first, last = codes[np.append(0, cuts + 1)], codes[np.append(cuts, len(codes) - 1)]
-        out[name] = "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in zip(first.tolist(), last.tolist(), strict=True))
+        out[name] = list(zip(first.tolist(), last.tolist(), strict=True))
     return out
 
 
-def plain_pattern(pattern: str) -> str:
-    """The pattern with its classes written out: inside brackets as they are, else in brackets of their own."""
+def plain_pattern(pattern: str, most: int) -> str:
+    """The pattern with its classes written out, up to a code point: inside brackets as they are, else in brackets of their own."""
+    named = {name: "".join(f"\\U{a:08x}-\\U{min(b, most):08x}" for a, b in ranges if a <= most) for name, ranges in classes().items()}
     out, inside = [], False
     for piece in re.findall(r"\\p\{\w\}|\\.|.", pattern, re.S):
-        ranges = classes().get(piece)
+        ranges = named.get(piece)
         out.append(piece if ranges is None else ranges if inside else f"[{ranges}]")
         inside = piece == "[" or (inside and piece != "]")
     return "".join(out)

@@ -28,8 +28,8 @@ def fold(rows: DataFrame, group: list[str], order: list[str], columns: list[str]
         held: pd.DataFrame | None = None
 
         def done(whole: pd.DataFrame, last: bool) -> tuple[pd.DataFrame, pd.DataFrame | None]:
-            keys = whole[group]
-            new = (keys != keys.shift()).any(axis=1).to_numpy() & ~(keys.isna() & keys.shift().isna()).all(axis=1).to_numpy()
+            keys, before = whole[group], whole[group].shift()
+            new = ((keys != before) & ~(keys.isna() & before.isna())).any(axis=1).to_numpy().copy()  # null is a key like others
             new[:1] = True
             starts = np.append(np.nonzero(new)[0], len(whole))
             arrays = {c: whole[c].to_numpy() for c in {*group, *columns}}

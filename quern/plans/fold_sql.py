@@ -80,3 +80,46 @@ def segments(boundaries: str, low: float = 3.0, high: float = 30.0) -> str:
   sg AS (SELECT bt.video, a + y AS first, a + z - 1 AS last FROM bt JOIN sk ON sk.video = bt.video AND sk.g = bt.g UNION ALL
     SELECT l.video, coalesce(p.a, l.idx), coalesce(f.b, l.idx) FROM w1 l LEFT JOIN sk p ON p.video = l.video AND p.g = 0 AND l.g = 1 AND NOT p.good LEFT JOIN sk f ON f.video = l.video AND f.g = l.g AND NOT f.good WHERE long),
   segs AS (SELECT video, row_number() OVER (PARTITION BY video ORDER BY first) - 1 AS event, first, last FROM sg)"""
+
+
+def stage_chains(stages: int, apart: int, skip: float = 0.7) -> str:
+    """Expressions `chains` (query_id, video, session, score, matched, skipped, chain, total) over `u`: query_id, video, session, t, n (the query's stages), s0, o0, ...: supports near each time and their places.
+
+    States are as in chains(), for the first n stages; `g` is the best state of any stage so far. total: a chain's hops' scores, summed.
+    """
+
+    def state(x: str, o: str, text: str, k: str, v: str) -> str:
+        return f"{{'x': {x}, 'o': {o}, 'c': {text}, 'k': {k}, 'v': {v}}}"
+
+    empty = state("0.0::DOUBLE", "-1::BIGINT", "[]::VARCHAR[]", "0::INT", "0.0::DOUBLE")
+    held = ", ".join(f"{c}{i}" for c in "bt" for i in range(stages))
+    key = "query_id, video, session, t, n"
+    step = f"SELECT {', '.join('u.' + c for c in key.split(', '))}, {held}, g, {', '.join(f's{i}, o{i}' for i in range(stages))} FROM k JOIN u ON u.query_id = k.query_id AND u.video = k.video AND u.session = k.session AND u.t = k.t + 1"
+    for i in range(stages):
+        hop = f"['{i}:' || o{i}]"
+        rules = [(f"a{i}", f"CASE WHEN s{i} > 0 THEN {state(f's{i}', f'o{i}', hop, '0::INT', f's{i}')} ELSE {empty} END"), (f"c{i}", f"CASE WHEN b{i}.x > a{i}.x THEN b{i} ELSE a{i} END")]
+        if i:
+            was = f"b{i - 1}"
+            on = f"s{i} > 0 AND {was}.x > 0 AND o{i} - {was}.o >= {apart} AND {was}.x + s{i} > c{i}.x"
+            rules.append((f"d{i}", f"CASE WHEN {on} THEN {state(f'{was}.x + s{i}', f'o{i}', f'list_concat({was}.c, {hop})', f'{was}.k', f'{was}.v + s{i}')} ELSE c{i} END"))
+            over = f"m{i - 1}"
+            rules.append((f"n{i}", f"CASE WHEN {i} < n AND {skip}::DOUBLE * {over}.x > d{i}.x THEN {state(f'{skip}::DOUBLE * {over}.x', f'{over}.o', f'{over}.c', f'{over}.k + 1::INT', f'{over}.v')} ELSE d{i} END"))
+        else:
+            rules.append(("n0", "c0"))
+        rules += [(f"m{i}", f"CASE WHEN n{i}.x > t{i}.x THEN n{i} ELSE t{i} END"), (f"g{i}", f"CASE WHEN n{i}.x > {f'g{i - 1}' if i else 'g'}.x THEN n{i} ELSE {f'g{i - 1}' if i else 'g'} END")]
+        for name, rule in rules:
+            step = f"SELECT *, {rule} AS {name} FROM ({step})"
+    return f"""k AS (SELECT DISTINCT query_id, video, session, 0::BIGINT AS t, n, {", ".join(f"{empty} AS {c}{i}" for c in "bt" for i in range(stages))}, {empty} AS g FROM u UNION ALL
+    SELECT {key}, {", ".join(f"{c}{i}" for c in "nm" for i in range(stages))}, g{stages - 1} FROM ({step})),
+  chains AS (SELECT k.query_id, k.video, k.session, g.x AS score, len(g.c)::INT AS matched, g.k AS skipped, array_to_string(g.c, '>') AS chain, g.v AS total
+    FROM k JOIN (SELECT query_id, video, session, max(t) AS t FROM u GROUP BY ALL) z ON z.query_id = k.query_id AND z.video = k.video AND z.session = k.session AND z.t = k.t WHERE len(g.c) > 0)"""
+
+
+def stage_supports(stages: int, gap: int, window: int) -> str:
+    """Expressions `u` for stage_chains() over `scored` (query_id, stage, video, place, score) and `asks` (query_id, n)."""
+    best = ", ".join(f"coalesce(max(b.score) FILTER (b.stage = {i}), 0.0::DOUBLE) AS s{i}, arg_max(b.place, (b.score, -b.place)) FILTER (b.stage = {i}) AS o{i}" for i in range(stages))
+    return f"""pl AS (SELECT *, sum(CASE WHEN place - p > {gap} THEN 1 ELSE 0 END) OVER (PARTITION BY query_id, video ORDER BY place)::BIGINT AS session
+    FROM (SELECT query_id, video, place, lag(place) OVER (PARTITION BY query_id, video ORDER BY place) AS p FROM (SELECT DISTINCT query_id, video, place FROM scored))),
+  sc AS (SELECT scored.*, session FROM scored JOIN pl USING (query_id, video, place)),
+  u AS MATERIALIZED (SELECT a.query_id, a.video, a.session, row_number() OVER (PARTITION BY a.query_id, a.video, a.session ORDER BY a.place) AS t, any_value(n) AS n, {best}
+    FROM pl a JOIN asks ON asks.query_id = a.query_id LEFT JOIN sc b ON a.query_id = b.query_id AND a.video = b.video AND a.session = b.session AND abs(a.place - b.place) <= {window} AND b.score > 0 GROUP BY a.query_id, a.video, a.session, a.place)"""

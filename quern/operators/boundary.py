@@ -81,6 +81,21 @@ def face_change(counts: DataFrame, cuts: DataFrame, key: str, width: int = 3, ta
     return out.select(key, "idx", F.when(ok, 1 - F.col("low") / F.col("high")).otherwise(0.0).alias("change"), ok.alias("valid"))
 
 
+def face_context(faces: DataFrame, key: str, width: int = 3) -> DataFrame:
+    """faces (key, idx, face_ids; null or empty: none) -> key, idx, left_ids, right_ids, shared_ids: sorted ids seen on either side of each cut, and on both."""
+    w = Window.partitionBy(key).orderBy("idx")
+    near = lambda a, b: F.array_sort(F.array_distinct(F.flatten(F.collect_list("face_ids").over(w.rowsBetween(a, b)))))
+    both = faces.select(key, "idx", near(1 - width, 0).alias("left_ids"), near(1, width).alias("right_ids"), F.lead("idx").over(w).alias("_next")).where("_next is not null")
+    return both.select(key, "idx", "left_ids", "right_ids", F.array_sort(F.array_intersect("left_ids", "right_ids")).alias("shared_ids"))
+
+
+def used_weights(parts: dict[str, float], valid: str = "{}_valid") -> Column:
+    """The share of each valid modality in the score, by name."""
+    total = sum((F.when(F.col(valid.format(m)), F.lit(w)).otherwise(0.0) for m, w in parts.items()), F.lit(0.0))
+    used = F.filter(F.array(*(F.struct(F.lit(m).alias("key"), F.when(F.col(valid.format(m)), F.lit(w)).alias("value")) for m, w in parts.items())), lambda x: x["value"].isNotNull())
+    return F.map_from_entries(F.transform(used, lambda x: F.struct(x["key"], x["value"] / total)))
+
+
 def min_max(value: Column, valid: Column, key: str) -> Column:
     """Min-max normalised among a key's valid rows; invalid rows get 0."""
     w = Window.partitionBy(key)

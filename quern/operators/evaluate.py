@@ -25,7 +25,7 @@ def summary(first: DataFrame, at: tuple[int, ...] = AT) -> DataFrame:
 
 
 def results_from_json(rows: DataFrame, column: str = "result") -> DataFrame:
-    """rows (query_id, rank, result): a single [[video, frame], score], or a chain [[[video, frame], ...], ...] -> query_id, rank, video, lo, hi (frames).
+    """rows (query_id, rank, result): a single [[video, frame], score], or a chain [[[video, frame], ...], ...] -> its other columns, video, lo, hi (frames).
 
     What can't be read is dropped; ranks keep their holes.
     """
@@ -34,8 +34,8 @@ def results_from_json(rows: DataFrame, column: str = "result") -> DataFrame:
     chain = F.transform(F.from_json(column, "array<array<string>>"), lambda x: F.from_json(x[0], "array<string>"))
     points = F.when(F.try_element_at(key, F.lit(2)).rlike(r"^\d+$"), F.array(key)).otherwise(chain)
     at = F.transform(points, lambda p: F.try_element_at(p, F.lit(2)).try_cast("long"))
-    out = rows.select("query_id", "rank", points[0][0].alias("video"), F.array_min(at).alias("lo"), F.array_max(at).alias("hi"))
-    return out.where("video is not null and lo is not null")
+    read = rows.where(~F.exists(at, lambda x: x.isNull()))  # one frame that can't be read spoils its chain
+    return read.select(*(c for c in rows.columns if c != column), points[0][0].alias("video"), F.array_min(at).alias("lo"), F.array_max(at).alias("hi")).where("video is not null and lo is not null")
 
 
 def ranks(results: DataFrame, truth: DataFrame) -> DataFrame:
@@ -53,6 +53,23 @@ def ranks(results: DataFrame, truth: DataFrame) -> DataFrame:
     return truth.select("query_id").distinct().join(found, "query_id", "left")
 
 
+def keyframe_ranks(rows: DataFrame, fps: DataFrame, truth: DataFrame) -> DataFrame:
+    """rows (query_id, mode, rank, result: JSON as results_from_json() reads it), fps (video, fps), truth (query_id, video, s, e) -> query_id, video_rank, first.
+
+    Ranks are those of the rows, whatever can't be read. A single keyframe (mode `single-stage`) hits if its time lies in
+    the truth, ends included; a chain if its first to last frame overlap it. A keyframe of a video without a frame rate can
+    only hit the video; such a chain counts for nothing.
+    """
+    t = truth.select("query_id", F.col("video").cast("string").alias("video"), F.col("s").alias("ts"), F.col("e").alias("te"))
+    single = F.coalesce(F.col("mode"), F.lit("single-stage")) == "single-stage"
+    read = results_from_json(rows.select("query_id", "rank", "result", single.alias("single"))).join(fps.select(F.col("video").cast("string").alias("video"), "fps"), "video", "left")
+    met = read.where(F.col("single") | F.col("fps").isNotNull()).join(t, ["query_id", "video"])
+    s, e = F.col("lo") / F.col("fps"), F.col("hi") / F.col("fps")
+    hit = F.when(F.col("single"), s.between(F.col("ts"), F.col("te"))).otherwise(F.least(e, "te") > F.greatest(s, "ts"))
+    found = met.groupBy("query_id").agg(F.min("rank").alias("video_rank"), F.min(F.when(hit, F.col("rank"))).alias("first"))
+    return truth.select("query_id").distinct().join(found, "query_id", "left")
+
+
 def fps_map(rows: DataFrame, column: str = "body") -> DataFrame:
     """rows of JSON, a map video -> fps or {"results": [{"video_id", "fps"}]} -> video, fps. What is neither raises."""
     listed = F.from_json(column, "struct<results:array<struct<video_id:string,fps:double>>>")["results"]

@@ -25,26 +25,42 @@ def fold(rows: DataFrame, group: list[str], order: list[str], columns: list[str]
     names = [*group, *(f.split()[0] for f in out.split(", "))]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: pd.DataFrame | None = None
-
-        def done(whole: pd.DataFrame, last: bool) -> tuple[pd.DataFrame, pd.DataFrame | None]:
-            keys, before = whole[group], whole[group].shift()
-            new = ((keys != before) & ~(keys.isna() & before.isna())).any(axis=1).to_numpy().copy()  # null is a key like others
-            new[:1] = True
-            starts = np.append(np.nonzero(new)[0], len(whole))
-            arrays = {c: whole[c].to_numpy() for c in {*group, *columns}}
-            made = []
-            for a, b in zip(starts[:-1] if last else starts[:-2], starts[1:] if last else starts[1:-1], strict=True):
+        held: list[pd.DataFrame] = []  # parts of the group that may go on; they are put together once, when it ends
+
+        def made(whole: pd.DataFrame, starts: np.ndarray) -> pd.DataFrame:
+            arrays, out = {c: whole[c].to_numpy() for c in {*group, *columns}}, []
+            for a, b in zip(starts[:-1], starts[1:], strict=True):
                 key = tuple(arrays[g][a] for g in group)
-                made += [(*key, *row) for row in each({c: arrays[c][a:b] for c in columns})]
-            return pd.DataFrame(made, columns=names), None if last else whole.iloc[starts[-2] :]
+                out += [(*key, *row) for row in each({c: arrays[c][a:b] for c in columns})]
+            return pd.DataFrame(out, columns=names)
+
+        def ended() -> pd.DataFrame:
+            whole = pd.concat(held, ignore_index=True) if len(held) > 1 else held[0].reset_index(drop=True)
+            return made(whole, np.array([0, len(whole)]))
 
         for batch in batches:
-            if len(batch):
-                result, held = done(batch if held is None else pd.concat([held, batch], ignore_index=True), False)
-                yield result
-        if held is not None:
-            yield done(held.reset_index(drop=True), True)[0]
+            if not len(batch):
+                continue
+            new = np.zeros(len(batch), bool)
+            for g in group:  # null is a key like others
+                key, none = batch[g].to_numpy(), batch[g].isna().to_numpy()
+                new[1:] |= (key[1:] != key[:-1]) & ~(none[1:] & none[:-1])
+                if held:
+                    last = held[-1][g].iloc[-1]
+                    new[0] |= bool(key[0] != last) and not (none[0] and pd.isna(last))
+            starts = np.nonzero(new)[0] if held else np.append(0, np.nonzero(new[1:])[0] + 1)
+            if held and len(starts):
+                if starts[0]:
+                    held.append(batch.iloc[: starts[0]])
+                yield ended()
+                held = []
+            if len(starts):
+                yield made(batch, starts)
+                held = [batch.iloc[starts[-1] :]]
+            else:
+                held.append(batch)
+        if held:
+            yield ended()
 
     dealt = rows.select(*dict.fromkeys([*group, *order, *columns])).repartition(*group).sortWithinPartitions(*group, *order)
     return dealt.mapInPandas(run, schema)
@@ -116,12 +132,12 @@ def chain(score: np.ndarray, order: np.ndarray, gap: int, skip: float) -> tuple[
     """Best chain of stages over a timeline: (score, [(stage, order)], skipped).
 
     score, order: (time, stage), each stage's support near a time. A state starts anew, is carried, continues the stage
-    before if `gap` apart, or skips the stage at a discount; the first of them wins ties. Only the states of the time
+    before if `gap` apart, or skips the stage at a discount; the first of them wins ties. The best state of any time and stage ends the chain. Only the states of the time
     before and each stage's best so far are needed, so a state holds its own way back.
     """
     stages = score.shape[1]
     empty = (0.0, -1, None, 0)  # score, last order, (hop, the hops before), skipped
-    before, top = [empty] * stages, [empty] * stages
+    before, top, final = [empty] * stages, [empty] * stages, empty
     for t, (support, places) in enumerate(zip(score.tolist(), order.tolist(), strict=True)):
         now = []
         for s, (x, o) in enumerate(zip(support, places, strict=True)):
@@ -138,9 +154,11 @@ def chain(score: np.ndarray, order: np.ndarray, gap: int, skip: float) -> tuple[
                 state = (skip * was[0], was[1], was[2], was[3] + 1)
             if state[0] > top[s][0]:
                 top[s] = state
+            if state[0] > final[0]:
+                final = state
             now.append(state)
         before = now
-    total, _, link, skipped = top[-1]
+    total, _, link, skipped = final
     hops = []
     while link:
         hops.append(link[0])
@@ -178,6 +196,30 @@ def greedy_keyframes(frames: DataFrame, key: str, threshold: float = 0.9) -> Dat
     return fold(frames, [key], ["idx"], ["idx", "emb"], each, "idx long")
 
 
+def pools(x: np.ndarray, temperature: float) -> tuple[list[float], list[float], list[float]]:
+    """Unit mean, unit maximum, and softmax around the centre of the unit vectors."""
+    unit = lambda v: v / (np.linalg.norm(v, axis=-1, keepdims=True) + 1e-8)
+    u = unit(x)
+    score = temperature * (u @ unit(u.mean(0)))
+    weight = np.exp(score - score.max())
+    return unit(x.mean(0)).tolist(), unit(x.max(0)).tolist(), unit(weight @ u / weight.sum()).tolist()
+
+
+def multi_pools(rows: DataFrame, group: list[str], vectors: list[str], d: int, temperature: float = 15.0) -> DataFrame:
+    """rows (group, vectors, null: none) -> group and, for each kind of vector v, has_v, v_mean, v_max, v_soft: zeros of length d where a group has none. All kinds in one pass; for groups that fit a task, such as events."""
+    empty = ([0.0] * d,) * 3
+
+    def each(p: dict[str, np.ndarray]) -> list[tuple]:
+        out: list = []
+        for v in vectors:
+            live = [x for x in p[v] if x is not None]
+            out += [bool(live), *(pools(np.stack(live).astype(float), temperature) if live else empty)]
+        return [tuple(out)]
+
+    schema = ", ".join(f"has_{v} boolean, {v}_mean array<double>, {v}_max array<double>, {v}_soft array<double>" for v in vectors)
+    return fold(rows, group, [], vectors, each, schema)
+
+
 def leader_clusters(items: DataFrame, key: str, threshold: float = 0.45) -> DataFrame:
     """items (key, idx, emb) in order -> key, idx, cluster: the nearest centroid if near enough, else a new one."""
 

@@ -96,14 +96,14 @@ def keyframes_in_range(ranges: DataFrame, marks: DataFrame, key: str, width: int
 
 
 def expand_hits(hits: DataFrame, marks: DataFrame, key: str) -> DataFrame:
-    """hits (key, id, first, last) -> key, id, m: the keyframes in the range, else the one nearest to its middle, the earlier of two.
+    """hits (key, id, first, last) -> key, id, m: the keyframes in the range, else the one nearest to its middle, the later of two. An id is one of its key.
 
     Bounds the wrong way round are swapped; hits without a bound, or with -1, go.
     """
     live = hits.where("first is not null and last is not null and first <> -1 and last <> -1")
     live = live.select(key, "id", F.least("first", "last").alias("first"), F.greatest("first", "last").alias("last"))
     inside = keyframes_in_range(live, marks, key)
-    rest = live.join(inside.select("id").distinct(), "id", "left_anti").select(key, "id", ((F.col("first") + F.col("last")) / 2).alias("t"))
+    rest = live.join(inside.select(key, "id").distinct(), [key, "id"], "left_anti").select(key, "id", ((F.col("first") + F.col("last")) / 2).alias("t"))
     low = _as_of(rest, marks, key, "t", "m", "m").withColumnRenamed("_found", "low")
     both = _as_of(low, marks, key, "t", "m", "m", later=True).withColumnRenamed("_found", "high")
     later = F.col("low").isNull() | (F.col("high") - F.col("t") <= F.col("t") - F.col("low"))

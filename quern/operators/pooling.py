@@ -43,8 +43,7 @@ def route(queries: DataFrame) -> DataFrame:
 
 def expand(hits: DataFrame, edges: DataFrame) -> DataFrame:
     """hits and edges (channel, item_id, target, weight) -> query_id, channel, target, rank, weight. Channels without edges hit their items with weight 1."""
-    over = [r[0] for r in edges.select("channel").distinct().limit(64).collect()]  # names of channels
-    direct = hits.where(~F.col("channel").isin(over)) if over else hits
+    direct = hits.join(edges.select("channel").distinct(), "channel", "left_anti")
     met = hits.join(edges, ["channel", "item_id"]).select("query_id", "channel", "target", "rank", "weight")
     return direct.select("query_id", "channel", F.col("item_id").alias("target"), "rank", F.lit(1.0).alias("weight")).unionByName(met)
 

@@ -12,6 +12,18 @@ from pyspark.sql import functions as F
 from quern.functions.text import TOKEN, fuzzy, ngrams_of, tokenize
 
 QUERIES = 4096  # queries whose vectors are broadcast at once
+ITEMS = 1024  # items whose scores a task holds at once
+
+
+def best_of(scores: np.ndarray, items: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """scores (item, query) -> places (item, query) of each query's k best; ties to the smaller item."""
+    least = np.partition(scores, len(scores) - k, axis=0)[len(scores) - k] if len(scores) > k else np.full(scores.shape[1], -np.inf)
+    row, query = np.nonzero(scores >= least)
+    order = np.lexsort((items[row], -scores[row, query], query))
+    row, query = row[order], query[order]
+    first = np.searchsorted(query, np.arange(scores.shape[1]))
+    kept = np.arange(len(query)) - first[query] < k
+    return row[kept], query[kept]
 
 
 def knn(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
@@ -31,11 +43,11 @@ def knn(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
             for batch in batches:
                 items = np.asarray(batch.column(0))
                 x = np.asarray(batch.column(1).flatten(), np.float64).reshape(len(items), -1)
-                s = x @ q.T
-                order = np.argsort(items, kind="stable")
-                top = np.argsort(-s[order], axis=0, kind="stable")[:k]
-                who = order[top]
-                yield pa.record_batch([pa.array(np.tile(keys, (len(top), 1)).ravel()), pa.array(items[who].ravel()), pa.array(np.take_along_axis(s, who, 0).ravel())], ["query_id", "item_id", "score"])
+                for at in range(0, len(items), ITEMS):
+                    some = items[at : at + ITEMS]
+                    s = x[at : at + ITEMS] @ q.T
+                    row, who = best_of(s, some, k)
+                    yield pa.record_batch([pa.array(keys[who]), pa.array(some[row]), pa.array(s[row, who])], ["query_id", "item_id", "score"])
 
         best = vectors.where("emb is not null").select(F.col("item_id").cast("long"), "emb").mapInArrow(run, "query_id long, item_id long, score double")
         return best.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)

@@ -14,11 +14,25 @@ def _first(df: DataFrame, kind: str, *names: str) -> Column:
     return F.coalesce(*(F.col(n).cast(kind) for n in names if n in df.columns), F.lit(None).cast(kind))
 
 
-def normalise(shots: DataFrame, key: str) -> DataFrame:
-    """Shots under any of their names -> key, shot_id, s, e, duration, in order."""
-    rows = shots.select(key, _first(shots, "long", "shot_id", "id").alias("shot_id"), _first(shots, "double", "start_time_sec", "start_time", "start").alias("s"), _first(shots, "double", "end_time_sec", "end_time", "end").alias("e"))
-    number = F.row_number().over(Window.partitionBy(key).orderBy("s", "shot_id")) - 1
-    return rows.withColumn("shot_id", F.coalesce("shot_id", number.cast("long"))).withColumn("duration", F.greatest(F.lit(0.0), F.col("e") - F.col("s")))
+def normalise(shots: DataFrame, key: str, place: str | None = None) -> DataFrame:
+    """Shots under any of their names -> key, shot_id, s, e, duration, first_frame, last_frame (null if not given), in order.
+
+    A shot without an id takes its place in the given list (column `place`, from 0; without it, its place by start). A given
+    duration stays; else it is the end less the start, not negative.
+    """
+    rows = shots.select(
+        key,
+        _first(shots, "long", "shot_id", "id").alias("shot_id"),
+        _first(shots, "double", "start_time_sec", "start_time", "start").alias("s"),
+        _first(shots, "double", "end_time_sec", "end_time", "end").alias("e"),
+        _first(shots, "double", "duration_sec").alias("duration"),
+        _first(shots, "long", "start_frame").alias("first_frame"),
+        _first(shots, "long", "end_frame").alias("last_frame"),
+        (F.col(place) if place else F.lit(None)).cast("long").alias("_place"),
+    )
+    number = F.col("_place") if place else F.row_number().over(Window.partitionBy(key).orderBy("s", "shot_id")) - 1
+    known = F.coalesce("duration", F.greatest(F.lit(0.0), F.col("e") - F.col("s")))
+    return rows.select(key, F.coalesce("shot_id", number.cast("long")).alias("shot_id"), "s", "e", known.alias("duration"), "first_frame", "last_frame")
 
 
 def frame_times(first: Column, last: Column, fps: Column, frames: Column) -> Column:
@@ -37,15 +51,18 @@ def sample_times(s: Column, e: Column, most: int = 5) -> Column:
 
 
 def sample_frames(first: Column, last: Column, step: int, frames: Column) -> Column:
-    """Every step-th frame of first..last, clamped to the video's frames; the middle one if there is none."""
-    lo, hi = (F.least(F.greatest(x, F.lit(0)), frames - 1) for x in (first, last))
-    return F.when(last >= first, F.array_distinct(F.transform(F.sequence(first, last, F.lit(step).cast("long")), lambda f: F.least(F.greatest(f, F.lit(0)), frames - 1)))).otherwise(F.array(F.floor((lo + hi) / 2)))
-
-
-def index_window(start: Column, end: Column, fps: Column, count: Column) -> Column:
-    """Places [a, b) of a feature sequence that cover seconds start..end: floor and ceiling, clamped, never empty where there is a feature."""
-    a = F.least(F.greatest(F.floor(start * fps), F.lit(0)), F.greatest(count - 1, F.lit(0)))
-    b = F.least(F.greatest(F.ceil(end * fps), a + 1), count)
+    """Every step-th frame of first..last that lies in the video; if there is none, the middle of first..last, clamped to the video."""
+    every = F.when(last >= first, F.filter(F.sequence(first, F.greatest(first, last), F.lit(step).cast("long")), lambda f: (f >= 0) & (f < frames))).otherwise(F.array().cast("array<bigint>"))
+    middle = F.least(F.greatest(F.floor((first + last) / 2), F.lit(0)), F.greatest(frames - 1, F.lit(0)))
+    return F.when(F.size(every) > 0, every).otherwise(F.array(middle))
+
+
+def index_window(start: Column, end: Column, lo: Column, hi: Column, count: Column) -> Column:
+    """Places [a, b) of a sequence of `count` features over seconds lo..hi that cover start..end: shares of the duration times the count, rounded outwards and clamped; never empty where there is a feature."""
+    span = F.greatest(hi - lo, F.lit(1e-3))
+    share = lambda t: F.least(F.greatest((t - lo) / span, F.lit(0.0)), F.lit(1.0))
+    a = F.least(F.greatest(F.floor(share(start) * count), F.lit(0)), F.greatest(count - 1, F.lit(0)))
+    b = F.least(F.greatest(F.ceil(share(end) * count), a + 1), count)
     return F.struct(a.cast("long").alias("a"), b.cast("long").alias("b"))
 
 
@@ -122,7 +139,7 @@ def route_boxes(boxes: DataFrame, roi: tuple[float, float, float, float], most:
     allowed = F.length(F.regexp_replace(visible, ODD, "")) / F.greatest(F.length(visible), F.lit(1))
     latin = F.col("text").rlike(r"\p{IsLatin}") & ~F.col("text").rlike(r"[\p{IsHan}\p{IsHangul}\p{IsHiragana}\p{IsKatakana}]") & (allowed >= 0.7) & (F.col("score") >= sure)
     sub = inside & latin
-    w = Window.partitionBy("video", "frame", sub).orderBy("y1", "x1")
+    w = Window.partitionBy("video", "frame", sub).orderBy("y1", "x1", "x2", "y2", "text")
     first = sub & (F.row_number().over(w) <= most)
     return boxes.withColumn("route", F.when(first, "subtitle").when(sub | (F.col("score") >= 0.5), "scene"))
 
@@ -146,18 +163,25 @@ def expand_box(x1: Column, y1: Column, x2: Column, y2: Column, by: float, width:
     return F.struct(F.greatest(cx - w, F.lit(0)).alias("x1"), F.greatest(cy - h, F.lit(0)).alias("y1"), F.least(cx + w, width).alias("x2"), F.least(cy + h, height).alias("y2"))
 
 
-def build_events(segments: DataFrame, shots: DataFrame, key: str) -> DataFrame:
-    """segments (key, event, first, last), shots (key, idx, s, e, text, face) -> an event a row with its shots, times, texts in order without repeats, and face counts.
-
-    A shot belongs to the last segment that starts at or before it, so one sorted pass joins them.
-    """
+def assign_events(segments: DataFrame, shots: DataFrame, key: str) -> DataFrame:
+    """segments (key, event, first, last), shots (key, idx, ...) -> shots with their event: that of the last segment that starts at or before them, found by one sorted pass. Shots before the first segment go."""
     w = Window.partitionBy(key).orderBy("idx", "_p").rowsBetween(Window.unboundedPreceding, 0)
     marks = segments.select(key, F.col("first").alias("idx"), F.lit(0).alias("_p"), "event")
-    both = shots.withColumn("_p", F.lit(1)).unionByName(marks, allowMissingColumns=True).withColumn("event", F.last("event", ignorenulls=True).over(w)).where("_p = 1 and event is not null")
+    both = shots.withColumn("_p", F.lit(1)).unionByName(marks, allowMissingColumns=True).withColumn("event", F.last("event", ignorenulls=True).over(w))
+    return both.where("_p = 1 and event is not null").drop("_p")
+
+
+def build_events(segments: DataFrame, shots: DataFrame, key: str, ends: tuple[str, ...] = ()) -> DataFrame:
+    """segments (key, event, first, last), shots (key, idx, s, e, text, face) -> an event a row with its shots, times, texts in order without repeats, and face counts (by face, in its order; null if there is none).
+
+    ends: columns of shots whose value at an event's last shot is kept.
+    """
+    both = assign_events(segments, shots, key)
     texts = F.array_distinct(F.transform(F.array_sort(F.collect_list(F.when(F.col("text") != "", F.struct("idx", "text")))), lambda x: x["text"]))
-    rows = both.groupBy(key, "event").agg(F.min("s").alias("s"), F.max("e").alias("e"), F.count("*").alias("n_shots"), F.array_sort(F.collect_list("idx")).alias("shot_ids"), F.array_join(texts, " ").alias("text"))
-    faces = both.where("face is not null").groupBy(key, "event", "face").agg(F.count("*").alias("n")).groupBy(key, "event").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("face", "n")))).alias("face_counts"))
-    return rows.join(faces, [key, "event"], "left")
+    last = [F.max_by(c, "idx").alias(c) for c in ends]
+    rows = both.groupBy(key, "event").agg(F.min("s").alias("s"), F.max("e").alias("e"), F.count("*").alias("n_shots"), F.array_sort(F.collect_list("idx")).alias("shot_ids"), F.array_join(texts, " ").alias("text"), F.array_sort(F.collect_list("face")).alias("_f"), *last)
+    counts = F.transform(F.array_distinct("_f"), lambda f: F.struct(f, F.size(F.filter("_f", lambda x: x == f)).cast("long")))
+    return rows.withColumn("face_counts", F.when(F.size("_f") > 0, F.map_from_entries(counts))).drop("_f")
 
 
 def box_angle(x1: Column, y1: Column, x2: Column, y2: Column) -> Column:
@@ -179,10 +203,10 @@ def stable_faces(detections: DataFrame, key: list[str], least: int = 2) -> DataF
     return seen.groupBy(*key).agg(F.transform(pairs, lambda p: p["face"]).alias("face_ids"), F.map_from_entries(pairs).alias("face_counts"))
 
 
-def face_summary(shots: DataFrame, changes: DataFrame) -> DataFrame:
-    """shots (key.., face_ids or null) and changes (change, valid) -> one row: shots, with_faces, ratio, faces, boundaries, valid, mean_change over the valid ones."""
+def face_summary(shots: DataFrame, changes: DataFrame, detections: DataFrame) -> DataFrame:
+    """shots (key.., face_ids or null), changes (change, valid), detections (face: its cluster) -> one row: shots, with_faces, ratio, faces (all clusters, however rare), boundaries, valid, mean_change over the valid ones, valid_ratio."""
     a = shots.agg(F.count("*").alias("shots"), F.count_if(F.size("face_ids") > 0).alias("with_faces"))
-    faces = shots.select(F.explode("face_ids").alias("f")).agg(F.count_distinct("f").alias("faces"))
+    faces = detections.agg(F.count_distinct("face").alias("faces"))
     b = changes.agg(F.count("*").alias("boundaries"), F.count_if("valid").alias("valid"), F.avg(F.when(F.col("valid"), F.col("change"))).alias("mean_change"))
     both = a.crossJoin(faces).crossJoin(b)  # three tables of one row
     return both.withColumn("ratio", F.col("with_faces") / F.greatest(F.col("shots"), F.lit(1))).withColumn("valid_ratio", F.col("valid") / F.greatest(F.col("boundaries"), F.lit(1)))

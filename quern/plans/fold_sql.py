@@ -30,7 +30,7 @@ LOGOS = """WITH RECURSIVE u AS MATERIALIZED (SELECT user_id AS video, event_id /
 
 
 def chains(stages: int = 3, kinds: tuple[str, ...] = ("view", "click", "purchase")) -> str:
-    """Expressions `chains` (video, session, score, matched, skipped, chain) over `shots`: of each time the states of all stages, and each stage's best so far."""
+    """Expressions `chains` (video, session, score, matched, skipped, chain) over `shots`: of each time the states of all stages, and each stage's best so far; `g` is the best state of all."""
 
     def state(x: str, o: str, text: str, n: str, k: str) -> str:
         return f"{{'x': {x}, 'o': {o}, 'c': {text}, 'n': {n}, 'k': {k}}}"
@@ -38,7 +38,7 @@ def chains(stages: int = 3, kinds: tuple[str, ...] = ("view", "click", "purchase
     empty = state("0.0::DOUBLE", "-1::BIGINT", "''", "0::INT", "0::INT")
     best = ", ".join(f"coalesce(max(b.value) FILTER (b.kind = '{k}'), 0.0::DOUBLE) AS s{i}, arg_max(b.idx, (b.value, -b.idx)) FILTER (b.kind = '{k}') AS o{i}" for i, k in enumerate(kinds))
     held = ", ".join(f"{c}{i}" for c in "bt" for i in range(stages))
-    step = f"SELECT u.video, u.session, u.t, {held}, {', '.join(f's{i}, o{i}' for i in range(stages))} FROM k JOIN u ON u.video = k.video AND u.session = k.session AND u.t = k.t + 1"
+    step = f"SELECT u.video, u.session, u.t, {held}, g, {', '.join(f's{i}, o{i}' for i in range(stages))} FROM k JOIN u ON u.video = k.video AND u.session = k.session AND u.t = k.t + 1"
     for i in range(stages):
         here = f"'{i}:' || o{i}"
         rules = [(f"a{i}", f"CASE WHEN s{i} > 0 THEN {state(f's{i}', f'o{i}', here, '1::INT', '0::INT')} ELSE {empty} END"), (f"c{i}", f"CASE WHEN b{i}.x > a{i}.x THEN b{i} ELSE a{i} END")]
@@ -49,16 +49,17 @@ def chains(stages: int = 3, kinds: tuple[str, ...] = ("view", "click", "purchase
             rules.append((f"n{i}", f"CASE WHEN 0.7::DOUBLE * {over}.x > d{i}.x THEN {state(f'0.7::DOUBLE * {over}.x', f'{over}.o', f'{over}.c', f'{over}.n', f'{over}.k + 1::INT')} ELSE d{i} END"))
         else:
             rules.append(("n0", "c0"))
-        rules.append((f"m{i}", f"CASE WHEN n{i}.x > t{i}.x THEN n{i} ELSE t{i} END"))
+        last = f"g{i - 1}" if i else "g"
+        rules += [(f"m{i}", f"CASE WHEN n{i}.x > t{i}.x THEN n{i} ELSE t{i} END"), (f"g{i}", f"CASE WHEN n{i}.x > {last}.x THEN n{i} ELSE {last} END")]
         for name, rule in rules:
             step = f"SELECT *, {rule} AS {name} FROM ({step})"
     return f""", g AS (SELECT video, idx, s, value, kind, sum(CASE WHEN s - p > 24 THEN 1 ELSE 0 END) OVER (PARTITION BY video ORDER BY s)::BIGINT AS session FROM (SELECT *, lag(s) OVER (PARTITION BY video ORDER BY s) AS p FROM shots)),
   u AS MATERIALIZED (SELECT a.video, a.session, row_number() OVER (PARTITION BY a.video, a.session ORDER BY a.idx) AS t, {best}
     FROM g a LEFT JOIN g b ON a.video = b.video AND a.session = b.session AND abs(a.idx - b.idx) <= 3 AND b.value > 0 GROUP BY a.video, a.session, a.idx),
-  k AS (SELECT DISTINCT video, session, 0::BIGINT AS t, {", ".join(f"{empty} AS {c}{i}" for c in "bt" for i in range(stages))} FROM u UNION ALL
-    SELECT video, session, t, {", ".join(f"{c}{i}" for c in "nm" for i in range(stages))} FROM ({step})),
-  chains AS (SELECT k.video, k.session, round(t{stages - 1}.x, 6) AS score, t{stages - 1}.n AS matched, t{stages - 1}.k AS skipped, t{stages - 1}.c AS chain
-    FROM k JOIN (SELECT video, session, max(t) AS t FROM u GROUP BY ALL) z ON z.video = k.video AND z.session = k.session AND z.t = k.t WHERE t{stages - 1}.c <> '')"""
+  k AS (SELECT DISTINCT video, session, 0::BIGINT AS t, {", ".join(f"{empty} AS {c}{i}" for c in "bt" for i in range(stages))}, {empty} AS g FROM u UNION ALL
+    SELECT video, session, t, {", ".join(f"{c}{i}" for c in "nm" for i in range(stages))}, g{stages - 1} FROM ({step})),
+  chains AS (SELECT k.video, k.session, round(g.x, 6) AS score, g.n AS matched, g.k AS skipped, g.c AS chain
+    FROM k JOIN (SELECT video, session, max(t) AS t FROM u GROUP BY ALL) z ON z.video = k.video AND z.session = k.session AND z.t = k.t WHERE g.c <> '')"""
 
 
 def segments(boundaries: str, low: float = 3.0, high: float = 30.0) -> str:

@@ -157,7 +157,7 @@ def subtitle_change(spark, sf):
     + """, bo AS (SELECT u.video, u.idx, f.change AS fc, f.valid AS fv, u.change AS sc, u.valid AS sv FROM subtitle u JOIN face f ON u.video = f.video AND u.idx = f.idx),
   bn AS (SELECT *, CASE WHEN fv THEN (fc - min(fc) FILTER (fv) OVER v) / greatest(max(fc) FILTER (fv) OVER v - min(fc) FILTER (fv) OVER v, 1e-8::DOUBLE) ELSE 0.0::DOUBLE END AS fn,
     CASE WHEN sv THEN (sc - min(sc) FILTER (sv) OVER v) / greatest(max(sc) FILTER (sv) OVER v - min(sc) FILTER (sv) OVER v, 1e-8::DOUBLE) ELSE 0.0::DOUBLE END AS sn2 FROM bo WINDOW v AS (PARTITION BY video))
-  SELECT bn.video, bn.idx, round(fn, 5) AS face_norm, round(sn2, 4) AS subtitle_norm, round(CASE WHEN fv AND sv THEN (0.1::DOUBLE * fn + 0.4::DOUBLE * sn2) / 0.5::DOUBLE WHEN fv THEN fn WHEN sv THEN sn2 ELSE 0.0::DOUBLE END, 4) AS score, round(penalty, 6) AS penalty
+  SELECT bn.video, bn.idx, round(fn, 5) AS face_norm, round(sn2, 4) AS subtitle_norm, round(CASE WHEN fv AND sv THEN (0.15::DOUBLE * fn + 0.4::DOUBLE * sn2) / 0.55::DOUBLE WHEN fv THEN fn WHEN sv THEN sn2 ELSE 0.0::DOUBLE END, 4) AS score, round(penalty, 6) AS penalty
   FROM bn JOIN bridges b ON bn.video = b.video AND bn.idx = b.idx""",
     "shots",
     "subs",
@@ -166,7 +166,7 @@ def boundary_assembly(spark, sf):
     s = fx.shots(spark, sf)
     counts = s.groupBy("video", "idx", F.col("kind").alias("face")).agg(F.count("*").alias("n"))
     changes = {"face": boundary.face_change(counts, s.select("video", "idx"), "video"), "subtitle": boundary.subtitle_change(s, _told(spark, sf), "video")}
-    rows = boundary.boundary_rows(s, changes, intervals.bridge(s, fx.subtitles(spark, sf), "video"), "video", {"face": 0.1, "subtitle": 0.4})
+    rows = boundary.boundary_rows(s, changes, intervals.bridge(s, fx.subtitles(spark, sf), "video"), "video", {"face": 0.15, "subtitle": 0.4})
     return rows.select("video", "idx", F.round("face_norm", 5).alias("face_norm"), F.round("subtitle_norm", 4).alias("subtitle_norm"), F.round("score", 4).alias("score"), r6("penalty").alias("penalty"))
 
 
@@ -232,10 +232,15 @@ def equal_frame_sessions(spark, sf):
     return g.groupBy("video", "session").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
 
 
-@query("SELECT video, idx, greatest(0, least(floor(x * 2), 39))::BIGINT AS a, least(greatest(ceil((x + value / 10.0::DOUBLE) * 2), greatest(0, least(floor(x * 2), 39)) + 1), 40)::BIGINT AS b FROM (SELECT *, s - floor(s / 24) * 24 - 1 AS x FROM shots)", "shots")
+@query(
+    """, w AS (SELECT video, idx, least(greatest((x - 0.5::DOUBLE) / 20.0::DOUBLE, 0.0::DOUBLE), 1.0::DOUBLE) AS s, least(greatest((x + value / 10.0::DOUBLE - 0.5::DOUBLE) / 20.0::DOUBLE, 0.0::DOUBLE), 1.0::DOUBLE) AS e FROM (SELECT *, s - floor(s / 24) * 24 - 1 AS x FROM shots))
+  SELECT video, idx, a, least(greatest(ceil(e * 40)::BIGINT, a + 1), 40) AS b FROM (SELECT *, least(greatest(floor(s * 40)::BIGINT, 0), 39) AS a FROM w)""",
+    "shots",
+)
 def index_window(spark, sf):
+    """Windows in a sequence of 40 features over seconds 0.5 to 20.5."""
     x = F.col("s") - F.floor(F.col("s") / 24) * 24 - 1
-    w = shots.index_window(x, x + F.col("value") / 10.0, F.lit(2.0), F.lit(40))
+    w = shots.index_window(x, x + F.col("value") / 10.0, F.lit(0.5), F.lit(20.5), F.lit(40))
     return fx.shots(spark, sf).select("video", "idx", w["a"].alias("a"), w["b"].alias("b"))
 
 
@@ -266,7 +271,7 @@ def stable_faces(spark, sf):
 
 @query(
     """, g AS (SELECT video, idx // 6 AS part, kind, count(*) AS n FROM shots GROUP BY ALL), p AS (SELECT video, part, count(*) FILTER (n >= 2) AS f FROM g GROUP BY ALL)
-  SELECT (SELECT count(*) FROM p) AS shots, (SELECT count(*) FROM p WHERE f > 0) AS with_faces, (SELECT count(DISTINCT kind) FROM g WHERE n >= 2) AS faces,
+  SELECT (SELECT count(*) FROM p) AS shots, (SELECT count(*) FROM p WHERE f > 0) AS with_faces, round((SELECT count(*) FROM p WHERE f > 0) / (SELECT count(*) FROM p)::DOUBLE, 6) AS ratio, (SELECT count(DISTINCT kind) FROM g) AS faces,
     (SELECT count(*) FROM shots) AS boundaries, (SELECT count(*) FROM shots WHERE kind <> 'error') AS valid, (SELECT round(avg(value), 6) FROM shots WHERE kind <> 'error') AS mean_change""",
     "shots",
 )
@@ -274,8 +279,8 @@ def face_summary(spark, sf):
     s = fx.shots(spark, sf)
     parts = s.select("video", F.floor(F.col("idx") / 6).alias("part"), F.col("kind").alias("face"))
     faces = parts.select("video", "part").distinct().join(shots.stable_faces(parts, ["video", "part"], 2), ["video", "part"], "left")
-    out = shots.face_summary(faces, s.select(F.col("value").alias("change"), (F.col("kind") != "error").alias("valid")))
-    return out.select("shots", "with_faces", "faces", "boundaries", "valid", r6("mean_change").alias("mean_change"))
+    out = shots.face_summary(faces, s.select(F.col("value").alias("change"), (F.col("kind") != "error").alias("valid")), parts)
+    return out.select("shots", "with_faces", r6("ratio").alias("ratio"), "faces", "boundaries", "valid", r6("mean_change").alias("mean_change"))
 
 
 @query("SELECT doc_id AS video, doc_id IN (SELECT doc_id FROM labels) AS found FROM (SELECT DISTINCT doc_id FROM documents)")
@@ -340,14 +345,15 @@ def text_quality_score(spark, sf):
 
 
 @query(
-    """, r AS (SELECT video, CASE WHEN idx % 3 > 0 THEN idx END AS id, s, s + value - 20 AS e FROM shots)
-  SELECT video, coalesce(id, row_number() OVER (PARTITION BY video ORDER BY s, id NULLS FIRST) - 1) AS shot_id, round(s, 6) AS s, round(greatest(0.0::DOUBLE, e - s), 6) AS duration FROM r""",
+    """, r AS (SELECT video, CASE WHEN idx % 3 > 0 THEN idx + 1000 END AS id, max(idx) OVER (PARTITION BY video) - idx AS place, s, s + value - 20 AS e, CASE WHEN idx % 4 = 0 THEN value END AS d FROM shots)
+  SELECT video, coalesce(id, place) AS shot_id, round(s, 6) AS s, round(coalesce(d, greatest(0.0::DOUBLE, e - s)), 6) AS duration FROM r""",
     "shots",
 )
 def shot_normalise(spark, sf):
-    """Shots whose columns have other names, some without an id, some that end before they start."""
-    r = fx.shots(spark, sf).select("video", F.when(F.col("idx") % 3 > 0, F.col("idx")).alias("id"), F.col("s").alias("start"), (F.col("s") + F.col("value") - 20).alias("end"))
-    return shots.normalise(r, "video").select("video", "shot_id", r6("s").alias("s"), r6("duration").alias("duration"))
+    """Shots whose columns have other names, from lists in falling order: some without an id, some with a duration, some that end before they start."""
+    place = F.max("idx").over(Window.partitionBy("video")) - F.col("idx")
+    r = fx.shots(spark, sf).select("video", F.when(F.col("idx") % 3 > 0, F.col("idx") + 1000).alias("id"), place.alias("place"), F.col("s").alias("start"), (F.col("s") + F.col("value") - 20).alias("end"), F.when(F.col("idx") % 4 == 0, F.col("value")).alias("duration_sec"))
+    return shots.normalise(r, "video", "place").select("video", "shot_id", r6("s").alias("s"), r6("duration").alias("duration"))
 
 
 @query("SELECT video, idx, round(least(greatest(idx * 7 - 5, 0), 499) / 25.0::DOUBLE, 3) AS s, round((least(greatest(idx * 7 + floor(value)::BIGINT, 0), 499) + 1) / 25.0::DOUBLE, 3) AS e FROM shots", "shots")
@@ -358,7 +364,8 @@ def frame_times(spark, sf):
 
 @query(
     """, r AS (SELECT video, idx, idx - 2 AS a, idx + floor(value / 10)::BIGINT - 5 AS b FROM shots),
-  l AS (SELECT video, idx, CASE WHEN b >= a THEN list_distinct(list_transform(generate_series(a, b, 3), lambda f: least(greatest(f, 0), 39))) ELSE [(least(greatest(a, 0), 39) + least(greatest(b, 0), 39)) // 2] END AS f FROM r)
+  v AS (SELECT video, idx, a, b, list_filter(generate_series(a, b, 3), lambda f: f BETWEEN 0 AND 39) AS g FROM r),
+  l AS (SELECT video, idx, CASE WHEN len(g) > 0 THEN g ELSE [least(greatest(floor((a + b) / 2.0::DOUBLE)::BIGINT, 0), 39)] END AS f FROM v)
   SELECT video, idx, len(f) AS n, list_sum(f)::BIGINT AS total FROM l""",
     "shots",
 )

@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.operators import pooling, search, stages
+from quern.operators import evaluate, search, stages
 from quern.plans import fold_sql
 from quern.plans.queries import BM25, DOT, query, r6
-from quern.plans.retrieval import HITS, _edges, _event_edges, _hierarchy, _pool_hits, _shot_edges  # noqa: F401
+from quern.plans.retrieval import HITS, _event_edges, _hierarchy, _pool_hits, _shot_edges
 from quern.sources import tables as src
 
 # keyframes: fifty vectors a video; a stage asks by vectors (text, image) and by BM25 (OCR texts at keyframes, subtitles over ranges)
@@ -103,6 +103,28 @@ def keyframe_temporal_search(spark, sf):
     return _keyframe_chains(spark, sf).select("query_id", "video", r6("score").alias("score"), "matched", "skipped", hops.alias("chain"), r6(total).alias("total"), "rank")
 
 
+@query(
+    KEYFRAME_CHAINS
+    + """, hp AS (SELECT query_id, rank, video, CASE WHEN query_id // 100 % 4 = 0 THEN true ELSE false END AS single, min(p) AS lo, max(p) AS hi FROM (SELECT *, split_part(unnest(string_split(chain, '>')), ':', 2)::BIGINT AS p FROM best) GROUP BY ALL),
+  tm AS (SELECT query_id, rank, video, single, fps, lo / fps AS s, hi / fps AS e FROM (SELECT *, CASE WHEN video % 7 <> 6 THEN (25 + video % 3)::DOUBLE END AS fps FROM hp)),
+  rk AS (SELECT query_id, min(rank) AS video_rank, min(rank) FILTER (CASE WHEN single THEN s BETWEEN 4 AND 30 ELSE least(e, 30.0::DOUBLE) > greatest(s, 4.0::DOUBLE) END) AS first
+    FROM tm WHERE (single OR fps IS NOT NULL) AND video = query_id // 50 + query_id // 100 % 2 GROUP BY ALL)
+  SELECT query_id, video_rank, first FROM asks LEFT JOIN rk USING (query_id)"""
+)
+def keyframe_evaluation(spark, sf):
+    """The search's results as the JSON that its evaluator reads, with frame rates of most videos, against a truth of one interval a query."""
+    hop = lambda h: F.concat(F.lit('[["'), F.col("video").cast("string"), F.lit('",'), h["place"].cast("string"), F.lit("],"))
+    single = F.concat(hop(F.col("chain")[0]), F.col("score").cast("string"), F.lit("]"))
+    chain = F.concat(F.lit("["), F.array_join(F.transform("chain", lambda h: F.concat(hop(h), F.lit("[[],"), F.col("score").cast("string"), F.lit(","), h["stage"].cast("string"), F.lit("]]"))), ","), F.lit("]"))
+    found = _keyframe_chains(spark, sf).join(_asks(spark, sf), "query_id")
+    rows = found.select("query_id", "rank", F.when(F.col("n") == 1, "single-stage").otherwise("multi-stage").alias("mode"), F.when(F.col("n") == 1, single).otherwise(chain).alias("result"))
+    videos = src.table(spark, sf, "embeddings").select(F.floor(F.col("vec_id") / 50).alias("video")).distinct().where("video % 7 <> 6")
+    fps = evaluate.fps_map(videos.select(F.to_json(F.create_map(F.col("video").cast("string"), (25 + F.col("video") % 3).cast("double"))).alias("body")))
+    q = F.col("query_id")
+    truth = _asks(spark, sf).select("query_id", (F.floor(q / 50) + F.floor(q / 100) % 2).alias("video"), F.lit(4.0).alias("s"), F.lit(30.0).alias("e"))
+    return evaluate.keyframe_ranks(rows, fps, truth).select("query_id", F.col("video_rank").cast("long").alias("video_rank"), F.col("first").cast("long").alias("first"))
+
+
 # pooling search with chains of shots: a query has two or three stages, each a vector and a share of its texts' hits
 
 

@@ -63,7 +63,7 @@ def plain_chain(score, order, gap, skip):
             options.append((skip * best[u, s - 1], last[u, s - 1]))
         value = max(o[0] for o in options)
         best[t, s], last[t, s] = next(o for o in options if o[0] == value)
-    return best[:, -1].max() if n else 0.0
+    return best.max() if n else 0.0
 
 
 @pytest.mark.parametrize("seed", range(40))

@@ -83,7 +83,7 @@ def test_metrics(spark):
 
 def test_shots_and_stages(spark):
     raw = spark.createDataFrame([("v", 4.0, 2.0), ("v", 0.0, 4.0)], "video string, start double, end_time double")
-    assert rows(shots.normalise(raw, "video")) == [("v", 0, 0.0, 4.0, 4.0), ("v", 1, 4.0, 2.0, 0.0)]
+    assert rows(shots.normalise(raw, "video").select("video", "shot_id", "s", "e", "duration")) == [("v", 0, 0.0, 4.0, 4.0), ("v", 1, 4.0, 2.0, 0.0)]
     st = spark.createDataFrame([(1, 0, " a ", "", None), (1, 1, "a", None, None), (1, 2, " ", "", ""), (1, 3, "b", "", None)], "query_id long, stage long, visual string, ocr string, subtitle string")
     assert rows(shots.clean_stages(st).select("stage", "visual")) == [(0, "a"), (1, "b")]
     boxes = spark.createDataFrame([(1, 1, 10.0, y, 20.0, y + 5, 0.0, "hello there", 0.9) for y in (80.0, 85.0, 90.0)] + [(1, 1, 10.0, 80.0, 20.0, 85.0, 0.0, "日本語", 0.4)], "video long, frame long, x1 double, y1 double, x2 double, y2 double, angle double, text string, score double")

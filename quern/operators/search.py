@@ -65,6 +65,57 @@ def knn(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     return out
 
 
+def model_knn(vectors: DataFrame, queries: DataFrame, models: list[str], k: int) -> DataFrame:
+    """vectors (item_id and a vector a model, null: none), queries (query_id, model, emb) -> query_id, channel (the model), item_id, score, rank: exact top k of each model, by one scan for all of them.
+
+    A task scores its batch's vectors of each model against that model's queries and keeps each one's best. Queries are
+    broadcast in blocks of QUERIES, over all models.
+    """
+    spark = vectors.sparkSession
+    w = Window.partitionBy("query_id", "channel").orderBy(F.desc("score"), "item_id")
+
+    def block(asked: list) -> DataFrame:
+        by = {m: ([r[0] for r in asked if r[1] == m], np.array([r[2] for r in asked if r[1] == m], np.float64)) for m in models}
+        sent = spark.sparkContext.broadcast({m: (np.array(ids), q) for m, (ids, q) in by.items() if ids})
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for m, (keys, q) in sent.value.items():
+                    column = batch.column(1 + models.index(m))
+                    live = np.nonzero(np.asarray(column.is_valid()))[0]
+                    items = np.asarray(batch.column(0))[live]
+                    x = np.asarray(column.drop_null().flatten(), np.float64).reshape(len(items), -1)
+                    for at in range(0, len(items), ITEMS):
+                        some = items[at : at + ITEMS]
+                        s = x[at : at + ITEMS] @ q.T
+                        row, who = best_of(s, some, k)
+                        yield pa.record_batch([pa.array(keys[who]), pa.array([m] * len(row), pa.string()), pa.array(some[row]), pa.array(s[row, who])], ["query_id", "channel", "item_id", "score"])
+
+        best = vectors.select(F.col("item_id").cast("long"), *models).mapInArrow(run, "query_id long, channel string, item_id long, score double")
+        return best.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+    out, held = None, []
+    for r in queries.where("emb is not null").where(F.col("model").isin(models)).select("query_id", "model", "emb").toLocalIterator():
+        held.append(r)
+        if len(held) == QUERIES:
+            out, held = block(held) if out is None else out.unionByName(block(held)), []
+    if held or out is None:
+        out = block(held) if out is None else out.unionByName(block(held))
+    return out
+
+
+def model_fusion(hits: DataFrame, models: list[str], k: int, beta: float = 0.5) -> DataFrame:
+    """model_knn()'s rows -> query_id, item_id, fused, rank: exp(-beta * rank0 / k) of each model, rank 2k where one misses an item; models * product / sum. With one model, its own order and scores."""
+    w = Window.partitionBy("query_id").orderBy(F.round("fused", 9).desc(), "item_id")
+    if len(models) == 1:
+        return hits.select("query_id", "item_id", F.col("score").alias("fused")).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    own = F.exp(-beta * (F.col("rank") - 1) / float(k))
+    by = hits.groupBy("query_id", "item_id").agg(F.map_from_entries(F.collect_list(F.struct("channel", own))).alias("_m"))
+    scores = F.array(*(F.coalesce(F.col("_m")[m], F.exp(F.lit(-beta * 2.0))) for m in models))
+    fused = by.select("query_id", "item_id", scores.alias("_s")).withColumn("fused", len(models) * F.aggregate("_s", F.lit(1.0), lambda a, x: a * x) / F.aggregate("_s", F.lit(0.0), lambda a, x: a + x)).drop("_s")
+    return fused.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
 def subset_knn(vectors: DataFrame, queries: DataFrame, allowed: DataFrame, k: int) -> DataFrame:
     """kNN among the allowed item_ids."""
     return knn(vectors.join(allowed.select("item_id").distinct(), "item_id", "left_semi"), queries, k)

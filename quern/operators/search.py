@@ -190,6 +190,11 @@ def rrf(rank: Column, weight: Column | float = 1.0, k: float = 60.0) -> Column:
     return (F.lit(weight) if isinstance(weight, (int, float)) else weight) / (F.lit(float(k)) + F.greatest(rank, F.lit(1)))
 
 
+def server_score(score: Column, rank: Column, k: int) -> Column:
+    """A server's own score; where it gives none, its order: max(k - rank + 1, 1) / max(k, 1)."""
+    return F.coalesce(score, F.greatest(k - rank + 1, F.lit(1)) / float(max(k, 1)))
+
+
 def accumulate(hits: DataFrame, key: list[str], weights: dict[str, float], edge: Column | float = 1.0) -> DataFrame:
     """Sums weighted reciprocal ranks of channels by item, with the evidence by channel.
 

@@ -23,14 +23,15 @@ def read_items(spark: SparkSession, path: str, schema: str, ids: list[str] | Non
     return wanted.join(rows.withColumn("_there", F.lit(True)), "video_id", "left").where(F.when(F.col("_there").isNull(), missing.cast("boolean")).otherwise(True)).drop("_there")
 
 
-def read_media(spark: SparkSession, path: str, first: int | None = None, last: int | None = None) -> DataFrame:
-    """Video files by name: path, video_id, length; an inclusive slice of the sorted list, if asked for."""
-    from pyspark.sql import Window
+def read_media(spark: SparkSession, path: str, first: int | None = None, last: int | None = None, ids: list[str] | None = None) -> DataFrame:
+    """Video files by name: path, video_id, length; those of the ids (a missing one raises), or an inclusive slice of the sorted list, if asked for."""
+    from quern.sources.ordinals import dense_ordinals
 
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.mp4").load(path)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.mp4").load([f"{path}/{i}.mp4" for i in ids] if ids else path)
     rows = files.select("path", F.regexp_extract("path", r"([^/]+)\.mp4$", 1).alias("video_id"), "length")
-    rows = rows.withColumn("i", F.row_number().over(Window.orderBy("video_id")) - 1)
-    return rows.where(F.col("i").between(first or 0, last if last is not None else (1 << 31) - 1)).drop("i")
+    if first is None and last is None:
+        return rows
+    return dense_ordinals(rows, ["video_id", "path"], "_i").where(F.col("_i").between(first or 0, last if last is not None else 1 << 62)).drop("_i")
 
 
 def text_items(rows: DataFrame) -> DataFrame:
@@ -114,10 +115,13 @@ def vector_store(vectors: DataFrame, path: str, metric: str = "ip") -> None:
 
 
 def load_vectors(spark: SparkSession, path: str) -> DataFrame:
-    """vector_store()'s vectors; a store whose rows don't agree with its config raises when read."""
+    """vector_store()'s vectors; a store with another number of rows than its config says raises, and a vector of another length does when read."""
     config = spark.read.schema("rows long, dim int, metric string").json(f"{path}/config").first()
     bad = F.raise_error(F.lit(f"a vector isn't of length {config['dim']}")).cast("boolean")
-    return spark.read.parquet(f"{path}/vectors").where(F.when(F.size("emb") == config["dim"], True).otherwise(bad))
+    vectors = spark.read.parquet(f"{path}/vectors")
+    if vectors.count() != config["rows"]:  # from the files' footers
+        raise ValueError(f"{path} hasn't got the {config['rows']} vectors that were written")
+    return vectors.where(F.when(F.size("emb") == config["dim"], True).otherwise(bad))
 
 
 def register(stores: dict[str, DataFrame]) -> None:
@@ -146,6 +150,19 @@ def debug_boundaries(rows: DataFrame, subtitles: DataFrame, key: str, width: int
     return rows.join(told, [key, "idx"]).withColumns({"left_text": F.left(F.array_join("l", " "), F.lit(most)), "right_text": F.left(F.array_join("r", " "), F.lit(most)), "left_items": F.size("l"), "right_items": F.size("r")}).drop("l", "r")
 
 
+def with_translations(items: DataFrame, cache: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """items (key columns, caption, translated or null), cache (caption, translated) -> items with `translated` from themselves, else from the cache, and `cached`; and the distinct captions that are still to be translated.
+
+    Captions are compared trimmed; blank ones need no translation. The first translation of a caption in the order of texts counts.
+    """
+    columns = [c for c in items.columns if c not in ("caption", "translated")]
+    blank = lambda c: F.nullif(F.trim(F.coalesce(c, F.lit(""))), F.lit(""))
+    known = cache.select(F.trim("caption").alias("caption"), blank(F.col("translated")).alias("_c")).where("_c is not null").groupBy("caption").agg(F.min("_c").alias("_c"))
+    rows = items.select(*columns, F.trim(F.coalesce("caption", F.lit(""))).alias("caption"), blank(F.col("translated")).alias("_own")).join(known, "caption", "left")
+    out = rows.select(*columns, "caption", F.coalesce("_own", F.when(F.col("caption") != "", F.col("_c"))).alias("translated"), (F.col("_own").isNull() & F.col("_c").isNotNull() & (F.col("caption") != "")).alias("cached"))
+    return out, out.where("translated is null and caption <> ''").select("caption").distinct()
+
+
 def get_many(store: DataFrame, asked: DataFrame, key: str = "item_id") -> DataFrame:
     """Metadata of the ids asked for (key, place): a row each, with nulls where the store has none."""
     return asked.select(key, "place").join(store, key, "left")

@@ -137,4 +137,69 @@ VARIED = [
         [("<html><body>", None), *[(f"<div>{prose(n)}</div>", 1) for n in sizes()], ("</body></html>", None)],
     )
 ]
-PAGES = [*MARKED, *PLAIN, *VARIED, *(unnamed(p) for p in MARKED[:2] + MARKED[4:5])]
+
+
+# menus, footers and adverts made of links in other ways than lists
+
+
+def linked(n: int, style: str) -> list[tuple[str, int]]:
+    """n links as blocks of one tag, or side by side in one block, with or without space between."""
+    each = [f'<a href="/{i}">{prose(1 + (i * 3 + n) % 5)}</a>' for i in range(n)]
+    if style in ("p", "div", "li", "span"):
+        return [(f"<{style}>{a}</{style}>", 0) for a in each] if style != "span" else [("".join(f"<span>{a}</span> " for a in each), 0)]
+    return [({"bare": " ", "tight": "", "bars": " | "}[style].join(each), 0)]
+
+
+STYLES = ("li", "p", "div", "span", "bare", "tight", "bars")
+
+
+def any_style() -> str:
+    return RANDOM.choice(STYLES)
+
+
+def around(tag: str, inner: list[tuple[str, int | None]], name: str = "") -> list[tuple[str, int | None]]:
+    return boxed(f'<{tag} class="{name}">' if name else f"<{tag}>", inner, f"</{tag}>")
+
+
+def own_links() -> list[tuple[str, int]]:
+    """A link of the text itself, with a paragraph before it."""
+    return [*paragraphs(few()), (f'<p><a href="/y">{prose(RANDOM.randrange(1, 7))}</a></p>', 1), *paragraphs(few())] if RANDOM.random() < 0.5 else []
+
+
+def listed() -> list[tuple[str, int | None]]:
+    return LIST if RANDOM.random() < 0.3 else []
+
+
+def bare_story() -> list[tuple[str, int | None]]:
+    """Text of a container, without paragraphs."""
+    return boxed("<div>", [(prose(RANDOM.choice((12, 20, 30, 45, 90, 160))), 1)], "</div>")
+
+
+def titled(*inner: list[tuple[str, int | None]], tag: str = "article") -> list[tuple[str, int | None]]:
+    """An article whose heading has any length, or is missing."""
+    heading = [(f"<h1>{prose(RANDOM.randrange(1, 26))}</h1>", 1)] if RANDOM.random() < 0.7 else []
+    return boxed(f"<{tag}>", [*heading, *[x for part in inner for x in part]], f"</{tag}>")
+
+
+def long_sizes() -> list[int]:
+    return [RANDOM.choice((3, 40, 90, 200, 400)) for _ in range(RANDOM.randrange(1, 5))]
+
+
+LINKS = [
+    p
+    for _ in range(40)
+    for p in (
+        page(around("nav", linked(RANDOM.randrange(1, 9), any_style())), titled(paragraphs(*sizes(), *long_sizes())), around("footer", [(prose(few()), 0)])),
+        page(around("nav", linked(RANDOM.randrange(1, 9), any_style())), around("div", [(prose(few()), 0)], "ad"), titled(paragraphs(*long_sizes()), own_links(), listed(), paragraphs(*sizes())), around("footer", linked(3, any_style()))),
+        page(around("div", linked(RANDOM.randrange(2, 9), any_style())), titled(paragraphs(*long_sizes(), *sizes()), tag="div"), around("div", linked(RANDOM.randrange(1, 5), any_style()))),
+        page(around("div", linked(RANDOM.randrange(2, 9), any_style())), around("div", linked(1, any_style()), "ad"), titled(paragraphs(*long_sizes())), around("div", linked(1, any_style()), "promo"), around("div", linked(3, any_style()), "legal")),
+        page(around("nav", linked(RANDOM.randrange(1, 9), any_style())), around("div", linked(1, any_style()), "ad"), article(paragraphs(*sizes()), own_links(), listed()), around("footer", linked(RANDOM.randrange(1, 5), any_style()))),
+        page(around("div", linked(RANDOM.randrange(2, 9), any_style()), "breadcrumb"), article(paragraphs(*sizes()), around("div", linked(2, any_style()), "ad"), paragraphs(*sizes()), own_links()), around("aside", linked(4, any_style())), around("footer", [("<p>&copy; example</p>", 0), *linked(2, any_style())])),
+        page(around("div", linked(RANDOM.randrange(2, 9), any_style())), story(few(), *sizes(), few()), around("div", linked(RANDOM.randrange(2, 6), any_style()))),
+        page(around("div", linked(RANDOM.randrange(3, 9), any_style())), bare(RANDOM.randrange(3, 25)), boxed("<div>", [("<h1>A quiet morning</h1>", 1), *paragraphs(few(), *sizes()), *own_links()], "</div>"), bare(RANDOM.randrange(3, 25))),
+        page(around("div", linked(RANDOM.randrange(3, 9), any_style())), bare_story()),
+        page(around("nav", linked(RANDOM.randrange(3, 9), any_style())), bare_story(), around("footer", [(prose(few()), 0)])),
+        page(boxed(RANDOM.choice(('<div class="layout sidebar-left">', '<div class="main-content form">', "<form>", '<div class="page no-header">')), [*around("nav", linked(5, any_style())), *article(paragraphs(few(), *sizes())), *around("footer", [(prose(few()), 0)])], RANDOM.choice(("</div>", "</form>")))),
+    )
+]
+PAGES = [*MARKED, *PLAIN, *VARIED, *LINKS, *(unnamed(p) for p in MARKED[:2] + MARKED[4:5])]

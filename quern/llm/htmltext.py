@@ -1,12 +1,14 @@
 """Main text of HTML pages from flat text blocks and a decision tree.
 
 A page is cut into flat blocks. A block has its words and link density, those
-of the blocks before and after it, whether it is a heading, an item or bare
-text of a container, whether most of the page's words aren't bare, and
-whether it lies in an article or in a box that tags or names tell. A decision
+of the blocks before and after it, its share of the page's words outside
+links, whether it is a heading, an item or bare text of a container, whether
+most of those words aren't bare, and whether it lies in an article or in a box
+that tags or names tell. A decision
 tree, grown here on a small table of labelled blocks, tells main text from
-the rest. Half of the labelled pages are made of plain containers without
-names, so the tree works where pages tell nothing by their markup.
+the rest. Many of the labelled pages are made of plain containers without
+names, and their menus of links in lists, paragraphs or none of both, so the
+tree works where pages tell nothing by their markup.
 
 Defined results: a null or empty page, or one without main text, gives the
 empty text; unclosed comments, scripts and tags run to the page's end; a line
@@ -52,9 +54,10 @@ BY_WORD = {
     **dict.fromkeys("notice cookie cookies consent gdpr popup modal alert overlay".split(), "notice"),
 }
 ATTRIBUTE = re.compile(r"""\b(?:class|id|role|aria-label)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
+WORD = re.compile(r"\S+")
 #: A name that begins so tells what an element has or hides, not what it is.
 QUALIFIERS = frozenset("has no not with without is in show hide hidden enable disable open close".split())
-NAMES = ("words", "links", "words_before", "links_before", "words_after", "links_after", "heading", "item", "bare", "tagged", "article", "has_article", "boxed")
+NAMES = ("words", "links", "words_before", "links_before", "words_after", "links_after", "heading", "item", "bare", "tagged", "article", "has_article", "boxed", "share")
 
 
 def named(value: str) -> str | None:
@@ -74,32 +77,63 @@ def zone_of(tag: str, attributes: str) -> str | None:
     return min(found, key=lambda z: z == "article", default=None)
 
 
+def linked_words(raw: str, spans: list[tuple[int, int]]) -> tuple[int, int]:
+    """Words of a block as it stands in the page, and how many of them begin in a link."""
+    starts = np.array([m.start() for m in WORD.finditer(raw)], np.int64)
+    inside = np.zeros(len(starts), bool)
+    for a, b in spans:
+        inside |= (starts >= a) & (starts < b)
+    return len(starts), int(inside.sum())
+
+
+class Zone:
+    """A container that its tag or names give a part of the page, with the words in it and those of them that aren't links."""
+
+    def __init__(self, kind: str):
+        self.kind, self.words, self.text, self.whole = kind, 0, 0, False
+
+
 def flat_blocks(page: str) -> tuple[list[str], np.ndarray]:
-    """Texts of the blocks in page order, and a row of features for each."""
-    texts, rows = [], []
-    stack: list[tuple[str, str | None]] = []
+    """Texts of the blocks in page order, and a row of features for each.
+
+    A box that holds the article isn't one, whatever it is called: a zone with more than half of the page's words outside
+    links is no box if an article or the page's first heading begins in it, or if it holds four fifths of them.
+    """
+    texts, rows, zones = [], [], []
+    stack: list[tuple[str, Zone | None]] = []
     opened: dict[str, int] = {}
-    articles = boxes = 0
+    around: list[Zone] = []
     parts: list[str] = []
-    linked = heading = item = plain = 0
-    in_link = False
+    spans: list[tuple[int, int]] = []
+    size = heading = item = plain = 0
+    in_link = titled = False
 
     def flush() -> None:
-        nonlocal linked
+        nonlocal size
         words = html.unescape("".join(parts)).split() if parts else ()
         if words:
+            seen, linked = linked_words("".join(parts), spans) if spans else (len(words), 0)
             texts.append(" ".join(words))
-            rows.append([len(words), min(1.0, linked / len(words)), 0, 0, 0, 0, heading, item, not plain, 0, articles > 0, 0, boxes > 0])
+            rows.append([len(words), linked / max(1, seen), 0, 0, 0, 0, heading, item, not plain, 0, 0, 0, 0, 0])
+            zones.append(tuple(around))
+            for zone in around:
+                zone.words += len(words)
+                zone.text += len(words) - min(linked, len(words))
         parts.clear()
-        linked = 0
+        spans.clear()
+        size = 0
+
+    def add(piece: str) -> None:
+        nonlocal size
+        parts.append(piece)
+        if in_link:
+            spans.append((size, size + len(piece)))
+        size += len(piece)
 
     at = 0
     for m in MARKUP.finditer(page):
         if m.start() > at:
-            piece = page[at : m.start()]
-            parts.append(piece)
-            if in_link:
-                linked += len(piece.split())
+            add(page[at : m.start()])
         at = m.end()
         tag = (m[3] or "").lower()
         if not tag:
@@ -109,7 +143,7 @@ def flat_blocks(page: str) -> tuple[list[str], np.ndarray]:
             if tag == "a":
                 in_link = not closes
             elif tag == "br":
-                parts.append(" ")
+                add(" ")
             continue
         flush()
         in_link = False
@@ -117,38 +151,50 @@ def flat_blocks(page: str) -> tuple[list[str], np.ndarray]:
             heading = item = plain = 0
             if not closes:
                 if not m[4].endswith("/"):
-                    zone = zone_of(tag, m[4])
+                    kind = zone_of(tag, m[4])
+                    zone = Zone(kind) if kind else None
+                    if kind == "article":
+                        for outer in around:
+                            outer.whole = True
                     stack.append((tag, zone))
                     opened[tag] = opened.get(tag, 0) + 1
-                    articles += zone == "article"
-                    boxes += zone not in (None, "article")
+                    if zone:
+                        around.append(zone)
             elif opened.get(tag):
                 t = None
                 while t != tag:
                     t, zone = stack.pop()
                     opened[t] -= 1
-                    articles -= zone == "article"
-                    boxes -= zone not in (None, "article")
+                    if zone:
+                        around.pop()
         elif tag not in VOID:
             heading = int(not closes and len(tag) == 2 and tag[0] == "h" and tag[1].isdigit())
+            if heading and tag == "h1" and not titled:
+                titled = True
+                for outer in around:
+                    outer.whole = True
             item = int(not closes and tag in ("li", "dt", "dd", "option", "td", "th"))
             plain = int(not closes)
     if at < len(page):
-        parts.append(page[at:])
-        if in_link:
-            linked += len(page[at:].split())
+        add(page[at:])
     flush()
     x = np.array(rows, np.float64).reshape(len(rows), len(NAMES))
+    text = x[:, 0] * (1 - x[:, 1])
+    total = text.sum()
+    box = lambda z: z.kind != "article" and not (2 * z.text > total and (z.whole or 5 * z.text >= 4 * total))
+    x[:, 10] = [any(z.kind == "article" for z in around) for around in zones]
+    x[:, 12] = [any(box(z) for z in around) for around in zones]
     x[1:, 2:4], x[:-1, 4:6] = x[:-1, :2], x[1:, :2]
-    x[:, 9] = 2 * (x[:, 0] * (1 - x[:, 8])).sum() > x[:, 0].sum()
+    x[:, 9] = 2 * (text * (1 - x[:, 8])).sum() > total
     x[:, 11] = x[:, 10].any()
+    x[:, 13] = text / max(1, total)
     return texts, x
 
 
 class Tree:
     """A binary decision tree grown by Gini impurity on numeric features."""
 
-    def __init__(self, x: np.ndarray, y: np.ndarray, depth: int = 8, least: int = 4):
+    def __init__(self, x: np.ndarray, y: np.ndarray, depth: int = 10, least: int = 3):
         self.split = None
         self.label = bool(2 * y.sum() >= len(y))
         if depth == 0 or len(y) < 2 * least or y.all() or not y.any():

@@ -87,6 +87,64 @@ def test_html_without_zones():
     assert sum(a == b for a, b in zip(told, plain, strict=True)) >= 0.98 * len(pages)
 
 
+def changed_pages():
+    """Ways to write the same page: other markup for menus, no names, no tags that tell zones, wrappers whose names mean nothing."""
+    import re
+
+    names = lambda p: re.sub(r"(<[a-z0-9]+)[^>]*?\s(?:class|id)=[^>]*>", r"\1>", p)
+    zones = lambda p: re.sub(r"(</?)(?:article|nav|header|footer|aside|main)\b", r"\1div", p)
+    as_p = lambda p: re.sub(r"</?ul>", "", p.replace("<li>", "<p>").replace("</li>", "</p>"))
+    as_a = lambda p: re.sub(r"</?(?:li|ul)>", "", p)
+    wrap = lambda c: lambda p: p.replace("<body>", f'<body><div class="{c}">').replace("</body>", "</div></body>")
+    return {"p": as_p, "a": as_a, "names": names, "zones": zones, "all": lambda p: as_p(zones(names(p))), "bare": lambda p: as_a(zones(names(p))), "layout": wrap("layout sidebar-left"), "form": wrap("main-content form")}
+
+
+@pytest.mark.parametrize("change", changed_pages())
+def test_html_written_in_other_ways(change):
+    """The article as its markup tells it, by a plain reading, from pages that are written in other ways."""
+    import html
+    import re
+
+    import pyarrow.parquet as pq
+
+    pages = pq.read_table("/root/testdata/sf0.01/pages.parquet")["html"].to_pylist()
+    want = []
+    for p in pages:
+        body = re.search(r"<article>(.*?)</article>", p, re.S)[1]
+        blocks = [" ".join(html.unescape(re.sub("<[^>]*>", " ", b)).split()) for b in re.split(r"</?(?:p|h1)>", body)]
+        want.append("\n".join(b for b in blocks if b))
+    got = htmltext.extract([changed_pages()[change](p) for p in pages])
+    assert sum(a == b for a, b in zip(got, want, strict=True)) >= 0.98 * len(pages)
+
+
+LONG = " ".join(["word"] * 40)
+
+
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        ("<nav><a>Home</a> <a>World News</a></nav><article><p>%s</p></article>", "%s"),
+        ("<article><p>%s</p></article><footer><a>Privacy policy</a> <a>Terms of use</a></footer>", "%s"),
+        ('<div class="ad"><a>Buy cheap shoes now</a></div><article><p>%s</p></article>', "%s"),
+        ('<div class="breadcrumb"><a>Home</a> &gt; <a>Sea</a></div><article><p>%s</p></article>', "%s"),
+        ('<div class="page sidebar-left"><p>%s</p><p>Short one.</p></div>', "%s\nShort one."),
+        ('<div class="main-content form"><p>%s</p></div>', "%s"),
+        ('<div><ul><li><a href="/">Home</a></li><li><a href="/x">News</a></li></ul></div><div>%s</div>', "%s"),
+        ("<nav><a>Home</a><a>News</a></nav><div>%s</div>", "%s"),
+        ("<form><div><p>%s</p></div></form>", "%s"),
+        ("<article><p>%s</p><p><a>See the map</a></p><p>The end of it all is near.</p></article>", "%s\nSee the map\nThe end of it all is near."),
+        ('<article><p>%s</p></article><div id="comments"><p>' + LONG * 3 + "</p></div>", "%s"),
+    ],
+)
+def test_html_links_and_names(page, text):
+    assert htmltext.extract([page % LONG]) == [text % LONG]
+
+
+def test_link_density_counts_the_block_as_it_reads():
+    _, x = htmltext.flat_blocks("<p><a>Home</a><a>News</a> or <a>two words</a></p>")
+    assert x[0, 0] == 4 and x[0, 1] == 0.75
+
+
 @pytest.mark.parametrize("opening", ['<article class="post has-comments">', '<main class="site-main sidebar-right">', '<div class="entry social-post">', '<article aria-label="search results">'])
 def test_html_names_do_not_drop_an_article(opening):
     text = " ".join(["word"] * 40)

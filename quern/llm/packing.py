@@ -9,12 +9,14 @@ and write_buckets() stores each bucket in a folder of its own.
 Ids are those of the tokenizers library for a tokenizer file. Where the file
 is byte-level BPE with the common pattern and no other steps, tiktoken gives
 the same ids from the file's vocabulary, in a third of the time; any other
-file, and any text with a very long run of white space, is left to tokenizers.
+file, and any text with an added token or a very long run of white space, is
+left to tokenizers.
 
 Defined results: a null text is the empty text, which has the end id alone;
 repeated rows are packed each; an empty table gives no piece; extra columns
-are ignored, whatever their names; strings of special tokens in a text are
-ordinary text; ties don't occur.
+are ignored, whatever their names; the string of a token that the file adds to
+its vocabulary is that token, as the file's tokenizer has it; very long texts
+are encoded whole; ties don't occur.
 """
 
 from __future__ import annotations
@@ -74,7 +76,9 @@ class Encoder:
     def __init__(self, path: str, end_id: int):
         self.path, self.end = path, end_id
         with open(path, encoding="utf-8") as f:
-            ranks = byte_ranks(json.load(f))
+            file = json.load(f)
+        ranks = byte_ranks(file)
+        self.added = [t["content"] for t in file.get("added_tokens") or []]
         self.fast = None
         if ranks:
             import tiktoken
@@ -87,12 +91,10 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
-        found = Tokenizer.from_file(self.path)
-        found.encode_special_tokens = True
-        return found
+        return Tokenizer.from_file(self.path)
 
     def ids(self, text: str) -> list[int]:
-        if self.fast is not None and (len(text) < RUN or all(m.end() - m.start() < RUN for m in WHITE.finditer(text))):
+        if self.fast is not None and not any(token in text for token in self.added) and (len(text) < RUN or all(m.end() - m.start() < RUN for m in WHITE.finditer(text))):
             return self.fast.encode_ordinary(text)
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 

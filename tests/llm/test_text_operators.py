@@ -61,7 +61,6 @@ def test_packing_round_trip(docs, rows, spark):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     pieces = packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json")).collect()
     assert len({p["sequence_id"] for p in pieces}) == len(pieces) and {p["offset"] for p in pieces} == {0}
     by = collections.defaultdict(list)
@@ -83,7 +82,6 @@ def test_encoder_equals_the_tokenizer(text):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     found = next(packing.Encoder(public_tokenizers.path("byte_bpe_50k.json"), 1)([text]))
     assert np.frombuffer(found, "<u4").tolist() == [*t.encode(text, add_special_tokens=False).ids, 1]
 
@@ -93,7 +91,6 @@ def test_encoder_of_many_texts_keeps_their_order():
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     texts = ["a b", " a b", "", "b", "b  a", words(1, 90), "\x00 b \x00", "\u3000 a", "a\u3000b a", "a\nb a", "a \nb", "a ", words(2, 9)] * 3
     found = packing.Encoder(public_tokenizers.path("byte_bpe_50k.json"), 1)(texts)
     assert [np.frombuffer(f, "<u4").tolist() for f in found] == [[*t.encode(text, add_special_tokens=False).ids, 1] for text in texts]
@@ -116,7 +113,6 @@ def test_another_tokenizer_gets_whole_texts():
 
     path = public_tokenizers.path("word_bpe_49k.json")
     t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
     e = packing.Encoder(path, 7)
     assert e.fast is None
     for text in ("Two words, don't", "  a\n b", ""):

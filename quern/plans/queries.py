@@ -193,6 +193,32 @@ def hybrid_search(spark, sf):
     return _ranked(search.roll_up(parents, "parent", 10), "parent")
 
 
+@query(_knn_sql(10))
+def vec_knn_all(spark, sf):
+    v = _vectors(spark, sf)
+    return _ranked(search.knn(v, _asked(v), 10), "query_id", "item_id")
+
+
+@query(
+    f"""WITH {BM25}, asks AS (SELECT vec_id AS query_id, vec_id // 100 AS item FROM embeddings WHERE vec_id % 100 = 0),
+  lex AS (SELECT asks.query_id, doc_id AS item_id, row_number() OVER (PARTITION BY asks.query_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM scored JOIN asks ON scored.query_id = item WHERE score > 0 QUALIFY rank <= 200),
+  vec AS (SELECT q.vec_id AS query_id, v.vec_id AS item_id, row_number() OVER (PARTITION BY q.vec_id ORDER BY {DOT} DESC, v.vec_id) AS rank FROM embeddings q, embeddings v WHERE q.vec_id % 100 = 0 QUALIFY rank <= 200),
+  fused AS (SELECT query_id, item_id, sum(s) AS score FROM (SELECT query_id, item_id, 1.0::DOUBLE / (60.0::DOUBLE + rank) AS s FROM vec UNION ALL SELECT query_id, item_id, 0.6::DOUBLE / (60.0::DOUBLE + rank) FROM lex) GROUP BY ALL),
+  up AS (SELECT query_id, label::BIGINT AS parent, max(score) AS score FROM fused JOIN embeddings ON item_id = vec_id GROUP BY ALL)
+  SELECT query_id, parent, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, parent) AS rank FROM up QUALIFY rank <= 10"""
+)
+def hybrid_search_all(spark, sf):
+    """hybrid_search for every hundredth vector, each with a text of its own: one plan, one pass over the texts."""
+    v = _vectors(spark, sf)
+    texts = src.table(spark, sf, "benchmark").select((F.col("item_id") * 100).cast("long").alias("query_id"), "text")
+    asked = texts.join(_asked(v).select("query_id"), "query_id", "left_semi")
+    vec = search.knn(v, _asked(v), 200).select("query_id", "item_id", F.lit("vector").alias("channel"), "rank")
+    lex = search.bm25(src.table(spark, sf, "documents").select("doc_id", "text"), asked, 200).select("query_id", F.col("doc_id").alias("item_id"), F.lit("text").alias("channel"), "rank")
+    fused = search.accumulate(vec.unionByName(lex), ["query_id", "item_id"], {"vector": 1.0, "text": 0.6})
+    best = fused.join(v.select("item_id", F.col("label").cast("long").alias("parent")), "item_id").groupBy("query_id", "parent").agg(F.max("score").alias("score"))
+    return _ranked(pooling.ranked(best, "parent", most=10), "query_id", "parent")
+
+
 # pools
 
 

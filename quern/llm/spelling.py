@@ -213,7 +213,10 @@ def near_pairs(tree: Tree, points: np.ndarray, codes: np.ndarray, asked: np.ndar
 
 def upper_trees(found: DataFrame, total: int) -> dict[int, Tree]:
     """A tree for each length that fills more than a cell, fitted on at most SAMPLE words, by hash; its boxes are the regions, which hold words that the sample hasn't."""
-    sample = found.orderBy(F.xxhash64("word"), "word").limit(SAMPLE).select("word").collect()
+    some = found
+    if total > 4 * SAMPLE:  # by other bits of the hash than it is ordered by, so that partitions don't all send SAMPLE words to the driver
+        some = found.where(F.pmod(F.xxhash64("word"), F.lit(1 << 30)) < (4 * SAMPLE << 30) // total)
+    sample = some.orderBy(F.xxhash64("word"), "word").limit(SAMPLE).select("word").collect()
     by: dict[int, list[str]] = defaultdict(list)
     for r in sample:
         by[len(r[0])].append(r[0])

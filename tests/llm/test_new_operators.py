@@ -64,6 +64,8 @@ def spelled(spark, rows):
 def test_spelling_against_brute_force(spark, monkeypatch, cell, leaf):
     monkeypatch.setattr(spelling, "CELL", cell)
     monkeypatch.setattr(spelling, "LEAF", leaf)
+    if cell == 64:
+        monkeypatch.setattr(spelling, "SAMPLE", 40)
     rng = random.Random(3)
     base = ["".join(rng.choice("abcdeé×÷ÀZ") for _ in range(rng.randint(4, 9))) for _ in range(120)]
     rows = []

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quern.functions import text as tx
 from quern.functions import vectors as vx
-from quern.operators import boundary, evaluate, folds, intervals, pooling, search, shots
+from quern.operators import boundary, evaluate, folds, fuzzy, intervals, pooling, search, shots
 from quern.plans import fixtures as fx
 from quern.plans import fold_sql
 from quern.plans.fixtures import SQL as CTE
@@ -106,6 +106,13 @@ def fuzzy_topk(spark, sf):
     return _ranked(search.fuzzy_search(docs, b, 5, grams=5, recall=20), "query_id", "doc_id")
 
 
+@query()
+def fuzzy_documents(spark, sf):
+    """Every benchmark text whose id is divisible by 100 against all whole documents; a match has a score of 0.8 or more."""
+    asked = src.table(spark, sf, "benchmark").where("item_id % 100 = 0").select(F.col("item_id").alias("query_id"), "text")
+    return _ranked(fuzzy.fuzzy_best(src.table(spark, sf, "documents").select("doc_id", "text"), asked, 5, at_least=0.8), "query_id", "doc_id")
+
+
 EVENTS_W = {"click": 1.0, "view": 0.8, "signup": 0.6, "purchase": 0.4}
 CASE_E = "CASE channel WHEN 'click' THEN 1.0::DOUBLE WHEN 'view' THEN 0.8::DOUBLE WHEN 'signup' THEN 0.6::DOUBLE WHEN 'purchase' THEN 0.4::DOUBLE ELSE 0.0::DOUBLE END"
 

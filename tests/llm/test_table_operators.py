@@ -3,6 +3,7 @@
 import math
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -254,6 +255,25 @@ def test_recall_of_the_query(spark):
     assert len(want & found) / len(want) >= 0.95
 
 
+@pytest.mark.parametrize("factor", [0.2, 0.15])
+def test_recall_of_relaxed_factors(factor):
+    table = pq.read_table("/root/testdata/sf0.1/embeddings.parquet")
+    x, ids = np.stack(table["embedding"].to_pylist()).astype(float), np.array(table["vec_id"].to_pylist())
+    asked = np.nonzero(ids % 20 == 0)[0]
+    score = x[asked] @ x.T
+    score[np.arange(len(asked)), asked] = -np.inf
+    least = np.sort(score, 1)[:, -20]
+    work = {}
+    for f in (1.0, factor):
+        tree, seen = vptree.Tree(ids, x, (x * x).sum(1).max(), leaf=16), []
+        scan = tree._scan
+        tree._scan = lambda members, rows, seen=seen, scan=scan: (seen.append((members.stop - members.start) * len(rows)), scan(members, rows))
+        row, _, found = tree.search(x[asked], ids[asked], 20, f)
+        assert (found >= least[row] - 1e-9).sum() >= (1.0 if f == 1.0 else 0.9) * 20 * len(asked)
+        work[f] = sum(seen)
+    assert work[factor] < work[1.0]
+
+
 def search_all(vectors, shard, monkeypatch, spark):
     monkeypatch.setattr(vptree, "SHARD", shard)
     df = spark.createDataFrame([(i, [float(c) for c in v]) for i, v in vectors], "vec_id long, embedding array<float>").repartition(3)

@@ -162,9 +162,10 @@ def learn(labelled: DataFrame, docs_per_language: int = 300, chars: int = 100_00
     `chars` characters divided by the number of languages together. Texts that
     are longer than that alone come last, shortest first, and one is taken only
     where there is nothing else. Copies count once. Hashes above a threshold that leaves
-    about 16 times as many texts as are drawn are dropped before anything is
-    shuffled, which changes nothing in what is drawn but for a language
-    with few texts, where all stay.
+    about 32 times docs_per_language texts are dropped before anything is
+    shuffled; a language with fewer texts keeps all. That changes what is drawn
+    only where nearly all of a language's texts are longer than its share: then
+    shorter ones above the threshold aren't seen.
     """
     rows = labelled.where("lang is not null and text is not null and text rlike '\\\\p{L}'").select("lang", F.xxhash64("text", "lang").alias("h"), F.col("text").cast("string").alias("text"))
     sizes = rows.groupBy("lang").agg(F.approx_count_distinct("h").alias("texts"))

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,6 +15,7 @@ from quern.functions.text import TOKEN, fuzzy, ngrams_of, tokenize
 
 QUERIES = 4096  # queries whose vectors are broadcast at once
 ITEMS = 1024  # items whose scores a task holds at once
+PAIRS = 1 << 20  # scores of a term, a document and a query that a task holds at once
 
 
 def best_of(scores: np.ndarray, items: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -130,15 +133,88 @@ def term_stats(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def bm25(docs: DataFrame, queries: DataFrame, k: int, k1: float = 1.5, b: float = 0.75) -> DataFrame:
-    """queries (query_id, text): top k documents -> query_id, doc_id, score, rank. A query's repeated tokens count repeatedly.
+    """docs (doc_id, text) of unique ids, queries (query_id, text): top k documents -> query_id, doc_id, score, rank. A query's repeated tokens count repeatedly.
 
-    Only postings of query terms are shuffled to the join. Scores equal to nine
-    places tie, as sums over shuffled terms differ in their last bits.
+    Two scans for each block of QUERIES queries: the first counts the documents
+    of each query term, the second scores. A task scores its own documents
+    against all queries of the block and keeps each one's best k, so that
+    neither postings nor pairs of query and document are shuffled. Scores equal
+    to nine places tie, as sums differ in their last bits.
     """
-    asked = queries.select("query_id", F.explode(tokenize(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qf"))
-    postings, totals = term_stats(docs)
-    live = postings.join(asked.select("term").distinct(), "term", "left_semi")
-    return scored_postings(live, totals, asked, k, k1, b)
+    tokens = docs.select(F.col("doc_id").cast("long").alias("doc_id"), tokenize(F.col("text")).alias("t"))
+    spark, out, held = docs.sparkSession, None, []
+    for r in queries.select(F.col("query_id").cast("long").alias("query_id"), tokenize(F.col("text")).alias("t")).where("size(t) > 0").toLocalIterator():
+        held.append(r)
+        if len(held) == QUERIES:
+            out, held = _bm25_block(tokens, held, k, k1, b) if out is None else out.unionByName(_bm25_block(tokens, held, k, k1, b)), []
+    if held:
+        out = _bm25_block(tokens, held, k, k1, b) if out is None else out.unionByName(_bm25_block(tokens, held, k, k1, b))
+    return spark.createDataFrame([], "query_id long, doc_id long, score double, rank int") if out is None else out
+
+
+def _term_counts(tokens: pa.ListArray, terms: pa.Array) -> tuple[np.ndarray, ...]:
+    """Lists of tokens -> their lengths, and list, place in `terms` and count of each list's tokens that are among the terms."""
+    sizes = np.asarray(pc.fill_null(pc.list_value_length(tokens), 0)).astype(np.int64)
+    place = np.asarray(pc.fill_null(pc.index_in(tokens.flatten(), value_set=terms), -1)).astype(np.int64)
+    own = np.repeat(np.arange(len(sizes)), sizes)
+    keys, tf = np.unique((own * max(1, len(terms)) + place)[place >= 0], return_counts=True)
+    return sizes, keys // max(1, len(terms)), keys % max(1, len(terms)), tf
+
+
+def _bm25_block(tokens: DataFrame, asked: list, k: int, k1: float, b: float) -> DataFrame:
+    """bm25() for queries (query_id, t) held here; tokens (doc_id, t)."""
+    spark = tokens.sparkSession
+    names = sorted({t for r in asked for t in r["t"]})
+    place = {t: i for i, t in enumerate(names)}
+    uses = Counter((place[t], q) for q, r in enumerate(asked) for t in r["t"])
+    term, query, qf = np.array([(t, q, n) for (t, q), n in sorted(uses.items())], np.int64).T
+    first = np.searchsorted(term, np.arange(len(names) + 1))  # a term's queries
+    terms = spark.sparkContext.broadcast(names)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = pa.array(terms.value)
+        df = np.zeros(len(known) + 3, np.int64)  # then documents, those with a text, their tokens
+        for batch in batches:
+            sizes, _, found, _ = _term_counts(batch.column(0), known)
+            df += np.append(np.bincount(found, minlength=len(known)), [len(sizes), len(sizes) - batch.column(0).null_count, sizes.sum()])
+        live = np.nonzero(df)[0]
+        yield pa.record_batch([pa.array(live), pa.array(df[live])], ["term", "n"])
+
+    counted = tokens.select("t").mapInArrow(count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
+    df = np.zeros(len(names) + 3)
+    for r in counted.toLocalIterator():  # a row a query term
+        df[r["term"]] = r["n"]
+    df, (n, texts, length) = df[:-3], df[-3:]
+    idf = np.log(1 + (n - df + 0.5) / (df + 0.5))
+    sent = spark.sparkContext.broadcast((np.array([r["query_id"] for r in asked]), first, query, qf * idf[term], length / texts if length else 1.0))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = pa.array(terms.value)
+        ids, first, query, weight, mean = sent.value
+        for batch in batches:
+            for at in range(0, batch.num_rows, ITEMS):
+                part = batch.slice(at, ITEMS)
+                items = np.asarray(part.column(0))
+                sizes, doc, found, tf = _term_counts(part.column(1), known)
+                value = tf * (k1 + 1) / (tf + k1 * (1 - b + b * sizes[doc] / mean))
+                uses = first[found + 1] - first[found]
+                scores, ends = np.zeros(len(items) * len(ids)), np.cumsum(uses)
+                lo = 0
+                while lo < len(found):  # so many postings that their uses by queries are at most PAIRS, or one
+                    hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + PAIRS, side="right")))
+                    n = uses[lo:hi]
+                    which = np.repeat(first[found[lo:hi]] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+                    scores += np.bincount(np.repeat(doc[lo:hi], n) * len(ids) + query[which], np.repeat(value[lo:hi], n) * weight[which], len(scores))
+                    lo = hi
+                scores = scores.reshape(len(items), len(ids))
+                row, who = best_of(np.round(scores, 9), items, k)
+                live = scores[row, who] > 0
+                row, who = row[live], who[live]
+                yield pa.record_batch([pa.array(ids[who]), pa.array(items[row]), pa.array(scores[row, who])], ["query_id", "doc_id", "score"])
+
+    best = tokens.mapInArrow(run, "query_id long, doc_id long, score double")
+    w = Window.partitionBy("query_id").orderBy(F.round("score", 9).desc(), "doc_id")
+    return best.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
 def bm25_index(docs: DataFrame, path: str) -> None:

@@ -1,5 +1,8 @@
 """Edges of the joins, fusions, features and sources."""
 
+import math
+
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -136,3 +139,29 @@ def test_bm25_cuts_ties_by_id(spark):
     q = spark.createDataFrame([(0, "a")], "query_id long, text string")
     found = search.bm25(docs, q, 10, b=1e-12)  # scores differ beyond nine places alone, as by the order of sums
     assert [r["doc_id"] for r in found.orderBy("rank").collect()] == list(range(10))
+
+
+@pytest.mark.parametrize("small", [False, True])
+def test_bm25_against_the_formula(spark, monkeypatch, small):
+    if small:  # many blocks of queries, items and pairs
+        for name, value in (("QUERIES", 2), ("ITEMS", 3), ("PAIRS", 2)):
+            monkeypatch.setattr(search, name, value)
+    texts = ["red fox red", "", None, "blue fox", "red red red red", "fox", "blue", "red fox red", "green é", "fox blue red green"]
+    asked = {0: "red fox", 1: "red red", 2: "", 3: "unseen", 4: "É blue blue", 5: None, 6: "fox green red blue"}
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    queries = spark.createDataFrame(list(asked.items()), "query_id long, text string")
+    words = [t.split() if t is not None else None for t in texts]
+    mean = np.mean([len(w) for w in words if w is not None])
+    want = set()
+    for q, text in asked.items():
+        scores = {}
+        for d, w in enumerate(words):
+            for t in (text or "").lower().split():
+                if w and t in w:
+                    df = sum(t in (x or ()) for x in words)
+                    scores[d] = scores.get(d, 0) + math.log(1 + (len(texts) - df + 0.5) / (df + 0.5)) * w.count(t) * 2.5 / (w.count(t) + 1.5 * (0.25 + 0.75 * len(w) / mean))
+        best = sorted(scores, key=lambda d: (-round(scores[d], 9), d))[:4]
+        want |= {(q, d, round(scores[d], 6), i + 1) for i, d in enumerate(best)}
+    found = search.bm25(docs, queries, 4)
+    assert {(r["query_id"], r["doc_id"], round(r["score"], 6), r["rank"]) for r in found.collect()} == want
+    assert search.bm25(docs.limit(0), queries, 4).count() == search.bm25(docs, queries.limit(0), 4).count() == 0

@@ -317,18 +317,22 @@ def score_texts(docs: DataFrame, model: DataFrame, min_count: int = 1, most_word
         kind, part, least, steps = zip(*out, strict=True)
         return pa.table([pa.array([table["b"][0].as_py()] * len(out)), pa.array(kind), pa.array(part, pa.int32()), pa.array(least, pa.uint64()).view(pa.int64()), pa.array(steps, pa.binary())], ["b", "kind", "part", "least", "steps"])
 
+    answers_of = pa.schema([("b", pa.int64()), ("kind", pa.string()), ("least", pa.int64()), ("steps", pa.binary()), ("counts", pa.binary())])
+
     def keys_of(least: int, steps: bytes) -> np.ndarray:
         return np.cumsum(np.concatenate([np.array([least], np.int64).view(np.uint64), unpack_numbers(steps)]), dtype=np.uint64)
 
-    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for b, kind, least, steps, hashes, counts, bits in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                keys = keys_of(least, steps)
-                if kind == "words":
-                    got = Words(np.frombuffer(hashes, np.uint64), np.frombuffer(counts, np.uint64))(keys)
-                else:
-                    got = Filter([bits], min_count, 48).counts(keys)
-                yield pa.record_batch([pa.array([b]), pa.array([kind]), pa.array([least]), pa.array([steps], pa.binary()), pa.array([pack_numbers(got.astype(np.uint64))], pa.binary())], ["b", "kind", "least", "steps", "counts"])
+    def answer(table: pa.Table, held: pa.Table) -> pa.Table:
+        """All blocks' keys of a hash range, and the range (none: nothing is known there), which is loaded once for them."""
+        if table.num_rows == 0:
+            return answers_of.empty_table()
+        if table["kind"][0].as_py() == "words":
+            of = [np.frombuffer(held[c][0].as_py() if held.num_rows else b"", np.uint64) for c in ("hashes", "counts")]
+            known = Words(*of)
+        else:
+            known = Filter([held["filter"][0].as_py() if held.num_rows else bytes(8)], min_count, 48).counts
+        got = [pack_numbers(known(keys_of(a.as_py(), s.as_py())).astype(np.uint64)) for a, s in zip(table["least"], table["steps"], strict=True)]
+        return table.select(["b", "kind", "least", "steps"]).append_column("counts", pa.array(got, pa.binary())).cast(answers_of)
 
     def run_block(texts: pa.Table, answers: pa.Table) -> pa.Table:
         found = {}
@@ -341,8 +345,7 @@ def score_texts(docs: DataFrame, model: DataFrame, min_count: int = 1, most_word
         return pa.Table.from_batches([scored(texts["doc_id"].combine_chunks(), texts["text"].combine_chunks(), Words(*found["words"]), bloom)])
 
     asked = rows.groupBy("b").applyInArrow(ask, "b long, kind string, part int, least long, steps binary")
-    answers = asked.join(model.select("kind", "part", "hashes", "counts", "filter"), ["kind", "part"], "left").select("b", "kind", "least", "steps", F.coalesce("hashes", F.lit(b"")).alias("hashes"), F.coalesce("counts", F.lit(b"")).alias("counts"), F.coalesce("filter", F.lit(bytes(8))).alias("filter"))
-    answers = answers.mapInArrow(answer, "b long, kind string, least long, steps binary, counts binary")
+    answers = asked.groupBy("kind", "part").cogroup(model.select("kind", "part", "hashes", "counts", "filter").groupBy("kind", "part")).applyInArrow(answer, "b long, kind string, least long, steps binary, counts binary")
     return rows.groupBy("b").cogroup(answers.groupBy("b")).applyInArrow(run_block, schema)
 
 

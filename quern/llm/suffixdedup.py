@@ -279,7 +279,9 @@ def _anchored(batches: Iterator[pa.RecordBatch], span: int) -> Iterator[pa.Recor
     """k1, k2, data -> k1, k2, h, often: a row for each anchor gram of a text, and whether the text has it at several places."""
     for batch in batches:
         k1, k2 = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-        for i, _, h, _, _ in anchors(batch.column(2).to_pylist(), span):
+        found = [(i, h) for i, _, h, _, _ in anchors(batch.column(2).to_pylist(), span)]
+        if found:  # at once, as a long text's blocks come one after the other
+            i, h = (np.concatenate(c) for c in zip(*found, strict=True))
             by = np.lexsort((h, i))
             i, h = i[by], h[by]
             new = np.nonzero(np.concatenate([[True], (i[1:] != i[:-1]) | (h[1:] != h[:-1])]))[0]
@@ -321,9 +323,19 @@ def repeated_spans(texts: DataFrame, span: int = SPAN) -> DataFrame:
     with repeated grams only, which keeps the counted rows thin.
     """
     texts = texts.where(F.octet_length("data") >= span).select("k1", "k2", "data")
-    every = materialise(texts.mapInArrow(lambda b: _anchored(b, span), "k1 long, k2 long, h long, often boolean"))
+    every = materialise(anchor_rows(texts, span))
     counts = every.groupBy("h").agg(F.min("k1").alias("a"), F.max("k1").alias("b"), F.max("often").alias("often"))
     wanted = materialise(every.join(counts.where("a <> b or often").select("h"), "h").select("h", "k1", "k2").distinct())
+    return spans_at(texts, wanted, span)
+
+
+def anchor_rows(texts: DataFrame, span: int) -> DataFrame:
+    """texts (k1, k2, data) -> k1, k2, h, often: a row for each anchor gram of a text, and whether the text has it at several places."""
+    return texts.select("k1", "k2", "data").mapInArrow(lambda b: _anchored(b, span), "k1 long, k2 long, h long, often boolean")
+
+
+def spans_at(texts: DataFrame, wanted: DataFrame, span: int) -> DataFrame:
+    """texts (k1, k2, data) and wanted (h, k1, k2), stored: the anchors to compare -> k1, k2, data, spans, as repeated_spans() has them."""
     hot = small(wanted.groupBy("h").agg(F.ceil(F.count("*") / GROUP).cast("int").alias("chunks")).where("chunks > 1"))
     places = wanted.groupBy("k1", "k2").agg(F.collect_list("h").alias("hs"))
     keys = wanted.select("k1", "k2").distinct()

@@ -279,6 +279,15 @@ def test_suffix_dedup_texts(docs, rows, spark):
     assert suffixdedup.query(empty(spark)).count() == 0 and suffixdedup.remove_repeats(empty(spark)).count() == 0
 
 
+def test_repeat_far_apart_in_one_text(spark):
+    r = random.Random(1)
+    noise = lambda n: "".join(r.choices("abcdefgh ", k=n))
+    passage = noise(700)
+    text = f"{noise(600_000)}A{passage}B{noise(700_000)}C{passage}D"  # several blocks lie between
+    (found,) = suffixdedup.query(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()
+    assert (found["n_removed"], found["n_spans"]) == (1400, 2)
+
+
 @pytest.mark.parametrize("seed", range(6))
 def test_index_family(seed):
     r = random.Random(seed)

@@ -13,7 +13,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from quern.llm import bloomlm, langid, mixing, packing, simhash, suffixdedup
+from quern.llm import bloomlm, langid, mixing, packing, simhash, suffixdedup, suffixstore
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, copies string, fp string"
 SF = "/root/testdata/sf0.001"
@@ -288,6 +288,20 @@ def test_repeat_far_apart_in_one_text(spark):
     assert (found["n_removed"], found["n_spans"]) == (1400, 2)
 
 
+def test_stored_levels(docs, rows, spark, tmp_path):
+    """Batches compared with stored levels give what the whole table gives; levels merge; nulls, copies and empty batches."""
+    family = suffixstore.StoredFamily(spark, str(tmp_path))
+    cuts = [docs.where("doc_id % 3 = 0"), docs.where("doc_id % 3 = 1"), empty(spark), docs.where("doc_id % 3 = 2 or doc_id is null")]
+    for i, batch in enumerate(cuts):
+        new = family.add(batch)
+        assert i != 2 or new.count() == 0
+    levels = family.state()[1]
+    assert len(set(levels.values())) == len(levels) > 0
+    want = collections.Counter((r[0], *b) for r, b in zip(rows, brute([(r[1] or "").encode() for r in rows]), strict=True))
+    found = family.told(docs)
+    assert collections.Counter((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in found.collect()) == want
+
+
 @pytest.mark.parametrize("seed", range(6))
 def test_index_family(seed):
     r = random.Random(seed)

@@ -43,6 +43,7 @@ def knn(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             keys, q = sent.value
+            held = [np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)]  # query, item and score of the task's best so far
             for batch in batches:
                 items = np.asarray(batch.column(0))
                 x = np.asarray(batch.column(1).flatten(), np.float64).reshape(len(items), -1)
@@ -50,7 +51,14 @@ def knn(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
                     some = items[at : at + ITEMS]
                     s = x[at : at + ITEMS] @ q.T
                     row, who = best_of(s, some, k)
-                    yield pa.record_batch([pa.array(keys[who]), pa.array(some[row]), pa.array(s[row, who])], ["query_id", "item_id", "score"])
+                    held = [np.concatenate(c) for c in zip(held, (who, some[row], s[row, who]), strict=True)]
+                    order = np.lexsort((held[1], -held[2], held[0]))
+                    held = [c[order] for c in held]
+                    kept = np.arange(len(order)) - np.searchsorted(held[0], held[0]) < k
+                    held = [c[kept] for c in held]
+            for at in range(0, len(held[0]), 1 << 16):
+                who, item, score = (c[at : at + (1 << 16)] for c in held)
+                yield pa.record_batch([pa.array(keys[who]), pa.array(item), pa.array(score)], ["query_id", "item_id", "score"])
 
         best = vectors.where("emb is not null").select(F.col("item_id").cast("long"), "emb").mapInArrow(run, "query_id long, item_id long, score double")
         return best.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)

@@ -12,6 +12,10 @@ strings meet in the group of their anchor:
    that exist, and levels of equal size are merged;
 4. spans are united by text and cut.
 
+A second, longer span shares anchors and groups: a string of `longer` bytes
+belongs to the anchor of its first `span` bytes, so contexts reach further and
+what repeats for `span` is scanned again for `longer`.
+
 Equal texts are handled once: if there are two, all of a text of `span` bytes
 or more goes. An anchor with more than GROUP contexts is split in chunks, and
 each pair of chunks is a group, so memory is bounded for any skew.
@@ -38,9 +42,11 @@ from ._common import BROADCAST_ROWS, materialise, small, text_key
 SPAN = 400
 SHORT = 240  # bytes: 51 words, each of 3.7 letters or more and a space
 GRAM = 64
-BLOCK = 1 << 19  # bytes that are hashed at once; positions in a block have 19 bits
-GROUP = 16_384  # contexts of a group, on average at most
-BATCH = 4096  # contexts of a batch of the index family
+BLOCK = 1 << 17  # bytes that are hashed at once; positions in a block have 17 bits
+ROWS = 1024  # texts that are taken from a batch at once
+HELD = 1 << 23  # bytes of contexts that a task holds before it sends them
+GROUP = 16_384  # contexts of a chunk of an anchor; groups of several anchors have half as many on average
+BATCH = 2048  # contexts of a batch of the index family
 _ODD = 0x9E3779B97F4A7C15
 _SPREAD = np.int64(0x1E3779B97F4A7C15)
 
@@ -242,14 +248,17 @@ def _padded(parts: list[bytes], width: int, head: np.ndarray) -> np.ndarray:
 
 def scan_group(hashes: np.ndarray, left: list[bytes], right: list[bytes], span: int = SPAN, batch: int = BATCH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Contexts of a group -> items, most and least bytes before the anchor."""
+    if not len(hashes):
+        return (np.empty(0, np.int64),) * 3
     _, head = np.unique(hashes, return_inverse=True)
     digits = np.stack([head // 255**i % 255 + 1 for i in range(7, -1, -1)], 1).astype(np.uint8)
     family = IndexFamily(span)
     n = len(hashes)
+    wide_r, wide_l = max(map(len, right)), max(map(len, left))
     most, least = np.full(n, -1), np.full(n, span + 1)
     for at in range(0, n, batch):
         part = slice(at, min(n, at + batch))
-        level = Level(np.arange(part.start, part.stop), _padded(right[part], span, digits[part]), _padded(left[part], span, digits[part]))
+        level = Level(np.arange(part.start, part.stop), _padded(right[part], wide_r, digits[part]), _padded(left[part], wide_l, digits[part]))
         for items, d_most, d_least in family.add(level):
             most[items] = np.maximum(most[items], d_most)
             least[items] = np.minimum(least[items], d_least)
@@ -277,7 +286,7 @@ def cut(data: bytes, spans: list[tuple[int, int]]) -> bytes:
 
 def _anchored(batches: Iterator[pa.RecordBatch], span: int) -> Iterator[pa.RecordBatch]:
     """k1, k2, data -> k1, k2, h, often: a row for each anchor gram of a text, and whether the text has it at several places."""
-    for batch in batches:
+    for batch in _parts(batches):
         k1, k2 = batch.column(0).to_numpy(), batch.column(1).to_numpy()
         found = [(i, h) for i, _, h, _, _ in anchors(batch.column(2).to_pylist(), span)]
         if found:  # at once, as a long text's blocks come one after the other
@@ -289,31 +298,50 @@ def _anchored(batches: Iterator[pa.RecordBatch], span: int) -> Iterator[pa.Recor
             yield pa.record_batch([pa.array(k1[i[new]]), pa.array(k2[i[new]]), pa.array(h[new]), pa.array(often)], ["k1", "k2", "h", "often"])
 
 
-def _contexts(batches: Iterator[pa.RecordBatch], span: int) -> Iterator[pa.RecordBatch]:
-    """k1, k2, data, hs -> the strings of each anchor in hs as one context; equal contexts of a batch are one row with all their places."""
-    names = ["h", "k1", "k2", "pos", "before", "after"]
-    kinds = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary(), pa.binary()]
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for part in (batch.slice(at, 2048) for at in range(0, batch.num_rows, 2048)):
-            k1, k2, texts = part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(2).to_pylist()
-            own = np.repeat(np.arange(len(texts)), np.asarray(pc.list_value_length(part.column(3))))
-            wanted = np.unique(np.asarray(part.column(3).flatten()) ^ own * _SPREAD)  # a chance hit is one more context, which repeats nothing
-            rows: dict[tuple[int, bytes, bytes], tuple[list, list, list]] = {}
-            for i, pos, h, first, last in anchors(texts, span):
-                live = np.isin(h ^ i * _SPREAD, wanted)
-                for of, at, gram, lo, hi in zip(*(x[live].tolist() for x in (i, pos, h, first, last)), strict=True):
-                    text = texts[of]
-                    row = rows.setdefault((gram, text[lo:at][::-1], text[at : hi + span]), ([], [], []))
-                    for column, value in zip(row, (k1[of], k2[of], at), strict=True):
-                        column.append(value)
-            if rows:
-                h, before, after = zip(*rows, strict=True)
-                columns = (h, *zip(*rows.values(), strict=True), before, after)
-                yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names)
-
-
-def repeated_spans(texts: DataFrame, span: int = SPAN) -> DataFrame:
-    """texts (k1, k2, data) -> k1, k2, data, spans: the distinct texts of `span` bytes or more that have repeats, and the runs to remove.
+        yield from (batch.slice(at, ROWS) for at in range(0, batch.num_rows, ROWS))
+
+
+def _contexts(batches: Iterator[pa.RecordBatch], span: int, longer: int) -> Iterator[pa.RecordBatch]:
+    """k1, k2, data, hs -> the strings of each anchor in hs as one context; equal contexts that are held together are one row with all their places.
+
+    `reach` bytes of `after` belong to strings of `span` bytes, all of it to those of `longer` bytes.
+    """
+    kinds = {"h": pa.int64(), "reach": pa.int32(), "before": pa.binary(), "after": pa.binary(), "k1": pa.list_(pa.int64()), "k2": pa.list_(pa.int64()), "pos": pa.list_(pa.int32())}
+    rows: dict[tuple[int, int, bytes, bytes], tuple[list, list, list]] = {}
+
+    def taken() -> pa.RecordBatch:
+        columns = (*zip(*rows, strict=True), *zip(*rows.values(), strict=True))
+        out = pa.record_batch([pa.array(c, t) for c, t in zip(columns, kinds.values(), strict=True)], list(kinds))
+        rows.clear()
+        return out
+
+    held = 0
+    for part in _parts(batches):
+        k1, k2, texts = part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(2).to_pylist()
+        own = np.repeat(np.arange(len(texts)), np.asarray(pc.list_value_length(part.column(3))))
+        wanted = np.unique(np.asarray(part.column(3).flatten()) ^ own * _SPREAD)  # a chance hit is one more context, which repeats nothing
+        for i, pos, h, first, last in anchors(texts, span):
+            live = np.isin(h ^ i * _SPREAD, wanted)
+            for of, at, gram, lo, hi in zip(*(x[live].tolist() for x in (i, pos, h, first, last)), strict=True):
+                text = texts[of]
+                context = gram, hi + span - at, text[lo:at][::-1], text[at : hi + longer]
+                if context not in rows:
+                    rows[context] = [], [], []
+                    held += len(context[2]) + len(context[3])
+                held += 32
+                for column, value in zip(rows[context], (k1[of], k2[of], at), strict=True):
+                    column.append(value)
+            if held > HELD:
+                yield taken()
+                held = 0
+    if rows:
+        yield taken()
+
+
+def repeated_spans(texts: DataFrame, span: int = SPAN, longer: int | None = None) -> DataFrame:
+    """texts (k1, k2, data) -> k1, k2, data, spans: the distinct texts of `span` bytes or more that have repeats, and the runs to remove; with `longer`, also long_spans, the runs for strings of so many bytes.
 
     Texts that equal another are not told here unless a part of them repeats elsewhere.
 
@@ -326,7 +354,7 @@ def repeated_spans(texts: DataFrame, span: int = SPAN) -> DataFrame:
     every = materialise(anchor_rows(texts, span))
     counts = every.groupBy("h").agg(F.min("k1").alias("a"), F.max("k1").alias("b"), F.max("often").alias("often"))
     wanted = materialise(every.join(counts.where("a <> b or often").select("h"), "h").select("h", "k1", "k2").distinct())
-    return spans_at(texts, wanted, span)
+    return spans_at(texts, wanted, span, longer)
 
 
 def anchor_rows(texts: DataFrame, span: int) -> DataFrame:
@@ -334,40 +362,50 @@ def anchor_rows(texts: DataFrame, span: int) -> DataFrame:
     return texts.select("k1", "k2", "data").mapInArrow(lambda b: _anchored(b, span), "k1 long, k2 long, h long, often boolean")
 
 
-def spans_at(texts: DataFrame, wanted: DataFrame, span: int) -> DataFrame:
-    """texts (k1, k2, data) and wanted (h, k1, k2), stored: the anchors to compare -> k1, k2, data, spans, as repeated_spans() has them."""
+def spans_at(texts: DataFrame, wanted: DataFrame, span: int, longer: int | None = None) -> DataFrame:
+    """texts (k1, k2, data) and wanted (h, k1, k2), stored: the anchors to compare -> what repeated_spans() tells."""
+    lengths = [span] if longer is None else [span, longer]
     hot = small(wanted.groupBy("h").agg(F.ceil(F.count("*") / GROUP).cast("int").alias("chunks")).where("chunks > 1"))
     places = wanted.groupBy("k1", "k2").agg(F.collect_list("h").alias("hs"))
     keys = wanted.select("k1", "k2").distinct()
     if keys.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:  # then only these texts are shuffled
         texts = texts.join(F.broadcast(keys), ["k1", "k2"], "left_semi")
     texts = materialise(texts.groupBy("k1", "k2").agg(F.first("data").alias("data")).join(places, ["k1", "k2"]))
-    groups = max(1, -(-wanted.count() // GROUP))
-    cut_out = texts.mapInArrow(lambda b: _contexts(b, span), "h long, k1 array<long>, k2 array<long>, pos array<int>, before binary, after binary")
+    groups = max(1, -(-2 * wanted.count() // GROUP))
+    cut_out = texts.mapInArrow(lambda b: _contexts(b, span, lengths[-1]), "h long, reach int, before binary, after binary, k1 array<long>, k2 array<long>, pos array<int>")
     dealt = cut_out.join(hot, "h", "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
     chunk = F.pmod(F.xxhash64("before", "after"), F.col("chunks")).cast("int")
     pair = F.explode(F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda j: F.struct(F.least("chunk", j).alias("i"), F.greatest("chunk", j).alias("j"))))
     dealt = dealt.withColumn("chunk", chunk).select("*", pair.alias("pair"))
     key = F.when(F.col("chunks") > 1, F.col("h")).otherwise(F.pmod(F.xxhash64("h"), F.lit(groups)))
     which = F.when(F.col("chunks") > 1, F.col("pair.i")).otherwise(-1)
-    dealt = dealt.select(key.alias("g"), which.alias("i"), F.col("pair.j").alias("j"), "h", "k1", "k2", "pos", "before", "after")
+    dealt = dealt.select(key.alias("g"), which.alias("i"), F.col("pair.j").alias("j"), "h", "reach", "before", "after", "k1", "k2", "pos")
 
     def scan(table: pa.Table) -> pa.Table:
-        before, after, pos = table["before"].to_pylist(), table["after"].to_pylist(), table["pos"].to_pylist()
-        found, most, least = scan_group(table["h"].to_numpy(), before, after, span)
-        ends = {i: (m, e) for i, m, e in zip(found.tolist(), most.tolist(), least.tolist(), strict=True)}
+        hashes, before, after, pos, k1, k2 = table["h"].to_numpy(), *(table[c].to_pylist() for c in ("before", "after", "pos", "k1", "k2"))
         once = table["i"][0].as_py() in (-1, table["j"][0].as_py())  # of a chunk's groups, one tells what its batches had told
-        for i, p in enumerate(pos):
-            if len(p) > 1:  # equal contexts: all their strings repeat
-                ends.pop(i, None)
-                if once:
-                    ends[i] = len(before[i]), span - len(after[i])
-        k1, k2 = table["k1"].to_pylist(), table["k2"].to_pylist()
-        out = [(a, b, p - m, p - e + span) for i, (m, e) in ends.items() for a, b, p in zip(k1[i], k2[i], pos[i], strict=True)]
-        return pa.table([pa.array(c, pa.int64()) for c in (zip(*out, strict=True) if out else [[]] * 4)], ["k1", "k2", "start", "end"])
-
-    spans = dealt.groupBy("g", "i", "j").applyInArrow(scan, "k1 long, k2 long, start long, end long")
-    spans = spans.groupBy("k1", "k2").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+        out, some, right = [], np.arange(len(pos)), [a[:r] for a, r in zip(after, table["reach"].to_pylist(), strict=True)]
+        for length in lengths:
+            if length != span:  # a longer repeat begins with one of `span` bytes
+                some = np.array([i for i in sorted(repeating) if len(before[i]) + len(after[i]) >= length], np.int64)
+                right = [after[i] for i in some]
+            found, most, least = scan_group(hashes[some], [before[i] for i in some], right, length)
+            ends = {i: (m, e) for i, m, e in zip(some[found].tolist(), most.tolist(), least.tolist(), strict=True)}
+            repeating = set(ends)
+            for i, a in zip(some.tolist(), right, strict=True):
+                if len(pos[i]) > 1:  # equal contexts: all their strings repeat
+                    repeating.add(i)
+                    ends.pop(i, None)
+                    if once:
+                        ends[i] = len(before[i]), length - len(a)
+            out += [(a, b, p - m, p - e + length, length != span) for i, (m, e) in ends.items() for a, b, p in zip(k1[i], k2[i], pos[i], strict=True)]
+        kinds = [*[pa.int64()] * 4, pa.bool_()]
+        return pa.table([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [[]] * 5, kinds, strict=True)], ["k1", "k2", "start", "end", "long"])
+
+    spans = dealt.groupBy("g", "i", "j").applyInArrow(scan, "k1 long, k2 long, start long, end long, long boolean")
+    run = F.struct("start", "end")
+    of = {"spans": ~F.col("long"), "long_spans": F.col("long")}
+    spans = spans.groupBy("k1", "k2").agg(*(F.collect_list(F.when(of[c], run)).alias(c) for c in list(of)[: len(lengths)]))
     return texts.select("k1", "k2", "data").join(spans, ["k1", "k2"])
 
 
@@ -376,55 +414,31 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.select(*text_key(F.col("text")), F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("data"))
 
 
-def longer_spans(found: DataFrame, span: int) -> DataFrame:
-    """repeated_spans() for a shorter span -> k1, k2, spans for `span`.
-
-    A repeated string of `span` bytes is made of repeated shorter ones, so it
-    lies inside one of the shorter span's runs: only these are indexed again.
-    """
-
-    def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            for k1, k2, data, spans in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                rows += [(k1, k2, a, data[a:b]) for a, b in union([(s["start"], s["end"]) for s in spans]) if b - a >= span]
-            columns = zip(*rows, strict=True) if rows else [[]] * 4
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary())
-            yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["t1", "t2", "at", "data"])
-
-    pieces = found.mapInArrow(runs, "t1 long, t2 long, at long, data binary").withColumns(dict(zip(("k1", "k2"), text_key(F.col("data")), strict=True)))
-    pieces = materialise(pieces)
-    inside = repeated_spans(pieces, span).select("k1", "k2", "spans")
-    copies = pieces.groupBy("k1", "k2").agg(F.count("*").alias("n")).where("n > 1")
-    known = pieces.select("t1", "t2", "at", "k1", "k2", F.octet_length("data").cast("long").alias("size")).join(inside, ["k1", "k2"], "left").join(copies, ["k1", "k2"], "left")
-    whole = F.array(F.struct(F.lit(0).cast("long").alias("start"), F.col("size").alias("end")))
-    spans = F.when(F.col("n").isNotNull(), whole).otherwise(F.col("spans"))
-    moved = F.transform(spans, lambda s: F.struct((s["start"] + F.col("at")).alias("start"), (s["end"] + F.col("at")).alias("end")))
-    rows = known.where("n is not null or spans is not null").select(F.col("t1").alias("k1"), F.col("t2").alias("k2"), moved.alias("spans"))
-    return rows.groupBy("k1", "k2").agg(F.flatten(F.collect_list("spans")).alias("spans"))
-
-
 def _cut(found: DataFrame, whole: bool) -> DataFrame:
-    """found (k1, k2, data, spans) -> k1, k2, removed, runs, sha and, if `whole`, kept."""
+    """found (k1, k2, data, spans) -> k1, k2, removed, runs, sha and, if `whole`, kept; if there are long_spans, these are cut, and `short` is what spans would remove."""
+    longer = "long_spans" in found.columns
+    columns = ["spans", "long_spans"] if longer else ["spans"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = (pa.int64(), pa.int64(), pa.string(), pa.string())
+        kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64())
         for batch in batches:
             out = []
-            for data, spans in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                runs = union([(s["start"], s["end"]) for s in spans])
+            for data, *lists in zip(*(c.to_pylist() for c in batch.columns[2:]), strict=True):
+                short, runs = (union([(s["start"], s["end"]) for s in spans]) for spans in (lists[0], lists[-1]))
                 kept = cut(data, runs)
-                out.append((sum(e - s for s, e in runs), len(runs), hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "ignore") if whole else None))
+                less = sum(e - s for s, e in short) if longer else None
+                out.append((sum(e - s for s, e in runs), len(runs), hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "ignore") if whole else None, less))
             if out:
-                columns = [pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)]
-                yield pa.record_batch([*batch.columns[:2], *columns], ["k1", "k2", "removed", "runs", "sha", "kept"])
+                told = [pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)]
+                yield pa.record_batch([*batch.columns[:2], *told], ["k1", "k2", "removed", "runs", "sha", "kept", "short"])
 
-    return found.select("k1", "k2", "data", "spans").mapInArrow(run, "k1 long, k2 long, removed long, runs long, sha string, kept string")
+    return found.select("k1", "k2", "data", *columns).mapInArrow(run, "k1 long, k2 long, removed long, runs long, sha string, kept string, short long")
 
 
 def _copies(docs: DataFrame, span: int) -> DataFrame:
-    """k1, k2, n of the texts of `span` bytes or more that several rows have."""
-    return docs.where(F.octet_length("text") >= span).select(*text_key(F.col("text"))).groupBy("k1", "k2").agg(F.count("*").alias("n")).where("n > 1")
+    """k1, k2, size, n of the texts of `span` bytes or more that several rows have."""
+    size = F.octet_length("text").alias("size")
+    return docs.where(F.octet_length("text") >= span).select(*text_key(F.col("text")), size).groupBy("k1", "k2").agg(F.max("size").alias("size"), F.count("*").alias("n")).where("n > 1")
 
 
 def _told(docs: DataFrame, known: DataFrame, keep: tuple[str, ...], *more: Column) -> DataFrame:
@@ -461,11 +475,7 @@ def remove_repeats(docs: DataFrame, span: int = SPAN) -> DataFrame:
 
 def query(docs: DataFrame) -> DataFrame:
     """What a span of SPAN bytes removes, and n_removed_short, what one of SHORT bytes would."""
-    found = materialise(repeated_spans(keyed(docs), SHORT))
-    long = longer_spans(found, SPAN)
-    known = _cut(found.select("k1", "k2", "data").join(long, ["k1", "k2"]), False)
-    short = _cut(found, False).select("k1", "k2", F.col("removed").alias("short"))
-    known = known.join(_copies(docs, SPAN), ["k1", "k2"], "full")
-    known = materialise(known.join(short.join(_copies(docs, SHORT).withColumnRenamed("n", "twins"), ["k1", "k2"], "full"), ["k1", "k2"], "full"))
+    twins = _copies(docs, SHORT).select("k1", "k2", F.col("n").alias("twins"), F.when(F.col("size") >= SPAN, F.col("n")).alias("n"))
+    known = _cut(repeated_spans(keyed(docs), SHORT, SPAN), False).join(twins, ["k1", "k2"], "full")
     less = F.when(F.col("twins").isNotNull(), F.col("n_bytes")).otherwise(F.coalesce("short", F.lit(0))).cast("long")
     return _told(docs, known, ("doc_id",), less.alias("n_removed_short")).drop("kept")

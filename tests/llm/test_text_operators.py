@@ -8,6 +8,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 import xxhash
@@ -288,6 +289,39 @@ def test_repeat_far_apart_in_one_text(spark):
     assert (found["n_removed"], found["n_spans"]) == (1400, 2)
 
 
+@pytest.mark.parametrize("group", [16_384, 12])
+def test_both_spans_share_their_tables(docs, rows, spark, group, monkeypatch):
+    """The shorter span is exact too, and the longer one is found in its groups: no table is indexed or stored a second time."""
+    stored = []
+    monkeypatch.setattr(suffixdedup, "GROUP", group)
+    monkeypatch.setattr(suffixdedup, "materialise", lambda df, real=suffixdedup.materialise: stored.append(df.columns) or real(df))
+    want = collections.Counter((r[0], b[1]) for r, b in zip(rows, brute([(r[1] or "").encode() for r in rows], suffixdedup.SHORT), strict=True))
+    assert collections.Counter((r["doc_id"], r["n_removed_short"]) for r in suffixdedup.query(docs).collect()) == want
+    assert len(stored) == 3
+
+
+def test_strings_across_blocks_are_not_their_own_repeats(spark):
+    """An anchor's strings that a block's end divides are two contexts of one place."""
+    r = random.Random(2)
+    unit = "".join(r.choices("abcdefgh ", k=300))
+    texts = ["".join(r.choices("abcdefgh ", k=400_000)), f"{unit}{''.join(r.choices('abcdefgh ', k=500_000))}{unit}"]
+    found = suffixdedup.query(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"], r["n_removed"], r["n_removed_short"]) for r in found) == [(0, 0, 0), (1, 0, 600)]
+
+
+def test_contexts_are_sent_in_bounded_batches():
+    """A task's contexts don't grow with its texts."""
+    texts = [words(f"bounded {i}", 9000).encode() for i in range(160)]
+    hashes = [[] for _ in texts]
+    for i, _, h, _, _ in suffixdedup.anchors(texts, 240):
+        for of, gram in zip(i.tolist(), h.tolist(), strict=True):
+            hashes[of].append(gram)
+    batch = pa.record_batch([pa.array(range(160)), pa.array(range(160)), pa.array(texts), pa.array(hashes)], ["k1", "k2", "data", "hs"])
+    sent = list(suffixdedup._contexts(iter([batch]), 240, 400))
+    assert sum(b.num_rows for b in sent) >= sum(map(len, hashes))
+    assert sum(b.nbytes for b in sent) > 20e6 > 1.5 * max(b.nbytes for b in sent)
+
+
 def test_stored_levels(docs, rows, spark, tmp_path):
     """Batches compared with stored levels give what the whole table gives; levels merge; nulls, copies and empty batches."""
     family = suffixstore.StoredFamily(spark, str(tmp_path))

@@ -114,7 +114,7 @@ def fuse(parts: dict[str, float], value: str = "{}_norm", valid: str = "{}_valid
 def peaks(scores: DataFrame, key: str, score: str = "score", q: float = 0.85) -> DataFrame:
     """Marks scores at or over their neighbours' and the key's percentile."""
     w = Window.partitionBy(key).orderBy("idx")
-    cut = scores.groupBy(key).agg(F.percentile(score, F.lit(q)).alias("threshold"))
-    near = scores.withColumn("_p", F.lag(score, 1, -1.0).over(w)).withColumn("_n", F.lead(score, 1, -1.0).over(w))
+    cut = F.percentile(score, F.lit(q)).over(Window.partitionBy(key))
+    near = scores.where(F.col(key).isNotNull()).withColumn("threshold", cut).withColumn("_p", F.lag(score, 1, -1.0).over(w)).withColumn("_n", F.lead(score, 1, -1.0).over(w))
     mark = (F.col(score) >= F.col("_p")) & (F.col(score) >= F.col("_n")) & (F.col(score) >= F.col("threshold"))
-    return near.join(cut, key).withColumn("is_candidate", mark).drop("_p", "_n")
+    return near.withColumn("is_candidate", mark).drop("_p", "_n")

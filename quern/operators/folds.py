@@ -1,6 +1,6 @@
 """Order-dependent folds: one group (a video, or a query's session) at a time.
 
-Rows are dealt by group and sorted inside partitions; a task then walks
+Rows are dealt by group and sorted, by a window; a task then walks
 batches of many groups and holds back the last one, which may go on. So small
 groups cost no call each, and a task's memory is bounded by its largest group.
 """
@@ -12,7 +12,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.functions.text import quality_score, similarity
@@ -62,7 +62,9 @@ def fold(rows: DataFrame, group: list[str], order: list[str], columns: list[str]
         if held:
             yield ended()
 
-    dealt = rows.select(*dict.fromkeys([*group, *order, *columns])).repartition(*group).sortWithinPartitions(*group, *order)
+    # a window, not repartition(): Spark drops a repartition over a union dealt by the group, and may then coalesce the union's sides each its own way
+    w = Window.partitionBy(*group).orderBy(*(order or group))
+    dealt = rows.select(*dict.fromkeys([*group, *order, *columns]), F.row_number().over(w).alias("_n"))
     return dealt.mapInPandas(run, schema)
 
 
@@ -117,15 +119,17 @@ def segments(starts: np.ndarray, ends: np.ndarray, reward: np.ndarray, low: floa
     return out
 
 
-def segment_events(boundaries: DataFrame, key: str, cut_penalty: float = 0.55, other_penalty: float = 0.25, low: float = 3.0, high: float = 30.0) -> DataFrame:
-    """boundaries (key, idx, s, e, score, is_candidate, penalty), a row a shot -> key, event, first, last (inclusive)."""
+def segment_events(boundaries: DataFrame, key: str, cut_penalty: float = 0.55, other_penalty: float = 0.25, low: float = 3.0, high: float = 30.0, ends: bool = False) -> DataFrame:
+    """boundaries (key, idx, s, e, score, is_candidate, penalty), a row a shot -> key, event, first, last (inclusive); with `ends` also end_score and end_is_candidate, those of the last shot's cut (null if it has none)."""
 
     def each(p: dict[str, np.ndarray]) -> list[tuple]:
         free = np.where(pd.isna(p["is_candidate"]), False, p["is_candidate"]).astype(bool)
         reward = np.nan_to_num(p["score"].astype(float)) - cut_penalty - np.where(free, 0, other_penalty) - np.nan_to_num(p["penalty"].astype(float))
-        return [(i, int(p["idx"][a]), int(p["idx"][b - 1])) for i, (a, b) in enumerate(segments(p["s"], p["e"], reward, low, high))]
+        cut = lambda b: tuple(None if pd.isna(p[c][b - 1]) else p[c][b - 1] for c in ("score", "is_candidate")) if ends else ()
+        return [(i, int(p["idx"][a]), int(p["idx"][b - 1]), *cut(b)) for i, (a, b) in enumerate(segments(p["s"], p["e"], reward, low, high))]
 
-    return fold(boundaries, [key], ["idx"], ["idx", "s", "e", "score", "is_candidate", "penalty"], each, "event long, first long, last long")
+    out = "event long, first long, last long" + (", end_score double, end_is_candidate boolean" if ends else "")
+    return fold(boundaries, [key], ["idx"], ["idx", "s", "e", "score", "is_candidate", "penalty"], each, out)
 
 
 def chain(score: np.ndarray, order: np.ndarray, gap: int, skip: float) -> tuple[float, list[tuple[int, int]], int]:

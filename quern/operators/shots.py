@@ -163,12 +163,18 @@ def expand_box(x1: Column, y1: Column, x2: Column, y2: Column, by: float, width:
     return F.struct(F.greatest(cx - w, F.lit(0)).alias("x1"), F.greatest(cy - h, F.lit(0)).alias("y1"), F.least(cx + w, width).alias("x2"), F.least(cy + h, height).alias("y2"))
 
 
-def assign_events(segments: DataFrame, shots: DataFrame, key: str) -> DataFrame:
-    """segments (key, event, first, last), shots (key, idx, ...) -> shots with their event: that of the last segment that starts at or before them, found by one sorted pass. Shots before the first segment go."""
+def assign_events(segments: DataFrame, shots: DataFrame, key: str, keep: tuple[str, ...] = ()) -> DataFrame:
+    """segments (key, event, first, last), shots (key, idx, ...) -> shots with their event, and its columns in `keep`: that of the last segment that starts at or before them, found by one sorted pass. Shots before the first segment go."""
     w = Window.partitionBy(key).orderBy("idx", "_p").rowsBetween(Window.unboundedPreceding, 0)
-    marks = segments.select(key, F.col("first").alias("idx"), F.lit(0).alias("_p"), "event")
-    both = shots.withColumn("_p", F.lit(1)).unionByName(marks, allowMissingColumns=True).withColumn("event", F.last("event", ignorenulls=True).over(w))
-    return both.where("_p = 1 and event is not null").drop("_p")
+    marks = segments.select(key, F.col("first").alias("idx"), F.lit(0).alias("_p"), F.struct("event", *keep).alias("_g"))
+    both = shots.withColumn("_p", F.lit(1)).unionByName(marks, allowMissingColumns=True).withColumn("_g", F.last("_g", ignorenulls=True).over(w))
+    return both.where("_p = 1 and _g.event is not null").select(*shots.columns, "_g.*")
+
+
+def face_counts(faces: Column) -> Column:
+    """Sorted faces -> their counts by face; null if there is none."""
+    counts = F.transform(F.array_distinct(faces), lambda f: F.struct(f, F.size(F.filter(faces, lambda x: x == f)).cast("long")))
+    return F.when(F.size(faces) > 0, F.map_from_entries(counts))
 
 
 def build_events(segments: DataFrame, shots: DataFrame, key: str, ends: tuple[str, ...] = ()) -> DataFrame:
@@ -180,8 +186,7 @@ def build_events(segments: DataFrame, shots: DataFrame, key: str, ends: tuple[st
     texts = F.array_distinct(F.transform(F.array_sort(F.collect_list(F.when(F.col("text") != "", F.struct("idx", "text")))), lambda x: x["text"]))
     last = [F.max_by(c, "idx").alias(c) for c in ends]
     rows = both.groupBy(key, "event").agg(F.min("s").alias("s"), F.max("e").alias("e"), F.count("*").alias("n_shots"), F.array_sort(F.collect_list("idx")).alias("shot_ids"), F.array_join(texts, " ").alias("text"), F.array_sort(F.collect_list("face")).alias("_f"), *last)
-    counts = F.transform(F.array_distinct("_f"), lambda f: F.struct(f, F.size(F.filter("_f", lambda x: x == f)).cast("long")))
-    return rows.withColumn("face_counts", F.when(F.size("_f") > 0, F.map_from_entries(counts))).drop("_f")
+    return rows.withColumn("face_counts", face_counts(F.col("_f"))).drop("_f")
 
 
 def box_angle(x1: Column, y1: Column, x2: Column, y2: Column) -> Column:

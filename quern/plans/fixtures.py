@@ -24,15 +24,18 @@ SQL = {
 
 
 def shots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    us = F.unix_micros(F.col("ts").cast("timestamp"))
-    return table(spark, sf_dir, "events").select(
-        F.col("user_id").alias("video"),
-        (F.row_number().over(w) - 1).cast("long").alias("idx"),
-        (us / F.lit(3.6e9)).alias("s"),
-        (F.coalesce(F.lead(us).over(w), us + F.lit(18_000_000_000)) / F.lit(3.6e9)).alias("e"),
+    """Dealt by `video` as named here, so that what follows by video needs no further shuffle; times are worked out behind the shuffle, which carries `ts` alone."""
+    w = Window.partitionBy("video").orderBy("ts", "event_id")
+    rows = table(spark, sf_dir, "events").select(F.col("user_id").alias("video"), "ts", "event_id", "value", F.col("event_type").alias("kind"))
+    rows = rows.select("*", F.row_number().over(w).alias("_n"), F.lead("ts").over(w).alias("_next"))
+    us = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    return rows.select(
+        "video",
+        (F.col("_n") - 1).cast("long").alias("idx"),
+        (us("ts") / F.lit(3.6e9)).alias("s"),
+        (F.coalesce(us("_next"), us("ts") + F.lit(18_000_000_000)) / F.lit(3.6e9)).alias("e"),
         "value",
-        F.col("event_type").alias("kind"),
+        "kind",
         "event_id",
     )
 
